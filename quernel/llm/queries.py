@@ -10,12 +10,18 @@ from .common import table
 from .decontaminate import contaminated
 from .ngram_join import jaccard_join
 from .quality_knn import classify
+from .quality_rules import judge
+from .secrets import scan_secrets
 from .sharding import shard
 from .source_mix import source_schedule
 
 SHARDS = 64
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,6 +30,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_schedule(table(spark, sf_dir, "documents"))
 
@@ -37,8 +47,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_decontaminate": op2_decontaminate,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_quality_rules": op4_quality_rules,
     "op5_source_mix": op5_source_mix,
     "op6_quality_knn": op6_quality_knn,
     "op7_sharding": op7_sharding,
@@ -81,6 +93,23 @@ SQL: dict[str, str] = {
         select a as doc_id_a, b as doc_id_b, c::double / (x.n + y.n - c)::double as jaccard
         from p join s x on x.doc_id = a join s y on y.doc_id = b where c::double / (x.n + y.n - c)::double >= 0.4
         union all select name, doc_id, 1.0::double from sets join names using (f) where doc_id > name""",
+    "op4_quality_rules": r"""
+        with t as (select doc_id, coalesce(text, '') as t from documents),
+        m as (
+            select doc_id, t, len(t) as n, list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w,
+                string_split(t, chr(10)) as lines from t
+        ),
+        c as (
+            select *, len(w) as words, n - len(regexp_replace(t, '[#%&*$<>{}=~^\\]+', '', 'g')) as symbols, n - len(replace(t, '|', '')) as bars,
+                n - len(replace(t, '!', '')) as shouts, n - len(regexp_replace(t, '[A-Z]+', '', 'g')) as capitals, n - len(regexp_replace(t, '[0-9]+', '', 'g')) as digits,
+                len(regexp_replace(t, '[ \t\n\x0B\f\r]', '', 'g')) as ink,
+                len(list_filter(list_zip(w[:-2], w[2:]), lambda p: p[1] = p[2])) as repeats
+            from m
+        )
+        select doc_id, words >= 3 and ink * 2 >= words * 5 and ink <= words * 12 and symbols * 10 <= greatest(words, 10) and bars * 5 <= greatest(words, 5)
+            and shouts * 5 <= greatest(words, 5) and capitals * 3 <= n and digits * 5 <= n * 3
+            and (len(lines) - len(list_distinct(lines))) * 2 <= len(lines) and repeats * 5 <= words as keep
+        from c""",
     "op5_source_mix": r"""
         with recursive units as (select doc_id, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) as tokens, md5(doc_id::varchar) as digest from documents),
         s as (select source, sum(tokens) as t, greatest(1, ceil(sum(tokens) / 2048.0))::bigint as blocks, pow(greatest(sum(tokens), 1)::double, 0.8) as w from units group by 1),

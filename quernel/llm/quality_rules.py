@@ -45,13 +45,13 @@ RULES: dict[str, Callable[[Column], Column]] = {
     # at most an exclamation mark for five words
     "shouting": lambda t: (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))) * 5 <= F.greatest(_words(t), F.lit(5)),
     # at most a third of the characters in capitals
-    "capitals": lambda t: _removed(t, "[A-Z]+") * 3 <= F.length(t),
+    "capitals": lambda t: _removed(t, "[A-Z]+") * 3 <= F.greatest(F.length(t), F.lit(100)),
     # at most 60 % of the characters are digits
     "digits": lambda t: _removed(t, "[0-9]+") * 5 <= F.length(t) * 3,
     # at most half of the lines repeat another one
     "lines": lambda t: (F.size(F.split(t, "\n")) - F.size(F.array_distinct(F.split(t, "\n")))) * 2 <= F.size(F.split(t, "\n")),
     # at most a fifth of the words are followed by the same word
-    "repeats": lambda t: F.regexp_count(t, F.lit(r"(?<![^ \t\n\x0B\f\r])([^ \t\n\x0B\f\r]++)(?=[ \t\n\x0B\f\r]+\1(?![^ \t\n\x0B\f\r]))")) * 5 <= _words(t),
+    "repeats": lambda t: F.regexp_count(t, F.lit(r"(?<![^ \t\n\x0B\f\r])([^ \t\n\x0B\f\r]++)(?=[ \t\n\x0B\f\r]+\1(?![^ \t\n\x0B\f\r]))")) * 5 <= F.greatest(_words(t), F.lit(10)),
 }
 
 

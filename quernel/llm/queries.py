@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contaminated
+from .language_id import identify
 from .ngram_join import jaccard_join
+from .ppm import code_lengths
 from .quality_knn import classify
 from .quality_rules import judge
 from .secrets import scan_secrets
@@ -46,6 +48,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_lengths(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -54,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_quality_knn": op6_quality_knn,
     "op7_sharding": op7_sharding,
+    "op9_lm_score": op9_lm_score,
+    "op10_language_id": op10_language_id,
 }
 
 _WORDS = r"string_split(trim(regexp_replace(lower(text), '[^a-z0-9\x{80}-\x{10FFFF}]+', ' ', 'g')), ' ')"
@@ -107,8 +119,8 @@ SQL: dict[str, str] = {
             from m
         )
         select doc_id, words >= 3 and ink * 2 >= words * 5 and ink <= words * 12 and symbols * 10 <= greatest(words, 10) and bars * 5 <= greatest(words, 5)
-            and shouts * 5 <= greatest(words, 5) and capitals * 3 <= n and digits * 5 <= n * 3
-            and (len(lines) - len(list_distinct(lines))) * 2 <= len(lines) and repeats * 5 <= words as keep
+            and shouts * 5 <= greatest(words, 5) and capitals * 3 <= greatest(n, 100) and digits * 5 <= n * 3
+            and (len(lines) - len(list_distinct(lines))) * 2 <= len(lines) and repeats * 5 <= greatest(words, 10) as keep
         from c""",
     "op5_source_mix": r"""
         with recursive units as (select doc_id, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) as tokens, md5(doc_id::varchar) as digest from documents),

@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import contaminated
 from .language_id import identify
 from .ngram_join import jaccard_join
+from .pii import find_pii
 from .ppm import code_lengths
 from .quality_knn import classify
 from .quality_rules import judge
@@ -48,6 +49,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_lengths(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_quality_knn": op6_quality_knn,
     "op7_sharding": op7_sharding,
+    "op8_pii": op8_pii,
     "op9_lm_score": op9_lm_score,
     "op10_language_id": op10_language_id,
 }

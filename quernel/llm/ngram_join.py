@@ -110,67 +110,116 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return fps, sizes, counts, wide.view("<u8").ravel()
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one or more hash ranges: passes document rows on, and gives each set its n-grams that two sets or more hold."""
-    blobs: dict[int, list[bytes]] = {}
-    for batch in batches:
-        known = pc.is_valid(batch.column("fp"))
-        docs = batch.filter(known)
-        if len(docs):
-            none = pa.nulls(len(docs), pa.binary())
-            yield _shares(docs.column("doc_id"), docs.column("fp"), docs.column("size"), pa.nulls(len(docs), pa.int64()), none, none)
-        rest = batch.filter(pc.invert(known))
-        for p, blob in zip(rest.column("part").to_pylist(), rest.column("blob").to_pylist(), strict=True):
-            blobs.setdefault(p, []).append(blob)
-    for p in list(blobs):
-        pieces = [_unpack(x) for x in blobs.pop(p)]
-        token = np.concatenate([x[3] for x in pieces])
-        fps, sizes, counts = (np.concatenate([x[k] for x in pieces]) for k in range(3))
-        del pieces
-        ordered = np.sort(token)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        del ordered
-        if len(twice) == 0:
-            continue
-        slot = np.minimum(np.searchsorted(twice, token), len(twice) - 1)
-        hit = np.flatnonzero(twice[slot] == token)
-        owner = np.repeat(np.arange(len(fps)), counts)[hit]
-        slot = slot[hit].astype(np.int64)
-        # one entry for each n-gram and distinct set, in the sets' order
-        order = np.lexsort((slot, fps[owner]))
-        slot, owner = slot[order], owner[order]
-        f = fps[owner]
-        new = np.ones(len(f), bool)
-        new[1:] = (f[1:] != f[:-1]) | (slot[1:] != slot[:-1])
-        slot, owner, f = slot[new], owner[new], f[new]
-        df = np.bincount(slot, minlength=len(twice))
-        two = df[slot] >= 2
-        slot, owner, f = slot[two], owner[two], f[two]
-        if len(slot) == 0:
-            continue
-        key = twice[slot] | (np.uint64(p) << np.uint64(48))
-        freq = df[slot].astype("<u4")
-        edge = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-        ends = np.append(edge[1:], len(f))
-        yield _shares(
-            pa.nulls(len(edge), pa.int64()), pa.array(f[edge].view(np.int64)), pa.array(sizes[owner[edge]].astype(np.int64)), pa.array(ends - edge),
-            pa.array([key[s:e].astype("<u8").tobytes() for s, e in zip(edge, ends, strict=True)], pa.binary()),
-            pa.array([freq[s:e].tobytes() for s, e in zip(edge, ends, strict=True)], pa.binary()),
-        )
-
-
-def _shares(doc_id, fp, size, n, keys, dfs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_id, fp, size, n, keys, dfs], ["doc_id", "fp", "size", "n", "keys", "dfs"])
+def _shared(ranges: int):
+    """Of one or more hash ranges: passes document rows on, and packs each set's n-grams that two sets or more hold, by the set's home range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            known = pc.is_valid(batch.column("fp"))
+            docs = batch.filter(known)
+            if len(docs):
+                yield pa.RecordBatch.from_arrays([docs.column("part"), docs.column("doc_id"), docs.column("fp"), pa.nulls(len(docs), pa.binary())], ["part", "doc_id", "fp", "blob"])
+            rest = batch.filter(pc.invert(known))
+            for p, blob in zip(rest.column("part").to_pylist(), rest.column("blob").to_pylist(), strict=True):
+                blobs.setdefault(p, []).append(blob)
+        for p in list(blobs):
+            yield from _of_range(p, [_unpack(x) for x in blobs.pop(p)], ranges)
+
+    return run
+
+
+def _of_range(p: int, pieces: list[tuple[np.ndarray, ...]], ranges: int) -> Iterator[pa.RecordBatch]:
+    token = np.concatenate([x[3] for x in pieces])
+    fps, sizes, counts = (np.concatenate([x[k] for x in pieces]) for k in range(3))
+    ordered = np.sort(token)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered, pieces
+    if len(twice) == 0:
+        return
+    slot = np.minimum(np.searchsorted(twice, token), len(twice) - 1)
+    hit = np.flatnonzero(twice[slot] == token)
+    owner = np.repeat(np.arange(len(fps)), counts)[hit]
+    slot = slot[hit].astype(np.int64)
+    # one entry for each n-gram and distinct set, sets in the order of their homes
+    order = np.lexsort((slot, fps[owner], fps[owner] % np.uint64(ranges)))
+    slot, owner = slot[order], owner[order]
+    f = fps[owner]
+    new = np.ones(len(f), bool)
+    new[1:] = (f[1:] != f[:-1]) | (slot[1:] != slot[:-1])
+    slot, owner, f = slot[new], owner[new], f[new]
+    df = np.bincount(slot, minlength=len(twice))
+    two = df[slot] >= 2
+    slot, owner, f = slot[two], owner[two], f[two]
+    if len(slot) == 0:
+        return
+    # seven bytes an n-gram: the hash below its range, and how many sets hold it on a logarithmic scale
+    seven = np.empty((len(slot), 7), np.uint8)
+    seven[:, :6] = twice[slot].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    seven[:, 6] = np.minimum(np.rint(np.log2(df[slot]) * 8), 255)
+    edge = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+    ends = np.append(edge[1:], len(f))
+    home = f[edge] % np.uint64(ranges)
+    first = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
+    blobs = []
+    for s, e in zip(first, np.append(first[1:], len(edge)), strict=True):
+        head = np.array([e - s, p], "<u4").tobytes()
+        blobs.append(b"".join((head, f[edge[s:e]].astype("<u8").tobytes(), sizes[owner[edge[s:e]]].astype("<u4").tobytes(), (ends[s:e] - edge[s:e]).astype("<u4").tobytes(), seven[edge[s] : ends[e - 1]].tobytes())))
+    none = pa.nulls(len(blobs), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(home[first].astype(np.int32)), none, none, pa.array(blobs, pa.binary())], ["part", "doc_id", "fp", "blob"])
+
+
+def _assemble(threshold: float):
+    """The packed n-grams of a home range -> (fp, size, keys, dfs) of the sets that hold enough of them to have a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for h, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                homes.setdefault(h, []).append(blob)
+        for h in list(homes):
+            fps, sizes, counts, keys, dfs = [], [], [], [], []
+            for blob in homes.pop(h):
+                m, p = np.frombuffer(blob, "<u4", 2)
+                fps.append(np.frombuffer(blob, "<u8", m, 8))
+                sizes.append(np.frombuffer(blob, "<u4", m, 8 + 8 * m))
+                counts.append(np.frombuffer(blob, "<u4", m, 8 + 12 * m))
+                seven = np.frombuffer(blob, np.uint8, -1, 8 + 16 * m).reshape(-1, 7)
+                wide = np.zeros((len(seven), 8), np.uint8)
+                wide[:, :6] = seven[:, :6]
+                keys.append(wide.view("<u8").ravel() | (np.uint64(p) << np.uint64(48)))
+                dfs.append(seven[:, 6])
+            fp, size, count = np.concatenate(fps), np.concatenate(sizes), np.concatenate(counts)
+            key, df = np.concatenate(keys), np.concatenate(dfs)
+            every, at = np.unique(fp, return_inverse=True)
+            held = np.bincount(at, count)
+            whole = np.zeros(len(every), np.int64)
+            whole[at] = size
+            live = held >= threshold * whole - 1e-9
+            owner = np.repeat(at, count)
+            use = np.flatnonzero(live[owner])
+            use = use[np.argsort(owner[use], kind="stable")]
+            key, df, owner = key[use], df[use], owner[use]
+            edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+            for s in range(0, len(edge), 256):
+                cut = [*edge[s : s + 257], len(owner)][: len(edge[s : s + 256]) + 1]
+                o = owner[edge[s : s + 256]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(every[o].view(np.int64)), pa.array(whole[o]), pa.array([key[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), pa.array([df[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())],
+                    ["fp", "size", "keys", "dfs"],
+                )
+
+    return run
 
 
 def _prefixes(threshold: float):
-    """Batches (fp, size, keys) in global order -> (fp, key) for each n-gram of the prefix."""
+    """Batches (fp, size, keys, dfs) -> (fp, key) for each n-gram of the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, tokens = [], []
-            for fp, size, parts in zip(batch.column("fp").to_pylist(), batch.column("size").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                key, df = _joined(parts)
+            for fp, size, *packed in zip(*(batch.column(c).to_pylist() for c in ("fp", "size", "keys", "dfs")), strict=True):
+                key, df = _joined(*packed)
                 left = len(key) - int(np.ceil(threshold * size - 1e-9)) + 1
                 tokens.append(key[np.lexsort((key, df))][:left])
                 fps.append(np.full(left, fp, np.int64))
@@ -180,8 +229,9 @@ def _prefixes(threshold: float):
     return run
 
 
-def _joined(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(x["keys"] for x in parts), "<u8"), np.frombuffer(b"".join(x["dfs"] for x in parts), "<u4")
+def _joined(keys: bytes, dfs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, how common each is) of a set."""
+    return np.frombuffer(keys, "<u8"), np.frombuffer(dfs, np.uint8).astype(np.int64)
 
 
 class Trie:
@@ -243,7 +293,7 @@ def _search(threshold: float):
     """Batches sorted by (label, salt) -> the matches (fp_a, fp_b, jaccard) of each component."""
 
     def component(rows: list[dict]) -> Iterator[tuple[int, int, float]]:
-        keys, dfs = zip(*(_joined(r["parts"]) for r in rows), strict=True)
+        keys, dfs = zip(*(_joined(r["keys"], r["dfs"]) for r in rows), strict=True)
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
         df = np.zeros(len(every), np.int64)
         df[place] = np.concatenate(dfs)
@@ -340,10 +390,10 @@ def _sets_and_matches(docs: DataFrame, n: int, threshold: float, id_col: str, te
     ranges = min(partitions(spark), 1 << 15)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     packed = rows.mapInArrow(_pack(ranges, n), "part int, doc_id long, fp long, size long, blob binary")
-    table = materialize(packed.repartition(ranges, "part").mapInArrow(_shared, "doc_id long, fp long, size long, n long, keys binary, dfs binary"))
+    table = materialize(packed.repartitionById(ranges, F.col("part")).mapInArrow(_shared(ranges), "part int, doc_id long, fp long, blob binary"))
     docs_fp = table.where("doc_id is not null").select("doc_id", "fp")
-    sets = table.where("n is not null").groupBy("fp").agg(F.first("size").alias("size"), F.sum("n").alias("n"), F.collect_list(F.struct("keys", "dfs")).alias("parts"))
-    sets = materialize(sets.where(F.col("n") >= F.lit(threshold) * F.col("size") - 1e-9).select("fp", "size", "parts"))
+    homes = table.where("blob is not null").select("part", "blob").repartitionById(ranges, F.col("part"))
+    sets = materialize(homes.mapInArrow(_assemble(threshold), "fp long, size long, keys binary, dfs binary"))
     prefix = sets.mapInArrow(_prefixes(threshold), "fp long, key long")
     hubs = prefix.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("held")).where("held > 1")
     label = components(prefix.join(hubs, "key").select(F.col("fp").alias("a"), F.col("hub").alias("b")))

@@ -66,27 +66,32 @@ def tokenize(text: str | float | None, separator: str = SEPARATOR) -> list[Token
     return out
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, not wherever a lambda mentions it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _length(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda sum_, w: sum_ + F.length(w) + 1)
+
+
 def tokens(text: Column, separator: str = SEPARATOR) -> Column:
     """An array of (token, start, len), without a shuffle: places are summed up in blocks, blocks by their lengths."""
-    words = F.split(F.lower(text.cast("string")), separator, -1)
-
-    def length(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0), lambda sum_, w: sum_ + F.length(w) + 1)
-
-    def of(words_: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor((F.size(words_) - 1) / _BLOCK).cast("int"))
-        blocks = F.transform(starts, lambda b: F.slice(words_, b * _BLOCK + 1, F.lit(_BLOCK)))
-        lengths = F.transform(blocks, length)
-        placed = F.transform(
-            blocks,
-            lambda block, b: F.transform(
-                F.arrays_zip(block.alias("w"), F.transform(block, lambda w, i: length(F.slice(block, 1, i))).alias("o")),
-                lambda x: F.struct(x["w"].alias("token"), (F.aggregate(F.slice(lengths, 1, b), F.lit(0), lambda s, n: s + n) + x["o"]).alias("start"), F.length(x["w"]).alias("len")),
-            ),
+
+    def place(block: Column, base: Column) -> Column:
+        return F.transform(block, lambda w, i: F.struct(w.alias("token"), (base + _length(F.slice(block, F.lit(1), i))).alias("start"), F.length(w).alias("len")))
+
+    def blocks(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int")), lambda b: F.slice(parts, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def placed(cut: Column) -> Column:
+        return _let(
+            F.transform(cut, _length),
+            lambda sizes: F.flatten(F.transform(cut, lambda block, b: _let(F.aggregate(F.slice(sizes, F.lit(1), b), F.lit(0), lambda s, n: s + n), lambda base: place(block, base)))),
         )
-        return F.flatten(placed)
 
-    return F.filter(of(words), lambda t: t["token"] != "")
+    words_ = F.split(F.lower(text.cast("string")), separator, -1)
+    return F.filter(_let(words_, lambda parts: _let(blocks(parts), placed)), lambda t: t["token"] != "")
 
 
 def words(text: Column, separator: str = SEPARATOR) -> Column:

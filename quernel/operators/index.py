@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.analysis import IDENTITY, Pipeline, Token, tokens
+from ..functions.analysis import IDENTITY, Pipeline, Token, tokens, words
 from ..plans import compiler, dsl
 
 POSITION = "struct<start:int,len:int>"
@@ -25,7 +25,7 @@ POSITION = "struct<start:int,len:int>"
 
 @dataclass(frozen=True)
 class FieldConfig:
-    """How a field is analysed; the flags are kept for whoever stores the index."""
+    """How a field is analysed. Without ``store_positions`` hits have no places and analysis is cheaper; ``store_documents`` is kept for whoever stores the index."""
 
     pipeline: Pipeline
     query_pipeline: Pipeline | None = None
@@ -108,26 +108,25 @@ class Index:
                 continue
             fields.setdefault(name, self.fields[owner])
             values.append((name, column, kind))
-        cells = []
+        parts = []
         for name, column, kind in values:
-            if isinstance(kind, T.ArrayType):
-                value = F.struct(F.lit(None).cast("string").alias("text"), column.cast("array<string>").alias("given"))
-            else:
-                text = F.when(column, "true") if isinstance(kind, T.BooleanType) else column.cast("string")
-                value = F.struct(text.alias("text"), F.lit(None).cast("array<string>").alias("given"))
-            cells.append(F.struct(F.lit(name).alias("field"), value.alias("value")))
-        rows = docs.select(ref.alias("doc_id"), F.explode(F.array(*cells)).alias("c")).select("doc_id", "c.field", "c.value.text", "c.value.given")
-        return replace(self, fields=fields), rows.where("doc_id is not null and (text is not null or given is not null)")
+            given = isinstance(kind, T.ArrayType)
+            text = F.lit(None) if given else F.when(column, "true") if isinstance(kind, T.BooleanType) else column
+            part = docs.select(ref.alias("doc_id"), F.lit(name).alias("field"), text.cast("string").alias("text"), (column if given else F.lit(None)).cast("array<string>").alias("given"))
+            parts.append(part.where("doc_id is not null and (text is not null or given is not null)"))
+        # a branch for each field: a search in one field reads no column of the others
+        return replace(self, fields=fields), functools.reduce(DataFrame.unionByName, parts)
 
     def _analysed(self, rows: DataFrame) -> DataFrame:
         """Postings of (doc_id, field, text, given); fields of one pipeline share a pass."""
-        groups: dict[Pipeline, list[str]] = {}
+        groups: dict[tuple[Pipeline, bool], list[str]] = {}
         for name, config in self.fields.items():
-            groups.setdefault(config.pipeline, []).append(name)
+            groups.setdefault((config.pipeline, config.store_positions), []).append(name)
         parts = []
-        for pipeline, names in groups.items():
-            given = F.transform("given", lambda t: F.struct(t.alias("token"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len")))
-            found = rows.where(F.col("field").isin(names)).select("field", "doc_id", F.explode(F.coalesce(tokens(F.col("text"), pipeline.separator), given)).alias("t"))
+        for (pipeline, placed), names in groups.items():
+            unplaced = lambda array: F.transform(array, lambda t: F.struct(t.alias("token"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len")))
+            of_text = tokens(F.col("text"), pipeline.separator) if placed else unplaced(words(F.col("text"), pipeline.separator))
+            found = rows.where(F.col("field").isin(names)).select("field", "doc_id", F.explode(F.coalesce(of_text, unplaced(F.col("given")))).alias("t"))
             found = found.select("field", "doc_id", F.struct("t.start", "t.len").alias("position"), F.col("t.token").alias("term"))
             parts.append(pipeline.apply(found))
         every = functools.reduce(DataFrame.unionByName, parts)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a closure or broadcast above which operators take their distributed way.
 BROADCAST_LIMIT = 256 << 20
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quernel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the table takes the place of the shuffles that led to it, so their files can go
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

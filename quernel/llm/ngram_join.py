@@ -342,6 +342,37 @@ def _matches(out: list[tuple[int, int, float]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], ["fp_a", "fp_b", "jaccard"])
 
 
+def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node of each one's connected component)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        for to in (u, v, label[u], label[v]):
+            np.minimum.at(new, to, least)
+        while not np.array_equal(deeper := new[new], new):
+            new = deeper
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, key) of whole keys -> edges (a, b) that connect the sets which share keys, one for each set but the least of its component."""
+    got = [(b.column("fp").to_numpy(), b.column("key").to_numpy()) for b in batches]
+    if not got:
+        return
+    fp, key = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(key, kind="stable")
+    fp, key = fp[order], key[order]
+    same = key[1:] == key[:-1]
+    nodes, label = _labels(fp[1:][same], fp[:-1][same])
+    some = nodes != label
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(label[some])], ["a", "b"])
+
+
 def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(node, label) for all nodes of the edges (a, b): label is the least node of the connected component.
 
@@ -352,22 +383,8 @@ def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     if edges.count() <= driver_edges:
         t = edges.toArrow()
         a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        u, v = at[: len(a)], at[len(a) :]
-        label = np.arange(len(nodes))
-        while True:
-            least = np.minimum(label[u], label[v])
-            new = label.copy()
-            np.minimum.at(new, u, least)
-            np.minimum.at(new, v, least)
-            np.minimum.at(new, label[u], least)
-            np.minimum.at(new, label[v], least)
-            while (deeper := new[new]).tolist() != new.tolist():
-                new = deeper
-            if np.array_equal(new, label):
-                break
-            label = new
-        return spark.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "label": pa.array(nodes[label], pa.int64())}))
+        nodes, label = _labels(a, b)
+        return spark.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "label": pa.array(label, pa.int64())}))
     state = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -395,8 +412,7 @@ def _sets_and_matches(docs: DataFrame, n: int, threshold: float, id_col: str, te
     homes = table.where("blob is not null").select("part", "blob").repartitionById(ranges, F.col("part"))
     sets = materialize(homes.mapInArrow(_assemble(threshold), "fp long, size long, keys binary, dfs binary"))
     prefix = sets.mapInArrow(_prefixes(threshold), "fp long, key long")
-    hubs = prefix.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("held")).where("held > 1")
-    label = components(prefix.join(hubs, "key").select(F.col("fp").alias("a"), F.col("hub").alias("b")))
+    label = components(prefix.repartition(ranges, "key").mapInArrow(_forest, "a long, b long"))
     label = label.withColumnRenamed("node", "fp")
     salts = label.groupBy("label").agg(F.ceil(F.count("*") / QUERIES_A_TASK).cast("int").alias("salts"))
     queries = sets.join(label.join(salts, "label"), "fp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))

@@ -91,11 +91,12 @@ class DiskProvider(StorageProvider):
         old = int(self._version(folder)[1]) if "meta" in self._list(folder) else 0
         version = f"{old + 1:08d}"
         if index.postings is not None:
-            stats = index.field_stats()
             ordered = index.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
             ordered.write.partitionBy("field").parquet(f"{root}/postings-{version}")
             index.field_docs.write.partitionBy("field").parquet(f"{root}/field_docs-{version}")
-            stats.coalesce(1).write.parquet(f"{root}/field_stats-{version}")
+            # from the written tables, so that texts aren't analysed again
+            written = replace(index, postings=self._table(f"{root}/postings-{version}"), field_docs=self._table(f"{root}/field_docs-{version}"), stats=None)
+            written.field_stats().coalesce(1).write.parquet(f"{root}/field_stats-{version}")
         has_data = index.postings is not None
         meta = self.spark.createDataFrame([(version, serializer.to_json(index), has_data)], "version string, settings string, has_data boolean")
         meta.coalesce(1).write.mode("append").parquet(f"{root}/meta")
@@ -114,11 +115,11 @@ class DiskProvider(StorageProvider):
         if missing := set(names) - set(self._list(folder)):
             raise StorageError(f"index {name} lacks {', '.join(sorted(missing))}")
 
-        def table(at: int) -> DataFrame:
-            df = self.spark.read.option("basePath", f"{self.directory}/{folder}/{names[at]}").parquet(f"{self.directory}/{folder}/{names[at]}")
-            return df.withColumn("field", F.col("field").cast("string"))
+        tables = [f"{self.directory}/{folder}/{n}" for n in names]
+        return replace(index, postings=self._table(tables[0]), field_docs=self._table(tables[1]), stats=self.spark.read.parquet(tables[2]))
 
-        return replace(index, postings=table(0), field_docs=table(1), stats=self.spark.read.parquet(f"{self.directory}/{folder}/{names[2]}"))
+    def _table(self, path: str) -> DataFrame:
+        return self.spark.read.parquet(path).withColumn("field", F.col("field").cast("string"))
 
     def load_all(self) -> Iterator[Index]:
         for path in self.files():

@@ -83,9 +83,9 @@ def _pack(ranges: int, n: int):
                     r = record[s:e]
                     edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
                     who = r[edge]
-                    counts = np.diff(np.append(edge, len(r))).astype("<u4")
+                    counts = _counts(np.diff(np.append(edge, len(r))))
                     six = np.ascontiguousarray(tokens[s:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-                    blobs.append(b"".join((np.array([len(who)], "<u4").tobytes(), fps[who].astype("<u8").tobytes(), sizes[who].astype("<u4").tobytes(), counts.tobytes(), six.tobytes())))
+                    blobs.append(b"".join((np.array([len(who), counts.itemsize], "<u4").tobytes(), fps[who].astype("<u8").tobytes(), counts.tobytes(), six.tobytes())))
                     parts.append(int(part[s]))
                 if blobs:
                     none = pa.nulls(len(blobs), pa.int64())
@@ -99,15 +99,19 @@ def _packed(part, doc_id, fp, size, blob) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cast(part), cast(doc_id).cast(pa.int64()), cast(fp), cast(size), blob], ["part", "doc_id", "fp", "size", "blob"])
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    m = int(np.frombuffer(blob, "<u4", 1)[0])
-    fps = np.frombuffer(blob, "<u8", m, 4)
-    sizes = np.frombuffer(blob, "<u4", m, 4 + 8 * m)
-    counts = np.frombuffer(blob, "<u4", m, 4 + 12 * m)
-    six = np.frombuffer(blob, np.uint8, -1, 4 + 16 * m).reshape(-1, 6)
+def _counts(counts: np.ndarray) -> np.ndarray:
+    """In two bytes each, or in four if one of them needs that."""
+    return counts.astype("<u2" if len(counts) == 0 or counts.max() < 65_536 else "<u4")
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m, width = map(int, np.frombuffer(blob, "<u4", 2))
+    fps = np.frombuffer(blob, "<u8", m, 8)
+    counts = np.frombuffer(blob, f"<u{width}", m, 8 + 8 * m).astype(np.int64)
+    six = np.frombuffer(blob, np.uint8, -1, 8 + (8 + width) * m).reshape(-1, 6)
     wide = np.zeros((len(six), 8), np.uint8)
     wide[:, :6] = six
-    return fps, sizes, counts, wide.view("<u8").ravel()
+    return fps, counts, wide.view("<u8").ravel()
 
 
 def _shared(ranges: int):
@@ -119,7 +123,7 @@ def _shared(ranges: int):
             known = pc.is_valid(batch.column("fp"))
             docs = batch.filter(known)
             if len(docs):
-                yield pa.RecordBatch.from_arrays([docs.column("part"), docs.column("doc_id"), docs.column("fp"), pa.nulls(len(docs), pa.binary())], ["part", "doc_id", "fp", "blob"])
+                yield pa.RecordBatch.from_arrays([docs.column("part"), docs.column("doc_id"), docs.column("fp"), docs.column("size"), pa.nulls(len(docs), pa.binary())], ["part", "doc_id", "fp", "size", "blob"])
             rest = batch.filter(pc.invert(known))
             for p, blob in zip(rest.column("part").to_pylist(), rest.column("blob").to_pylist(), strict=True):
                 blobs.setdefault(p, []).append(blob)
@@ -130,8 +134,7 @@ def _shared(ranges: int):
 
 
 def _of_range(p: int, pieces: list[tuple[np.ndarray, ...]], ranges: int) -> Iterator[pa.RecordBatch]:
-    token = np.concatenate([x[3] for x in pieces])
-    fps, sizes, counts = (np.concatenate([x[k] for x in pieces]) for k in range(3))
+    fps, counts, token = (np.concatenate([x[k] for x in pieces]) for k in range(3))
     ordered = np.sort(token)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     del ordered, pieces
@@ -163,10 +166,11 @@ def _of_range(p: int, pieces: list[tuple[np.ndarray, ...]], ranges: int) -> Iter
     first = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
     blobs = []
     for s, e in zip(first, np.append(first[1:], len(edge)), strict=True):
-        head = np.array([e - s, p], "<u4").tobytes()
-        blobs.append(b"".join((head, f[edge[s:e]].astype("<u8").tobytes(), sizes[owner[edge[s:e]]].astype("<u4").tobytes(), (ends[s:e] - edge[s:e]).astype("<u4").tobytes(), seven[edge[s] : ends[e - 1]].tobytes())))
+        counts = _counts(ends[s:e] - edge[s:e])
+        head = np.array([e - s, p, counts.itemsize], "<u4").tobytes()
+        blobs.append(b"".join((head, f[edge[s:e]].astype("<u8").tobytes(), counts.tobytes(), seven[edge[s] : ends[e - 1]].tobytes())))
     none = pa.nulls(len(blobs), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(home[first].astype(np.int32)), none, none, pa.array(blobs, pa.binary())], ["part", "doc_id", "fp", "blob"])
+    yield pa.RecordBatch.from_arrays([pa.array(home[first].astype(np.int32)), none, none, none, pa.array(blobs, pa.binary())], ["part", "doc_id", "fp", "size", "blob"])
 
 
 def _assemble(threshold: float):
@@ -174,27 +178,33 @@ def _assemble(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         homes: dict[int, list[bytes]] = {}
+        known: list[np.ndarray] = []
         for batch in batches:
-            for h, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            sized = batch.filter(pc.is_valid(batch.column("fp")))
+            if len(sized):
+                known.append(np.stack([sized.column("fp").to_numpy(), sized.column("size").to_numpy()]))
+            packed = batch.filter(pc.is_valid(batch.column("blob")))
+            for h, blob in zip(packed.column("part").to_pylist(), packed.column("blob").to_pylist(), strict=True):
                 homes.setdefault(h, []).append(blob)
+        fp_size = np.concatenate(known, axis=1) if known else np.zeros((2, 0), np.int64)
+        known_fp, first = np.unique(fp_size[0].view(np.uint64), return_index=True)
+        known_size = fp_size[1][first]
         for h in list(homes):
-            fps, sizes, counts, keys, dfs = [], [], [], [], []
+            fps, counts, keys, dfs = [], [], [], []
             for blob in homes.pop(h):
-                m, p = np.frombuffer(blob, "<u4", 2)
-                fps.append(np.frombuffer(blob, "<u8", m, 8))
-                sizes.append(np.frombuffer(blob, "<u4", m, 8 + 8 * m))
-                counts.append(np.frombuffer(blob, "<u4", m, 8 + 12 * m))
-                seven = np.frombuffer(blob, np.uint8, -1, 8 + 16 * m).reshape(-1, 7)
+                m, p, width = map(int, np.frombuffer(blob, "<u4", 3))
+                fps.append(np.frombuffer(blob, "<u8", m, 12))
+                counts.append(np.frombuffer(blob, f"<u{width}", m, 12 + 8 * m).astype(np.int64))
+                seven = np.frombuffer(blob, np.uint8, -1, 12 + (8 + width) * m).reshape(-1, 7)
                 wide = np.zeros((len(seven), 8), np.uint8)
                 wide[:, :6] = seven[:, :6]
                 keys.append(wide.view("<u8").ravel() | (np.uint64(p) << np.uint64(48)))
                 dfs.append(seven[:, 6])
-            fp, size, count = np.concatenate(fps), np.concatenate(sizes), np.concatenate(counts)
+            fp, count = np.concatenate(fps), np.concatenate(counts)
             key, df = np.concatenate(keys), np.concatenate(dfs)
             every, at = np.unique(fp, return_inverse=True)
             held = np.bincount(at, count)
-            whole = np.zeros(len(every), np.int64)
-            whole[at] = size
+            whole = known_size[np.searchsorted(known_fp, every)]
             live = held >= threshold * whole - 1e-9
             owner = np.repeat(at, count)
             use = np.flatnonzero(live[owner])
@@ -407,9 +417,9 @@ def _sets_and_matches(docs: DataFrame, n: int, threshold: float, id_col: str, te
     ranges = min(partitions(spark), 1 << 15)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     packed = rows.mapInArrow(_pack(ranges, n), "part int, doc_id long, fp long, size long, blob binary")
-    table = materialize(packed.repartitionById(ranges, F.col("part")).mapInArrow(_shared(ranges), "part int, doc_id long, fp long, blob binary"))
+    table = materialize(packed.repartitionById(ranges, F.col("part")).mapInArrow(_shared(ranges), "part int, doc_id long, fp long, size long, blob binary"))
     docs_fp = table.where("doc_id is not null").select("doc_id", "fp")
-    homes = table.where("blob is not null").select("part", "blob").repartitionById(ranges, F.col("part"))
+    homes = table.select("part", "fp", "size", "blob").repartitionById(ranges, F.col("part"))
     sets = materialize(homes.mapInArrow(_assemble(threshold), "fp long, size long, keys binary, dfs binary"))
     prefix = sets.mapInArrow(_prefixes(threshold), "fp long, key long")
     label = components(prefix.repartition(ranges, "key").mapInArrow(_forest, "a long, b long"))

@@ -7,9 +7,11 @@ scores. The best one is found by dynamic programming over token positions, with
 ``MAX_TOKENS`` tokens. The weights maximise the conditional likelihood of generated sentences, whose
 normaliser and expectations come from the forward and backward sums of the same recursion.
 
-An entity must hold an @ or four digits, and all its words separated by spaces must hold a digit or
-an @. So all other words are outside, and the recursion over a text falls apart into windows: the
-runs of such words. This loses nothing, since scores add up and tokens outside score 0.
+An entity must hold an @ or four digits, its first word must hold a digit or an @, and so must each
+further word unless it is a group of up to four capitals (a bank code in an IBAN). White space
+between words is of any length and may hold line breaks. So all other words are outside, and the
+recursion over a text falls apart into windows: the runs of such words. This loses nothing, since
+scores add up and tokens outside score 0.
 """
 
 from __future__ import annotations
@@ -28,14 +30,17 @@ from pyspark.sql import functions as F
 from .kernel import IS_SPACE, slices
 
 KINDS = ("EMAIL", "PHONE", "CARD", "IP", "SSN", "IBAN")
-#: Tokens are runs of letters and digits, and single other characters.
+#: Tokens are runs of letters and digits, runs of white space, and single other characters.
 MAX_TOKENS = 28
 #: Bytes before a window in which words may hint at a type.
 _CUE_BYTES = 40
-_TOKEN = re.compile(r"[^\W_]+|.", re.S)
+_TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
 _IS_TRIGGER = np.zeros(256, bool)
 _IS_TRIGGER[48:58] = True
 _IS_TRIGGER[64] = True
+#: What may stand between two words of a window, and after its last one: white space and groups of capitals.
+_BETWEEN = re.compile(rb"(?:\s++[A-Z]{1,4}+)*+\s++")
+_BEHIND = re.compile(rb"(?:\s++[A-Z]{1,4}+(?![^\s.,;:!?)\]>\"'<]))*+")
 
 _EMAIL = re.compile(r"[^\W_][\w.+-]{0,63}@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,24}")
 _DOTTED = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
@@ -68,13 +73,14 @@ def _mod97(text: str) -> bool:
 
 FEATURES = (
     "bias", "email", "at", "ats", "dotted", "octets", "luhn", "card_prefix", "iban", "mod97", "letters", "plus", "bracket", "unbalanced", "only_digits", "spaces", "hyphens", "dots", "slashes", "mixed",
-    "grouped_4444", "grouped_ssn", "ssn_valid", "grouped_nanp", "grouped_phone", "leading_zero", "other_symbol",
+    "grouped_4444", "grouped_ssn", "ssn_valid", "grouped_nanp", "grouped_phone", "leading_zero", "other_symbol", "wide",
     *[f"digits_{k}" for k in range(21)], *[f"groups_{k}" for k in range(9)],
     "left_space", "left_equals", "left_digit_point", "left_other", "left_number", "right_space", "right_stop", "right_digit_point", "right_other", "right_number",
     *[f"cue_{k}" for k in _CUES], "no_cue",
 )
 _INDEX = {name: i for i, name in enumerate(FEATURES)}
 _SHAPE = re.compile(r"[\d\s()+.-]+")
+_WIDE = re.compile(r"\s\s|[\n\r\v\f]")
 
 
 def span_features(text: str, left: str, right: str, before: str) -> list[int]:
@@ -83,7 +89,7 @@ def span_features(text: str, left: str, right: str, before: str) -> list[int]:
     digits = "".join(groups)
     sizes = tuple(map(len, groups))
     ats = text.count("@")
-    compact = text.replace(" ", "")
+    compact = "".join(text.split())
     has_letter = any(c.isalpha() for c in text)
     names = ["bias", f"digits_{min(len(digits), 20)}", f"groups_{min(len(groups), 8)}"]
     add = names.append
@@ -95,7 +101,7 @@ def span_features(text: str, left: str, right: str, before: str) -> list[int]:
         add("dotted")
         if all(int(g) < 256 and (g == "0" or g[0] != "0") for g in groups):
             add("octets")
-    if not has_letter and not ats and 13 <= len(digits) <= 19 and re.fullmatch(r"\d+(?:[ -]\d+)*", text):
+    if not has_letter and not ats and 13 <= len(digits) <= 19 and re.fullmatch(r"\d+(?:(?:-|\s+)\d+)*", text):
         if _luhn(digits):
             add("luhn")
         if digits[0] in "3456":
@@ -116,7 +122,11 @@ def span_features(text: str, left: str, right: str, before: str) -> list[int]:
         add("unbalanced")
     if text.isdigit():
         add("only_digits")
-    for name, c in (("spaces", " "), ("hyphens", "-"), ("dots", "."), ("slashes", "/")):
+    if len(compact) < len(text):
+        add("spaces")
+        if _WIDE.search(text):
+            add("wide")
+    for name, c in (("hyphens", "-"), ("dots", "."), ("slashes", "/")):
         if c in text:
             add(name)
     if not has_letter and not ats:
@@ -124,7 +134,7 @@ def span_features(text: str, left: str, right: str, before: str) -> list[int]:
             add("other_symbol")
         if sizes in ((4, 4, 4, 4), (4, 6, 5)):
             add("grouped_4444")
-        if re.fullmatch(r"\d{3}[- ]\d{2}[- ]\d{4}", text):
+        if re.fullmatch(r"\d{3}(?:-|\s+)\d{2}(?:-|\s+)\d{4}", text):
             add("grouped_ssn")
             if groups[0] not in ("000", "666") and groups[0] < "900" and groups[1] != "00" and groups[2] != "0000":
                 add("ssn_valid")
@@ -138,7 +148,7 @@ def span_features(text: str, left: str, right: str, before: str) -> list[int]:
         if not near or near.isspace():
             add(f"{side}_space")
             far = two[:1] if side == "left" else two[1:]
-            if len(two) == 2 and far.isdigit():
+            if len(two) == 2 and far.isdigit() and near not in "\r\n":
                 add(f"{side}_number")
         elif side == "right" and near in ".,;:!?)\"'" and not two[1:].isalnum():
             add("right_stop")
@@ -161,12 +171,13 @@ def spans(window: str) -> tuple[int, list[tuple[int, int, int, int]]]:
         c = window[start]
         if not (c.isalnum() or c in "+("):
             continue
-        held, at = 0, False
+        held, at, size = 0, False, 0
         for j in range(i, min(i + MAX_TOKENS, len(tokens))):
             s, e = tokens[j]
             held += digit[j]
             at |= window[s] == "@"
-            if e - start > (254 if at else 48):
+            size += 1 if window[s].isspace() else e - s
+            if size > (254 if at else 48):
                 break
             if (at or held >= 4) and window[s].isalnum():
                 out.append((i, j + 1, start, e))
@@ -182,7 +193,7 @@ def _matrix(window: str, before: str, after: str, found: list[tuple[int, int, in
 
 
 def _windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) of the runs of words with a digit or an @, with single blanks between them."""
+    """(document, start, end) of the runs of words with a digit or an @, and groups of capitals after the first."""
     at = np.flatnonzero(_IS_TRIGGER[raw])
     doc = np.searchsorted(offsets, at, "right") - 1
     blank = np.concatenate([[-1], np.flatnonzero(IS_SPACE[raw]), [len(raw)]])
@@ -191,10 +202,15 @@ def _windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     end = np.minimum(blank[k], offsets[doc + 1])
     new = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]])) if len(at) else np.zeros(0, np.int64)
     doc, start, end = doc[new], start[new], end[new]
-    joined = (start[1:] == end[:-1] + 1) & (doc[1:] == doc[:-1]) & np.isin(raw[np.minimum(end[:-1], len(raw) - 1)], (9, 32)) if len(new) else np.zeros(0, bool)
-    first = np.flatnonzero(np.concatenate([[True], ~joined])) if len(new) else new
-    last = np.append(first[1:], len(new)) - 1 if len(new) else new
-    return doc[first], start[first], end[last]
+    if not len(new):
+        return doc, start, end
+    data = raw.tobytes()
+    same = (doc[1:] == doc[:-1]).tolist()
+    joined = [own and _BETWEEN.fullmatch(data, a, b) is not None for own, a, b in zip(same, end[:-1].tolist(), start[1:].tolist(), strict=True)]
+    first = np.flatnonzero(np.concatenate([[True], ~np.array(joined, bool)]))
+    last = np.append(first[1:], len(new)) - 1
+    reach = [_BEHIND.match(data, a, b).end() for a, b in zip(end[last].tolist(), offsets[doc[last] + 1].tolist(), strict=True)]
+    return doc[first], start[first], np.array(reach, np.int64)
 
 
 def best(n: int, found: list[tuple[int, int, int, int]], scores: np.ndarray) -> list[tuple[int, int]]:
@@ -223,10 +239,20 @@ def best(n: int, found: list[tuple[int, int, int, int]], scores: np.ndarray) ->
     return out[::-1]
 
 
+#: Kinds and numbers of the characters of an account number in an IBAN: digits (n), capitals (a) or either (c).
+_ACCOUNTS = {
+    "DE": (("n", 18),), "FR": (("n", 10), ("c", 11), ("n", 2)), "ES": (("n", 20),), "CH": (("n", 5), ("c", 12)), "GB": (("a", 4), ("n", 14)), "NL": (("a", 4), ("n", 10)),
+    "IE": (("a", 4), ("n", 14)), "LV": (("a", 4), ("c", 13)), "MT": (("a", 4), ("n", 5), ("c", 18)), "SC": (("a", 4), ("n", 20), ("a", 3)),
+}
+
+
 def _generated(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     """A sentence and its entities (start, end, kind)."""
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     letters = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    code = lambda: "".join(rng.choice(capitals) for _ in range(rng.randint(1, 4)))
+    wide = lambda made: re.sub(" ", lambda _: rng.choice(("  ", "   ", "\n", "\r\n", "\t", " \n ")), made) if rng.random() < 0.15 else made
 
     def card() -> str:
         body = rng.choice("3456") + digits(rng.choice((14, 14, 14, 13, 12)))
@@ -244,9 +270,10 @@ def _generated(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         return rng.choice((f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 {a} {b} {c}", f"+{rng.randint(20, 99)} {digits(2)} {digits(4)} {digits(4)}", f"+{rng.randint(20, 99)}{digits(9)}", f"0{digits(2)} {digits(4)} {digits(4)}", f"+{rng.randint(30, 49)} {digits(3)} {digits(7)}"))
 
     def iban() -> str:
-        body = rng.choice(("DE", "FR", "ES", "GB", "NL")) + "00" + digits(rng.choice((14, 18, 20)))
-        check = 98 - int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97
-        body = f"{body[:2]}{check:02d}{body[4:]}"
+        country = rng.choice(("DE", "FR", "ES", "CH", "GB", "NL", "IE", "LV", "MT", "SC"))
+        body = "".join(rng.choice({"n": "0123456789", "a": capitals, "c": "0123456789" * 3 + capitals}[k]) for k, n in _ACCOUNTS[country] for _ in range(n))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        body = f"{country}{check:02d}{body}"
         return body if rng.random() < 0.5 else " ".join(body[i : i + 4] for i in range(0, len(body), 4))
 
     def number() -> str:
@@ -256,6 +283,8 @@ def _generated(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             f"{rng.randint(1900, 2030)}", f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(1, 12)}/{rng.randint(1, 28)}/{rng.randint(1990, 2030)}", f"{rng.randint(10, 23)}:{rng.randint(10, 59)}:{digits(2)}",
             f"${digits(3)},{digits(3)}.00", f"{digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{rng.randint(256, 999)}.{digits(3)}.{digits(2)}.{rng.randint(256, 999)}", f"@{letters(3, 8)}{digits(2)}", f"AB-{digits(5)}", f"{digits(4)}-{digits(4)}", "19" + digits(14), f"x{digits(4)}y",
             f"AKIA{''.join(rng.choice('ABCDEFGHIJ234567') for _ in range(16))}", f"password={hexa}", f'"{hexa}"', f"{digits(5)}.{digits(5)}", f"{rng.randint(1, 99)} {rng.randint(100, 999)} {rng.randint(100, 999)}", f"{letters(2, 6)}@{letters(3, 5)}", f"{digits(2)}%", f"{digits(20)}", f"{digits(4)} {digits(4)}",
+            f"{rng.randint(1, 28)} {code()} {rng.randint(1900, 2030)}", f"{digits(rng.randint(1, 4))} {code()} {digits(rng.randint(1, 5))}", f"{code()} {digits(rng.randint(3, 8))} {code()}", f"{capitals[rng.randint(0, 25)]}{digits(2)} {code()} {digits(4)} {digits(4)} {digits(2)}",
+            "\n".join(digits(rng.randint(1, 6)) for _ in range(rng.randint(2, 6))), "\n".join(f"{rng.randint(1, 99)}  {digits(3)}  {digits(rng.choice((2, 4)))}" for _ in range(rng.randint(1, 3))),
             f"{rng.randint(1, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}",
         ))
 
@@ -273,12 +302,14 @@ def _generated(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             if rng.random() < 0.25:
                 text += cues[kind] + rng.choice((" ", ": "))
             text += rng.choice(("", "", "", "", "(", '"', "=", "<")) if rng.random() < 0.2 else ""
-            made = makers[kind]()
+            made = wide(makers[kind]())
             gold.append((len(text), len(text) + len(made), kind))
             text += made
         else:
             text += rng.choice(("order ", "version ", "id ", "", "", "")) + number()
         text += rng.choice(("", "", "", ".", ",", ";", "\n"))
+        if rng.random() < 0.1:
+            text += " " + code()
         text += " " + letters(1, 7) + " " if rng.random() < 0.8 else " "
     return text, gold
 

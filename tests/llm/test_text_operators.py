@@ -136,6 +136,23 @@ def test_entities(crf):
         assert list(crf.find_all(pa.array([text]))) == [], text
 
 
+def test_letter_groups_and_white_space(crf):
+    ibans = ["GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "IE29 AIBK 9311 5212 3456 78", "LV80 BANK 0000 4351 9500 1", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "SC18 SSCB 1101 0000 0000 0000 1497 USD", "DE89 3704 0044 0532 0130 00"]
+    cases = [(x, "IBAN") for x in ibans] + [("+1 (274) 555-9629", "PHONE"), ("4337 1665 9846 4399", "CARD")]
+    for made, kind in cases:
+        for blank in (" ", "  ", "\n", "\r\n    "):
+            made_so = made.replace(" ", blank)
+            for text in (f"it is {made_so} by", f"it is {made_so}", f"it is {made_so} EUR or so", f"it is {made_so}.\nNext"):
+                assert [(text[s:e], k) for _, s, e, k, _ in crf.find_all(pa.array([text]))] == [(made_so, kind)], text
+    phones = "274-555-9629\n274-555-9630\n274-555-9631"
+    assert [phones[s:e] for _, s, e, _, _ in crf.find_all(pa.array([phones, "3 MAY 2020", "12\n345\n6789\n22", "paid 500 USD 2020 OK"]))] == phones.split("\n")
+    made = [pii._generated(random.Random(i)) for i in range(300)]
+    assert any(t[s + 4 : e].strip()[:4].isalpha() for t, gold in made for s, e, k in gold if k == "IBAN")
+    # no window goes beyond its document
+    raw = np.frombuffer(b"to GB29NWBK 6016 1331 9268 19AB 12", np.uint8)
+    assert list(zip(*(x.tolist() for x in pii._windows(raw, np.array([0, 7, 29, 34]))), strict=True)) == [(0, 3, 7), (1, 12, 29), (2, 32, 34)]
+
+
 def test_held_out_sentences(crf):
     rng, right, found, wanted = random.Random(2024), 0, 0, 0
     for _ in range(400):

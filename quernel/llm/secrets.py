@@ -43,7 +43,7 @@ RULES: dict[str, re.Pattern] = {
     "assigned_secret": re.compile(r"(?i)(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,24}[_.-]){0,3}(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4}[\"']?([^\s\"'`,;<>]{8,256})"),
 }
 #: A finding needs a long run of key characters or one of these; the quick look at whole slices uses it.
-_LITERALS = re.compile(rb"-----BEGIN|://|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|&#[0-9xX]")
+_LITERALS = re.compile(rb"-----BEGIN|://|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]|&#[0-9xX]")
 _KEYWORDS = (b"passw", b"pwd", b"secret", b"token", b"api_key", b"api-key", b"apikey", b"access_key", b"access-key", b"accesskey")
 _RUN = 16
 _IS_KEY = np.zeros(256, bool)

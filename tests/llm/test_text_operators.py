@@ -80,6 +80,13 @@ def test_quick_look_misses_nothing(rows):
     assert got == sorted((i, *x[:4]) for i, t in enumerate(texts) for x in secrets.scan(t)) and len(got) > 50
 
 
+def test_quick_look_sees_braces(rows):
+    braces = lambda x: "".join(f"\\u{{{ord(c):x}}}" for c in x)
+    texts = [f"say {braces(KEY)} now", braces("pwd=abcdefgh1"), braces("é " + KEY), f"say {braces('word')} now"]
+    got = collect(secrets.scan_secrets(rows(*enumerate(texts))).select("doc_id", "rule", "start", "end", "layers"))
+    assert got == sorted((i, *x[:4]) for i, t in enumerate(texts) for x in secrets.scan(t)) and [x[0] for x in got] == [0, 1, 2]
+
+
 # quality rules
 
 JUNK = ["", "one two", "word " * 50, "SHOUTING ALL THE TIME " * 20, "a | b | c | d | e | f | g | h | i | j", "th### of%%% and*** in&&& on$$$ at###", "Hey!! You!! There!! Now!! Come!! On!! In!!", "same line\n" * 9, "9999 8888 7777 6666 1234 5678"]

@@ -52,7 +52,8 @@ for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-":
 
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
+#: Lines of 16 characters or more, and a shorter one after them: the end of a wrapped block, or a word that doesn't belong to it.
+_BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*)((?:\r?\n[A-Za-z0-9+/_-]{1,15})?)={0,2}")
 _MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\x9c": "zlib", b"\x78\xda": "zlib"}
 
 Span = tuple[int, int]
@@ -165,20 +166,35 @@ def _decode64(run: str) -> bytes | None:
 
 
 def _base64(text: str) -> Iterator[tuple[str, str | bytes, list[int], list[int]]]:
-    """The whole run, or its rest after one to three characters, or else each part between / _ and -, whichever decodes first."""
+    """The whole run, or its rest after one to three characters, or else each part between / _ and -, whichever decodes first.
+
+    A run with a short last line is read with it, and once more without it unless padding or full lines before it show that it
+    belongs there: it may as well be the next word. After a line that is shorter than the one before no further line is read.
+    """
     for m in _BASE64.finditer(text):
-        kept = [i for i in range(m.start(), m.end()) if text[i] not in "\r\n"]
-        run = "".join(text[i] for i in kept)
-        tries = [(k, run[k:]) for k in range(4)] + [(x.start(), x.group()) for x in re.finditer(r"[A-Za-z0-9+]{16,}={0,2}", run)]
-        for k, part in tries:
-            raw = _decode64(part)
-            if raw and _plausible(raw):
-                place = kept[k:]
-                starts = [place[min(i * 8 // 6, len(place) - 1)] for i in range(len(raw))]
-                ends = [place[min((i * 8 + 7) // 6, len(place) - 1)] + 1 for i in range(len(raw))]
-                yield "base64", *_as_text(raw, starts, ends)
-                if k < 4 and len(part) == len(run) - k:
-                    break
+        done = set()
+        lines = [len(x.rstrip("\r")) for x in m.group(1).split("\n")]
+        ended = len(lines) > 2 and lines[-1] < lines[-2]
+        for end in (m.end(1),) if m.group(2) and ended else (m.end(), m.end(1)):
+            kept = [i for i in range(m.start(), end) if text[i] not in "\r\n"]
+            run = "".join(text[i] for i in kept)
+            tries = [(k, run[k:]) for k in range(4)] + [(x.start(), x.group()) for x in re.finditer(r"[A-Za-z0-9+]{16,}={0,2}", run)]
+            whole = False
+            for k, part in tries:
+                if (k, part) in done:
+                    continue
+                done.add((k, part))
+                raw = _decode64(part)
+                if raw and _plausible(raw):
+                    place = kept[k:]
+                    starts = [place[min(i * 8 // 6, len(place) - 1)] for i in range(len(raw))]
+                    ends = [place[min((i * 8 + 7) // 6, len(place) - 1)] + 1 for i in range(len(raw))]
+                    yield "base64", *_as_text(raw, starts, ends)
+                    if k < 4 and len(part) == len(run) - k:
+                        whole = any(raw.startswith(x) for x in _MAGIC) or len(part) % 4 == 0 and (part.endswith("=") or len(lines) > 1 and len(set(lines)) == 1)
+                        break
+            if whole or not m.group(2):
+                break
 
 
 def _inflate(raw: bytes, limit: int) -> tuple[str, bytes | None, bool]:

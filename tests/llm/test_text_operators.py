@@ -87,6 +87,23 @@ def test_quick_look_sees_braces(rows):
     assert got == sorted((i, *x[:4]) for i, t in enumerate(texts) for x in secrets.scan(t)) and [x[0] for x in got] == [0, 1, 2]
 
 
+@pytest.mark.parametrize(("width", "end"), [(76, "\n"), (64, "\r\n")])
+def test_wrapped_base64(width, end):
+    wrap = lambda x: end.join(b64(x)[i : i + width] for i in range(0, len(b64(x)), width))
+    secret = "password=b7db7aa4a5fcc78305b7db7aa4"
+    for n in range(30, 30 + 2 * width):  # last lines of every length
+        for found, made in ((KEY, f"{'word ' * n}"[:n] + " " + KEY), (secret[9:], f"{'word ' * n}"[:n] + " " + secret)):
+            for text in (f"see\n{wrap(made)}\n", f"see {wrap(made)}{end}-----END", f"see {wrap(made)}{end}and so on", f"see {wrap(made)}{end}ab cd"):
+                assert found in [x[4] for x in secrets.scan(text)], text
+            if b64(made).endswith("=") or len(b64(made)) > 2 * width:
+                assert [x[4] for x in secrets.scan(f"see\n{wrap(made)}\n")] == [found]
+    rng = random.Random(1)
+    for n in range(1, 100):
+        block = wrap(gzip.compress((rng.randbytes(n).hex() + " " + secret).encode()))
+        text = f"see {block}{end}."
+        assert [(text[s:e], x) for _, s, e, _, x in secrets.scan(text)] == [(block.rstrip("="), secret[9:])]
+
+
 # quality rules
 
 JUNK = ["", "one two", "word " * 50, "SHOUTING ALL THE TIME " * 20, "a | b | c | d | e | f | g | h | i | j", "th### of%%% and*** in&&& on$$$ at###", "Hey!! You!! There!! Now!! Come!! On!! In!!", "same line\n" * 9, "9999 8888 7777 6666 1234 5678"]

@@ -56,6 +56,8 @@ _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-F
 _BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*)((?:\r?\n[A-Za-z0-9+/_-]{1,15})?)={0,2}")
 _MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\x9c": "zlib", b"\x78\xda": "zlib"}
 
+_SKIPPED = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18", re.S)
+
 Span = tuple[int, int]
 
 
@@ -198,19 +200,35 @@ def _base64(text: str) -> Iterator[tuple[str, str | bytes, list[int], list[int]]
 
 
 def _inflate(raw: bytes, limit: int) -> tuple[str, bytes | None, bool]:
-    """(kind, content or None, whether it is too large)."""
-    kind = next(v for k, v in _MAGIC.items() if raw.startswith(k))
-    try:
-        if kind == "zstd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as r:
-                out = r.read(limit + 1)
-        elif kind in ("gzip", "zlib"):
-            out = zlib.decompressobj(47).decompress(raw, limit + 1)
-        else:
-            out = (bz2.BZ2Decompressor() if kind == "bzip2" else lzma.LZMADecompressor()).decompress(raw, limit + 1)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return kind, None, False
-    return kind, out[:limit], len(out) > limit
+    """(kind of the first member, content of all of them or None, whether it is too large)."""
+    first, out, rest = None, bytearray(), raw
+    while len(out) <= limit and (kind := next((v for k, v in _MAGIC.items() if rest.startswith(k)), None)):
+        first = first or kind
+        try:
+            member, rest = _member(kind, rest, limit + 1 - len(out))
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+            break
+        out += member
+        # zeros pad members; a frame of zstd that holds no data is skipped
+        rest = rest.lstrip(b"\0")
+        while _SKIPPED.match(rest):
+            rest = rest[8 + int.from_bytes(rest[4:8], "little") :]
+    return first, bytes(out[:limit]) if out else None, len(out) > limit
+
+
+def _member(kind: str, raw: bytes, most: int) -> tuple[bytes, bytes]:
+    """(content of the first member of a compressed region, up to ``most`` bytes or a little more, and what follows it)."""
+    if kind == "zstd":
+        d, out = zstandard.ZstdDecompressor().decompressobj(), bytearray()
+        # at most 128 KB come from four bytes: small pieces keep a bomb from unfolding at once
+        for at in range(0, len(raw), 256):
+            out += d.decompress(raw[at : at + 256])
+            if d.eof or len(out) >= most:
+                return bytes(out), d.unused_data + raw[at + 256 :] if d.eof else b""
+        return bytes(out), b""
+    d = zlib.decompressobj(47) if kind in ("gzip", "zlib") else bz2.BZ2Decompressor() if kind == "bzip2" else lzma.LZMADecompressor()
+    out = d.decompress(raw, most)
+    return out, d.unused_data if d.eof else b""
 
 
 def _children(layer: Layer, limit: int) -> Iterator[Layer | tuple[str, tuple[str, ...], Span]]:

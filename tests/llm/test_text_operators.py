@@ -1,14 +1,17 @@
 """Operators that judge each row by itself: secrets, quality rules, personal data, language, classifier."""
 
 import base64
+import bz2
 import gzip
 import itertools
+import lzma
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quernel.llm import language_id, pii, quality_knn, quality_rules, secrets
@@ -104,6 +107,19 @@ def test_wrapped_base64(width, end):
         assert [(text[s:e], x) for _, s, e, _, x in secrets.scan(text)] == [(block.rstrip("="), secret[9:])]
 
 
+@pytest.mark.parametrize("kind", ["gzip", "zlib", "bzip2", "xz", "zstd"])
+def test_members_of_a_region(kind):
+    pack = {"gzip": gzip.compress, "zlib": zlib.compress, "bzip2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}[kind]
+    skipped = b"\x50\x2a\x4d\x18\x03\0\0\0abc" if kind == "zstd" else b"\0" * 4
+    for members in ([b"one ", b"two ", f"three {KEY}".encode()], [b"", f"key {KEY}".encode()], [b"in two: " + KEY[:9].encode(), KEY[9:].encode()]):
+        for between in (b"", skipped):
+            for behind in (b"", b"\x1f", pack(b" broken")[:-9], pack(b" x" * 99)[:-9] + b"no end"):
+                text = b64(between.join(map(pack, members)) + behind)
+                assert [(x[0], x[3], x[4]) for x in secrets.scan(text)] == [("aws_access_key", f"base64>{kind}", KEY)], (members, between, behind)
+    bomb = b64(pack(b"a" * 600) + pack(b"a" * 600))
+    assert [x[0] for x in secrets.scan(bomb, limit=1000)] == ["oversized_layer"] and secrets.scan(bomb, limit=1200) == []
+
+
 # quality rules
 
 JUNK = ["", "one two", "word " * 50, "SHOUTING ALL THE TIME " * 20, "a | b | c | d | e | f | g | h | i | j", "th### of%%% and*** in&&& on$$$ at###", "Hey!! You!! There!! Now!! Come!! On!! In!!", "same line\n" * 9, "9999 8888 7777 6666 1234 5678"]

@@ -4,7 +4,8 @@ Each language has a model of its words' n-grams of bytes, fitted on a bounded sa
 rows. The words of a document are drawn from a mixture of languages: expectation-maximisation
 estimates the proportions from the words' n-gram likelihoods. The language set grows by one
 language at a time, as long as the likelihood rises by more than a penalty (half the logarithm of
-the number of words, plus ``PENALTY`` for each word) and the new share is ``LEAST_SHARE`` or more.
+the number of words, plus ``PENALTY`` for each word) and each language of the set keeps a share of
+``LEAST_SHARE`` or ``LEAST_WORDS`` words, whichever is less.
 
 All documents of a slice are inferred at once: a word is a row of log-likelihoods by language, and
 expectation and maximisation are sums by document.
@@ -27,8 +28,10 @@ ROWS_A_LANGUAGE = 400
 #: Bytes in an n-gram.
 ORDER = 4
 ITERATIONS = 10
-#: Least share of a language in the set.
+#: Least share of a language in the set, in texts of up to LEAST_WORDS / LEAST_SHARE words.
 LEAST_SHARE = 0.1
+#: In longer ones so many words are enough, whatever the text's length.
+LEAST_WORDS = 10
 #: Nats a word that a further language must bring, besides half the logarithm of the number of words.
 PENALTY = 0.02
 UNKNOWN = "und"
@@ -128,7 +131,7 @@ def infer(x: np.ndarray, first: np.ndarray) -> np.ndarray:
             trial[np.arange(len(open_)), new] = True
             share = em(p, counts, trial)
             gained = _fit_of(p, top, counts, share)
-            better = (gained - fit[open_] > penalty[open_]) & (np.where(trial, share, 1).min(axis=1) >= LEAST_SHARE)
+            better = (gained - fit[open_] > penalty[open_]) & (np.where(trial, share, 1).min(axis=1) >= np.minimum(LEAST_SHARE, LEAST_WORDS / counts))
             at = open_[better]
             chosen[at], shares[at], fit[at] = trial[better], share[better], gained[better]
             better &= ~trial.all(axis=1)

@@ -268,6 +268,16 @@ def test_mixtures(spark):
     assert {r.language for r in language_id.identify(docs, train.where("false")).collect()} == {"und"}
 
 
+def test_passages_in_long_documents(spark):
+    rng = random.Random(2)
+    train = spark.createDataFrame([(i, lang, sentence(rng, lang, 40)) for i, lang in enumerate(list(WORDS) * 10)], "doc_id long, lang string, text string")
+    passage = sentence(rng, "fr", 1500)
+    docs = [(0, "en", f"{sentence(rng, 'en', 1500)} {passage}"), (1, "en", f"{sentence(rng, 'en', 9000)} {passage} {sentence(rng, 'en', 9500)}"), (2, "en", sentence(rng, "en", 20_000))]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(docs, "doc_id long, lang string, text string"), train).collect()}
+    assert set(got[0].languages.split(",")) == {"en", "fr"} and got[1].languages == "en,fr" and got[2].languages == "en"
+    assert got[1].share == pytest.approx(18_500 / 20_000, abs=0.01)
+
+
 def test_inference_against_plain_em():
     rng = np.random.default_rng(0)
     counts = rng.integers(1, 30, 12)

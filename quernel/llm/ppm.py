@@ -247,7 +247,8 @@ def code_lengths(docs: DataFrame, train: DataFrame | None = None, order: int = O
 
     Counting shuffles each task's distinct grams once. The tries are broadcast up to
     ``pass_entries`` entries at a time; if they are larger, the texts are scored in several
-    passes, each for the bytes that follow the context bytes of a pass.
+    passes, each for the bytes that follow the context bytes of a pass, the last also for those
+    that follow bytes training never saw.
     """
     if not 1 <= order <= 6:
         raise ValueError("order must be from 1 to 6")
@@ -264,6 +265,8 @@ def code_lengths(docs: DataFrame, train: DataFrame | None = None, order: int = O
     for k, piece in enumerate(pieces):
         mine = np.zeros(256, bool)
         mine[piece if len(pieces) > 1 else slice(None)] = True
+        if k == len(pieces) - 1:  # contexts that training never saw are in no piece
+            mine[np.setdiff1d(np.arange(256), sum(pieces, []))] = True
         part = counts if len(pieces) == 1 else counts.where(F.shiftright("gram", 8).bitwiseAND(F.lit(255)).isin(piece))
         grams = part.toArrow()
         held = []

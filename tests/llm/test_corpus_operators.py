@@ -229,6 +229,13 @@ def test_trained_elsewhere_and_empty(rows):
     assert ppm.code_lengths(docs.where("false")).count() == 0
 
 
+def test_passes_code_every_byte(rows):
+    docs = rows((1, "banana"), (2, "xyzzy 123 XYZ"), (3, "bxaxn"), (4, "é"))
+    train = rows((7, "banana banana banana"), (8, "cabbage in a bag"))
+    one, many = ({r.doc_id: r.bits for r in ppm.code_lengths(docs, train, pass_entries=n).collect()} for n in (ppm.PASS_ENTRIES, 20))
+    assert many == pytest.approx(one, rel=1e-5, abs=1e-3) and one[2] > 50
+
+
 # pipeline
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import materialize, table
 from .decontaminate import contaminated
 from .language_id import identify
-from .ngram_join import jaccard_join
+from .ngram_join import all_pairs, jaccard_join
 from .pii import find_pii
 from .ppm import code_lengths
 from .quality_knn import classify
@@ -33,6 +33,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_pairs(materialize(jaccard_join(table(spark, sf_dir, "documents"))))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontaminate": op2_decontaminate,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op3_ngram_jaccard_pairs": op3_ngram_jaccard_pairs,
     "op4_quality_rules": op4_quality_rules,
     "op5_source_mix": op5_source_mix,
     "op6_quality_knn": op6_quality_knn,
@@ -111,6 +116,12 @@ SQL: dict[str, str] = {
         select a as doc_id_a, b as doc_id_b, c::double / (x.n + y.n - c)::double as jaccard
         from p join s x on x.doc_id = a join s y on y.doc_id = b where c::double / (x.n + y.n - c)::double >= 0.4
         union all select name, doc_id, 1.0::double from sets join names using (f) where doc_id > name""",
+    "op3_ngram_jaccard_pairs": f"""
+        with g as (select distinct doc_id, g from ({_windows("documents", "doc_id", 5)})),
+        s as (select doc_id, count(*) as n from g group by 1),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2)
+        select a as doc_id_a, b as doc_id_b, c::double / (x.n + y.n - c)::double as jaccard
+        from p join s x on x.doc_id = a join s y on y.doc_id = b where c::double / (x.n + y.n - c)::double >= 0.4""",
     "op4_quality_rules": r"""
         with t as (select doc_id, coalesce(text, '') as t from documents),
         m as (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quernel.llm import decontaminate, ngram_join, ppm, sharding, source_mix
+from quernel.llm import queries as llm_queries
 
 
 def collect(df):
@@ -63,6 +64,17 @@ def test_join_against_all_pairs(rows, copies):
     assert ngram_join.jaccard_join(docs.where("false")).count() == 0 and ngram_join.deduplicate(docs.where("false")).count() == 0
 
 
+def test_query_of_all_pairs(rows, copies, spark, tmp_path):
+    more = [*copies, *((1000 + i, copies[0][1]) for i in range(4))]
+    rows(*more).write.parquet(f"{tmp_path}/documents.parquet")
+    got = llm_queries.QUERIES["op3_ngram_jaccard_pairs"](spark, str(tmp_path))
+    want = matches(more)
+    assert got.columns == ["doc_id_a", "doc_id_b", "jaccard"] and got.count() == len(want)
+    assert {(r.doc_id_a, r.doc_id_b): r.jaccard for r in got.collect()} == pytest.approx(want)
+    short = llm_queries.QUERIES["op3_ngram_jaccard_join"](spark, str(tmp_path))
+    assert short.count() < len(want)
+
+
 def test_join_splits_large_components(rows, copies, monkeypatch):
     monkeypatch.setattr(ngram_join, "QUERIES_A_TASK", 2)
     short = ngram_join.jaccard_join(rows(*copies))

@@ -7,9 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Bytes of a closure or broadcast above which operators take their distributed way.
-BROADCAST_LIMIT = 256 << 20
+#: Rows of narrow tables (ids and counts) up to which one side of a join is broadcast.
+BROADCAST_ROWS = 1_000_000
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -58,3 +59,16 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table``, which is materialized, marked for broadcasting if it has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have (names clash whatever their case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

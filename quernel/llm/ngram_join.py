@@ -6,19 +6,25 @@ match if the Jaccard similarity of their sets is ``threshold`` or more. The join
 collisions of 48 hash bits within one of P hash ranges.
 
 1. Every n-gram hash goes, packed to six bytes, to its hash range, where the ones held by two or
-   more distinct sets are found. An n-gram of one set can't add to any overlap, so a set keeps
-   only the shared ones, and a set with fewer than ``threshold * size`` of them has no partner
-   and is dropped: on a corpus without copies next to nothing is left.
-2. Sets left are ordered by rarity over the whole corpus. Two that match share an n-gram in
-   their prefixes, so the connected components over prefix n-grams hold every match.
+   more distinct sets are found and numbered by rarity. An n-gram of one set can't add to any
+   overlap, so a set keeps only the shared ones, by number, and a set with fewer than
+   ``threshold * size`` of them has no partner and is dropped. There are as many ranges as the
+   bytes of text ask for, so a task's memory doesn't grow with the table.
+2. The numbers order n-grams over the whole corpus, rarest first. Two sets that match share an
+   n-gram in their prefixes, so the connected components over prefix n-grams (and sizes that can
+   match) hold every match.
 3. Each component is stored in a path-compressed trie, commonest n-gram first. Every set is a
    query: it walks down sharing the overlap so far among all sets below, and leaves a subtree
-   when the lengths that remain can't reach the overlap needed. A large component is searched
-   by several tasks, each with a part of the queries.
+   when the lengths that remain can't reach the overlap needed. A large component is cut into
+   blocks by size and fingerprint, and a task searches the trie of one block with the sets of
+   another, so that none holds more than two blocks.
+4. A task hands on one row a set (its number of matches and a set that it is connected to), never
+   the pairs, which grow with the square of a group of copies.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +33,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import fresh_name, materialize, small
 from .kernel import mix, ngram_hashes, slices, span_hashes, words
 
-_LOW48 = np.uint64((1 << 48) - 1)
-#: Sets of a component that one task searches with; larger components are split among tasks.
-QUERIES_A_TASK = 4000
+#: Bytes of text a hash range, and the least number of ranges.
+RANGE_BYTES = 16 << 20
+LEAST_RANGES = 32
+#: Sets in a block of a component; components up to this size are searched as a whole.
+BLOCK_SETS = 1024
 #: Edges up to which components are found on the driver (16 bytes each).
-DRIVER_EDGES = 2_000_000
+DRIVER_EDGES = 1_000_000
 
 
 def lower(column: pa.Array) -> pa.Array:
@@ -45,7 +53,10 @@ def lower(column: pa.Array) -> pa.Array:
 
 
 def _pack(ranges: int, n: int):
-    """Batches (doc_id, text) -> a row of (doc_id, fp, size) a document and packed n-grams by hash range."""
+    """Batches (doc_id, text) -> a row (doc_id, fp) a document, one (fp, size) a set, and packed n-grams by hash range.
+
+    Documents are spread by their ids, sets by their fingerprints: copies of one text don't gather in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -60,75 +71,77 @@ def _pack(ranges: int, n: int):
                 cum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens * np.uint64(0xC2B2AE3D27D4EB4F)), dtype=np.uint64)])
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 fps = mix(cum[at[1:]] - cum[at[:-1]] + sizes.astype(np.uint64))
-                some = np.flatnonzero(sizes > 0)
-                if len(some) == 0:
-                    continue
+                own = ids.slice(a, b - a)
+                spread = (mix(own.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(ranges)).astype(np.int32)
+                yield _packed(spread, own, pa.array(fps.view(np.int64), mask=sizes == 0), None, None)
                 fresh = np.zeros(b - a, bool)
-                for i in some:
+                for i in np.flatnonzero(sizes > 0):
                     if (key := int(fps[i])) not in seen:
                         seen.add(key)
                         fresh[i] = True
-                home = (fps[some] % np.uint64(ranges)).astype(np.int32)
-                blank = pa.nulls(len(some), pa.binary())
-                yield _packed(home, ids.slice(a, b - a).take(pa.array(some)), fps[some].view(np.int64), sizes[some], blank)
+                if not fresh.any():
+                    continue
+                home = (fps[fresh] % np.uint64(ranges)).astype(np.int32)
+                yield _packed(home, None, fps[fresh].view(np.int64), sizes[fresh], None)
                 record = np.repeat(np.arange(b - a), sizes)
                 use = fresh[record]
                 tokens, record = tokens[use], record[use]
                 part = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
                 order = np.argsort(part.astype(np.uint16) if ranges < 65536 else part, kind="stable")
                 tokens, record, part = tokens[order], record[order], part[order]
-                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-                blobs, parts = [], []
+                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                blobs = []
                 for s, e in zip(cuts, [*cuts[1:], len(part)], strict=True):
-                    r = record[s:e]
-                    edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                    who = r[edge]
-                    counts = _counts(np.diff(np.append(edge, len(r))))
-                    six = np.ascontiguousarray(tokens[s:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-                    blobs.append(b"".join((np.array([len(who), counts.itemsize], "<u4").tobytes(), fps[who].astype("<u8").tobytes(), counts.tobytes(), six.tobytes())))
-                    parts.append(int(part[s]))
-                if blobs:
-                    none = pa.nulls(len(blobs), pa.int64())
-                    yield _packed(np.array(parts, np.int32), none, none, pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary()))
+                    blobs.append(_blob(fps[record[s:e]], tokens[s:e], 6))
+                yield _packed(part[cuts].astype(np.int32), None, None, None, pa.array(blobs, pa.binary()))
 
     return run
 
 
-def _packed(part, doc_id, fp, size, blob) -> pa.RecordBatch:
-    cast = lambda x: x if isinstance(x, pa.Array) else pa.array(x)
-    return pa.RecordBatch.from_arrays([cast(part), cast(doc_id).cast(pa.int64()), cast(fp), cast(size), blob], ["part", "doc_id", "fp", "size", "blob"])
+def _packed(part: np.ndarray, doc_id, fp, size, blob) -> pa.RecordBatch:
+    made = lambda x, kind: pa.nulls(len(part), kind) if x is None else (x if isinstance(x, pa.Array) else pa.array(x)).cast(kind)
+    return pa.RecordBatch.from_arrays([pa.array(part), made(doc_id, pa.int64()), made(fp, pa.int64()), made(size, pa.int64()), made(blob, pa.binary())], ["part", "doc_id", "fp", "size", "blob"])
 
 
-def _counts(counts: np.ndarray) -> np.ndarray:
-    """In two bytes each, or in four if one of them needs that."""
-    return counts.astype("<u2" if len(counts) == 0 or counts.max() < 65_536 else "<u4")
+def _blob(owner: np.ndarray, value: np.ndarray, width: int, sizes: np.ndarray | None = None, tag: int = 0) -> bytes:
+    """Numbers of ``width`` bytes by owner (64-bit, in runs), with the owners' sizes if given."""
+    edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    counts = np.diff(np.append(edge, len(owner)))
+    wide = 1 if counts.max() < 256 else 2 if counts.max() < 65_536 else 4
+    head = np.array([len(edge), tag, wide | width << 8 | (sizes is not None) << 16], "<u4").tobytes()
+    body = np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return b"".join((head, owner[edge].astype("<u8").tobytes(), b"" if sizes is None else sizes[edge].astype("<u4").tobytes(), counts.astype(f"<u{wide}").tobytes(), body))
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m, width = map(int, np.frombuffer(blob, "<u4", 2))
-    fps = np.frombuffer(blob, "<u8", m, 8)
-    counts = np.frombuffer(blob, f"<u{width}", m, 8 + 8 * m).astype(np.int64)
-    six = np.frombuffer(blob, np.uint8, -1, 8 + (8 + width) * m).reshape(-1, 6)
-    wide = np.zeros((len(six), 8), np.uint8)
-    wide[:, :6] = six
-    return fps, counts, wide.view("<u8").ravel()
+def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, int]:
+    """(owners, their counts, numbers, sizes, tag)."""
+    m, tag, form = map(int, np.frombuffer(blob, "<u4", 3))
+    wide, width, sized = form & 255, form >> 8 & 255, form >> 16
+    at = 12 + 8 * m
+    owner = np.frombuffer(blob, "<u8", m, 12)
+    sizes = np.frombuffer(blob, "<u4", m, at).astype(np.int64) if sized else None
+    at += 4 * m * sized
+    counts = np.frombuffer(blob, f"<u{wide}", m, at).astype(np.int64)
+    raw = np.frombuffer(blob, np.uint8, -1, at + wide * m).reshape(-1, width)
+    value = np.zeros((len(raw), 8), np.uint8)
+    value[:, :width] = raw
+    return owner, counts, value.view("<u8").ravel(), sizes, tag
 
 
 def _shared(ranges: int):
-    """Of one or more hash ranges: passes document rows on, and packs each set's n-grams that two sets or more hold, by the set's home range."""
+    """Of one or more hash ranges: passes documents and sets on, and packs each set's n-grams that two sets or more hold, by the set's home range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
         for batch in batches:
-            known = pc.is_valid(batch.column("fp"))
-            docs = batch.filter(known)
-            if len(docs):
-                yield pa.RecordBatch.from_arrays([docs.column("part"), docs.column("doc_id"), docs.column("fp"), docs.column("size"), pa.nulls(len(docs), pa.binary())], ["part", "doc_id", "fp", "size", "blob"])
-            rest = batch.filter(pc.invert(known))
+            plain = batch.filter(pc.is_null(batch.column("blob")))
+            if len(plain):
+                yield plain
+            rest = batch.filter(pc.is_valid(batch.column("blob")))
             for p, blob in zip(rest.column("part").to_pylist(), rest.column("blob").to_pylist(), strict=True):
                 blobs.setdefault(p, []).append(blob)
         for p in list(blobs):
-            yield from _of_range(p, [_unpack(x) for x in blobs.pop(p)], ranges)
+            yield from _of_range(p, [_unblob(x)[:3] for x in blobs.pop(p)], ranges)
 
     return run
 
@@ -144,37 +157,29 @@ def _of_range(p: int, pieces: list[tuple[np.ndarray, ...]], ranges: int) -> Iter
     hit = np.flatnonzero(twice[slot] == token)
     owner = np.repeat(np.arange(len(fps)), counts)[hit]
     slot = slot[hit].astype(np.int64)
+    del token, hit
     # one entry for each n-gram and distinct set, sets in the order of their homes
     order = np.lexsort((slot, fps[owner], fps[owner] % np.uint64(ranges)))
-    slot, owner = slot[order], owner[order]
-    f = fps[owner]
+    slot, f = slot[order], fps[owner[order]]
     new = np.ones(len(f), bool)
     new[1:] = (f[1:] != f[:-1]) | (slot[1:] != slot[:-1])
-    slot, owner, f = slot[new], owner[new], f[new]
+    slot, f = slot[new], f[new]
     df = np.bincount(slot, minlength=len(twice))
     two = df[slot] >= 2
-    slot, owner, f = slot[two], owner[two], f[two]
+    slot, f = slot[two], f[two]
     if len(slot) == 0:
         return
-    # seven bytes an n-gram: the hash below its range, and how many sets hold it on a logarithmic scale
-    seven = np.empty((len(slot), 7), np.uint8)
-    seven[:, :6] = twice[slot].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    seven[:, 6] = np.minimum(np.rint(np.log2(df[slot]) * 8), 255)
-    edge = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-    ends = np.append(edge[1:], len(f))
-    home = f[edge] % np.uint64(ranges)
-    first = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
-    blobs = []
-    for s, e in zip(first, np.append(first[1:], len(edge)), strict=True):
-        counts = _counts(ends[s:e] - edge[s:e])
-        head = np.array([e - s, p, counts.itemsize], "<u4").tobytes()
-        blobs.append(b"".join((head, f[edge[s:e]].astype("<u8").tobytes(), counts.tobytes(), seven[edge[s] : ends[e - 1]].tobytes())))
-    none = pa.nulls(len(blobs), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(home[first].astype(np.int32)), none, none, none, pa.array(blobs, pa.binary())], ["part", "doc_id", "fp", "size", "blob"])
+    rank = np.empty(len(twice), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(twice))
+    home = f % np.uint64(ranges)
+    cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
+    width = 3 if len(twice) < 1 << 24 else 4
+    blobs = [_blob(f[s:e], rank[slot[s:e]], width, tag=p) for s, e in zip(cuts, [*cuts[1:], len(home)], strict=True)]
+    yield _packed(home[cuts].astype(np.int32), None, None, None, pa.array(blobs, pa.binary()))
 
 
 def _assemble(threshold: float):
-    """The packed n-grams of a home range -> (fp, size, keys, dfs) of the sets that hold enough of them to have a partner."""
+    """The packed n-grams of a home range -> (fp, size, keys) of the sets that hold enough of them to have a partner; keys rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         homes: dict[int, list[bytes]] = {}
@@ -190,60 +195,56 @@ def _assemble(threshold: float):
         known_fp, first = np.unique(fp_size[0].view(np.uint64), return_index=True)
         known_size = fp_size[1][first]
         for h in list(homes):
-            fps, counts, keys, dfs = [], [], [], []
+            fps, counts, keys = [], [], []
             for blob in homes.pop(h):
-                m, p, width = map(int, np.frombuffer(blob, "<u4", 3))
-                fps.append(np.frombuffer(blob, "<u8", m, 12))
-                counts.append(np.frombuffer(blob, f"<u{width}", m, 12 + 8 * m).astype(np.int64))
-                seven = np.frombuffer(blob, np.uint8, -1, 12 + (8 + width) * m).reshape(-1, 7)
-                wide = np.zeros((len(seven), 8), np.uint8)
-                wide[:, :6] = seven[:, :6]
-                keys.append(wide.view("<u8").ravel() | (np.uint64(p) << np.uint64(48)))
-                dfs.append(seven[:, 6])
-            fp, count = np.concatenate(fps), np.concatenate(counts)
-            key, df = np.concatenate(keys), np.concatenate(dfs)
+                owners, held, ranks, _, p = _unblob(blob)
+                fps.append(owners)
+                counts.append(held)
+                keys.append(ranks << np.uint64(20) | np.uint64(p))
+            fp, count, key = np.concatenate(fps), np.concatenate(counts), np.concatenate(keys)
             every, at = np.unique(fp, return_inverse=True)
             held = np.bincount(at, count)
             whole = known_size[np.searchsorted(known_fp, every)]
             live = held >= threshold * whole - 1e-9
             owner = np.repeat(at, count)
             use = np.flatnonzero(live[owner])
-            use = use[np.argsort(owner[use], kind="stable")]
-            key, df, owner = key[use], df[use], owner[use]
+            key, owner = key[use], owner[use]
+            order = np.lexsort((key, owner))
+            key, owner = key[order], owner[order]
             edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
             for s in range(0, len(edge), 256):
                 cut = [*edge[s : s + 257], len(owner)][: len(edge[s : s + 256]) + 1]
                 o = owner[edge[s : s + 256]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(every[o].view(np.int64)), pa.array(whole[o]), pa.array([key[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), pa.array([df[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())],
-                    ["fp", "size", "keys", "dfs"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(every[o].view(np.int64)), pa.array(whole[o]), pa.array([key[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["fp", "size", "keys"])
 
     return run
 
 
-def _prefixes(threshold: float):
-    """Batches (fp, size, keys, dfs) -> (fp, key) for each n-gram of the prefix."""
+def _prefixes(threshold: float, ranges: int):
+    """Batches (fp, size, keys) -> the n-grams of the prefixes, packed by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, tokens = [], []
-            for fp, size, *packed in zip(*(batch.column(c).to_pylist() for c in ("fp", "size", "keys", "dfs")), strict=True):
-                key, df = _joined(*packed)
-                left = len(key) - int(np.ceil(threshold * size - 1e-9)) + 1
-                tokens.append(key[np.lexsort((key, df))][:left])
-                fps.append(np.full(left, fp, np.int64))
-            if fps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), pa.array(np.concatenate(tokens).view(np.int64))], ["fp", "key"])
+            tokens, left = [], []
+            for size, packed in zip(batch.column("size").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                key = np.frombuffer(packed, "<u8")
+                left.append(len(key) - math.ceil(threshold * size - 1e-9) + 1)
+                tokens.append(key[: left[-1]])
+            if not tokens:
+                continue
+            key = np.concatenate(tokens)
+            fp = np.repeat(batch.column("fp").to_numpy().view(np.uint64), left)
+            size = np.repeat(batch.column("size").to_numpy(), left)
+            part = (mix(key) % np.uint64(ranges)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            key, fp, size, part = key[order], fp[order], size[order], part[order]
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            blobs = [_blob(fp[s:e], key[s:e], 7, size[s:e]) for s, e in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return run
 
 
-def _joined(keys: bytes, dfs: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams, how common each is) of a set."""
-    return np.frombuffer(keys, "<u8"), np.frombuffer(dfs, np.uint8).astype(np.int64)
-
-
 class Trie:
     """Sets of ranks in ascending order, path-compressed; a node knows the least set size and the longest rest below it."""
 
@@ -299,59 +300,69 @@ class Trie:
         return found
 
 
-def _search(threshold: float):
-    """Batches sorted by (label, salt) -> the matches (fp_a, fp_b, jaccard) of each component."""
+def _search(threshold: float, pairs: bool):
+    """Batches sorted by cell -> the matches (fp_a, fp_b, jaccard) of each cell, or (fp, links, root): for each set with a match how many documents match it, and a set that it is connected to."""
 
-    def component(rows: list[dict]) -> Iterator[tuple[int, int, float]]:
-        keys, dfs = zip(*(_joined(r["keys"], r["dfs"]) for r in rows), strict=True)
+    def cell(rows: dict[str, np.ndarray], keys: list[bytes]) -> pa.RecordBatch | None:
+        keys = [np.frombuffer(k, "<u8") for k in keys]
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        df = np.zeros(len(every), np.int64)
-        df[place] = np.concatenate(dfs)
-        rank = np.empty(len(every), np.int64)
-        rank[np.lexsort((every, -df))] = np.arange(len(every))
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        sets = [np.sort(x) for x in np.split(rank[place], cuts)]
-        sizes, trie = [r["size"] for r in rows], Trie(np.zeros(0, np.int64))
-        for i, s in enumerate(sets):
-            trie.insert(s, i, sizes[i])
+        rank = len(every) - 1 - place  # the commonest first
+        sets = [np.sort(x) for x in np.split(rank, np.cumsum([len(k) for k in keys])[:-1])]
+        sizes, trie = rows["size"].tolist(), Trie(np.zeros(0, np.int64))
+        fps, copies = rows["fp"].tolist(), rows["copies"]
+        # a block against itself, or the sets of the second block against the trie of the first
+        whole = rows["same"].all()
+        for i in np.flatnonzero(rows["first"]).tolist():
+            trie.insert(sets[i], i, sizes[i])
         held = np.zeros(len(every), np.int64)
-        for i, s in enumerate(sets):
-            if rows[i]["fp"] % rows[i]["salts"] != rows[i]["salt"]:
-                continue  # another task's query
-            held[s] = 1
-            for j, overlap in trie.search(s, sizes[i], held, threshold):
-                if rows[j]["fp"] < rows[i]["fp"]:
+        a, b, jaccards = [], [], []
+        for i in range(len(sets)) if whole else np.flatnonzero(~rows["first"]).tolist():
+            held[sets[i]] = 1
+            for j, overlap in trie.search(sets[i], sizes[i], held, threshold):
+                if not whole or fps[j] < fps[i]:
                     jaccard = overlap / (sizes[i] + sizes[j] - overlap)
                     if jaccard >= threshold:
-                        yield rows[j]["fp"], rows[i]["fp"], jaccard
-            held[s] = 0
+                        a.append(j)
+                        b.append(i)
+                        jaccards.append(jaccard)
+            held[sets[i]] = 0
+        if not a:
+            return None
+        u, v = np.array(a), np.array(b)
+        if pairs:
+            x, y = rows["fp"][u], rows["fp"][v]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(jaccards)], ["fp_a", "fp_b", "jaccard"])
+        links = np.bincount(u, copies[v], len(sets)) + np.bincount(v, copies[u], len(sets))
+        nodes, label = _labels(u, v)
+        return pa.RecordBatch.from_arrays([pa.array(rows["fp"][nodes]), pa.array(links[nodes].astype(np.int64)), pa.array(rows["fp"][label])], ["fp", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, of = [], None
-        out: list[tuple[int, int, float]] = []
+        held: list[pa.RecordBatch] = []
+        of = None
+        columns = ("fp", "size", "copies", "first", "same")
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["label"], r["salt"]) != of:
-                    if rows:
-                        out += component(rows)
-                    rows, of = [], (r["label"], r["salt"])
-                rows.append(r)
-            if out:
-                yield _matches(out)
-                out = []
-        if rows:
-            out += component(rows)
-        if out:
-            yield _matches(out)
+            cells = list(zip(*(batch.column(c).to_pylist() for c in ("label", "cell")), strict=True))
+            a = 0
+            while a < len(cells):
+                b = a + 1
+                while b < len(cells) and cells[b] == cells[a]:
+                    b += 1
+                if cells[a] != of and held:
+                    t = pa.Table.from_batches(held)
+                    if (out := cell({c: t.column(c).to_numpy() for c in columns}, t.column("keys").to_pylist())) is not None:
+                        yield out
+                    held = []
+                of = cells[a]
+                held.append(batch.slice(a, b - a))
+                a = b
+        if held:
+            t = pa.Table.from_batches(held)
+            if (out := cell({c: t.column(c).to_numpy() for c in columns}, t.column("keys").to_pylist())) is not None:
+                yield out
 
     return run
 
 
-def _matches(out: list[tuple[int, int, float]]) -> pa.RecordBatch:
-    a, b, j = zip(*out, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], ["fp_a", "fp_b", "jaccard"])
-
-
 def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, the least node of each one's connected component)."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -369,32 +380,40 @@ def _labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, key) of whole keys -> edges (a, b) that connect the sets which share keys, one for each set but the least of its component."""
-    got = [(b.column("fp").to_numpy(), b.column("key").to_numpy()) for b in batches]
-    if not got:
-        return
-    fp, key = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.argsort(key, kind="stable")
-    fp, key = fp[order], key[order]
-    same = key[1:] == key[:-1]
-    nodes, label = _labels(fp[1:][same], fp[:-1][same])
-    some = nodes != label
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(label[some])], ["a", "b"])
+def _forest(threshold: float):
+    """Packed prefixes of whole n-grams -> edges (a, b) that connect the sets which share one and whose sizes may match, one for each set but the least of its component."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [_unblob(x) for b in batches for x in b.column("blob").to_pylist()]
+        if not got:
+            return
+        counts = np.concatenate([x[1] for x in got])
+        fp = np.repeat(np.concatenate([x[0] for x in got]), counts).view(np.int64)
+        size = np.repeat(np.concatenate([x[3] for x in got]), counts)
+        key = np.concatenate([x[2] for x in got])
+        order = np.lexsort((size, key))
+        fp, key, size = fp[order], key[order], size[order]
+        near = (key[1:] == key[:-1]) & (size[:-1] >= threshold * size[1:] - 1e-9)
+        nodes, label = _labels(fp[1:][near], fp[:-1][near])
+        some = nodes != label
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(label[some])], ["a", "b"])
 
-def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    return run
+
+
+def components(edges: DataFrame, driver_edges: int | None = None) -> DataFrame:
     """(node, label) for all nodes of the edges (a, b): label is the least node of the connected component.
 
-    Up to ``driver_edges`` edges are joined on the driver; beyond, by alternating large and small stars.
+    Up to ``driver_edges`` edges (``DRIVER_EDGES`` if not given) are joined on the driver, and the result is fit to be broadcast;
+    beyond, by alternating large and small stars.
     """
     spark = edges.sparkSession
     edges = materialize(edges.where("a <> b").select("a", "b").distinct())
-    if edges.count() <= driver_edges:
+    if edges.count() <= (DRIVER_EDGES if driver_edges is None else driver_edges):
         t = edges.toArrow()
         a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
         nodes, label = _labels(a, b)
-        return spark.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "label": pa.array(label, pa.int64())}))
+        return F.broadcast(spark.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "label": pa.array(label, pa.int64())})))
     state = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -412,47 +431,96 @@ def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     return stars.union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
-def _sets_and_matches(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    spark = docs.sparkSession
-    ranges = min(partitions(spark), 1 << 15)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    packed = rows.mapInArrow(_pack(ranges, n), "part int, doc_id long, fp long, size long, blob binary")
-    table = materialize(packed.repartitionById(ranges, F.col("part")).mapInArrow(_shared(ranges), "part int, doc_id long, fp long, size long, blob binary"))
-    docs_fp = table.where("doc_id is not null").select("doc_id", "fp")
-    homes = table.select("part", "fp", "size", "blob").repartitionById(ranges, F.col("part"))
-    sets = materialize(homes.mapInArrow(_assemble(threshold), "fp long, size long, keys binary, dfs binary"))
-    prefix = sets.mapInArrow(_prefixes(threshold), "fp long, key long")
-    label = components(prefix.repartition(ranges, "key").mapInArrow(_forest, "a long, b long"))
-    label = label.withColumnRenamed("node", "fp")
-    salts = label.groupBy("label").agg(F.ceil(F.count("*") / QUERIES_A_TASK).cast("int").alias("salts"))
-    queries = sets.join(label.join(salts, "label"), "fp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    queries = queries.repartition(ranges, "label", "salt").sortWithinPartitions("label", "salt")
-    return docs_fp, materialize(queries.mapInArrow(_search(threshold), "fp_a long, fp_b long, jaccard double"))
+class _Join:
+    """The steps of the join up to the matches between distinct sets."""
+
+    def __init__(self, docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str):
+        self.threshold = threshold
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.ranges = ranges = max(LEAST_RANGES, -(-size // RANGE_BYTES))
+        kind = "part int, doc_id long, fp long, size long, blob binary"
+        packed = rows.mapInArrow(_pack(ranges, n), kind)
+        table = materialize(packed.repartitionById(ranges, F.col("part")).mapInArrow(_shared(ranges), kind))
+        homes = table.where("doc_id is null").repartitionById(ranges, F.col("part"))
+        self.sets = materialize(homes.mapInArrow(_assemble(threshold), "fp long, size long, keys binary"))
+        #: Distinct (doc_id, fp); fp is null for a text without a word.
+        self.units = materialize(table.where("doc_id is not null").select("doc_id", "fp").repartition(ranges, "doc_id").distinct())
+        #: Each set's documents and the least of them.
+        self.held = materialize(self.units.where("fp is not null").groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("name")))
+
+    def matches(self, pairs: bool) -> DataFrame:
+        """(fp_a, fp_b, jaccard) of all sets that match, or (fp, links, root) as ``_search`` says."""
+        t, ranges, sets = self.threshold, self.ranges, self.sets
+        prefixes = sets.mapInArrow(_prefixes(t, ranges), "part int, blob binary")
+        label = components(prefixes.repartitionById(ranges, F.col("part")).mapInArrow(_forest(t), "a long, b long"))
+        label = materialize(self.held.select("fp", "copies").join(label.withColumnRenamed("node", "fp"), "fp"))
+        sized = sets.select("fp", "size").join(small(label), "fp")
+        # sizes whose ratio is the threshold or more are in one band or in two that are neighbours
+        band = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / t) + 1e-9).cast("int") if t < 1 else F.lit(0)
+        bands = sized.groupBy("label", band.alias("band")).agg(F.count("*").alias("n"))
+        grid = bands.groupBy("label").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / BLOCK_SETS).cast("int")))).alias("blocks"))
+        grid = materialize(grid.where(F.col("n") > BLOCK_SETS).select("label", "blocks"))
+        rows = sets.join(small(label), "fp").join(small(grid), "label", "left").withColumn("band", band)
+        rows = rows.withColumn("own", F.struct(F.col("band").alias("b"), F.pmod("fp", F.coalesce(F.col("blocks")[F.col("band")], F.lit(1))).cast("int").alias("h")))
+        cells = F.expr("""
+            case when blocks is null then array(named_struct('first', own, 'second', own)) else concat(
+                transform(sequence(0, blocks[band] - 1), j -> named_struct('first', named_struct('b', band, 'h', least(own.h, j)), 'second', named_struct('b', band, 'h', greatest(own.h, j)))),
+                case when blocks[band + 1] is null then array() else transform(sequence(0, blocks[band + 1] - 1), j -> named_struct('first', own, 'second', named_struct('b', band + 1, 'h', j))) end,
+                case when blocks[band - 1] is null then array() else transform(sequence(0, blocks[band - 1] - 1), j -> named_struct('first', named_struct('b', band - 1, 'h', j), 'second', own)) end
+            ) end""")
+        rows = rows.withColumn("at", F.explode(cells))
+        name = F.concat_ws(":", *[F.col(f"at.{x}.{y}") for x in ("first", "second") for y in "bh"])
+        rows = rows.select("label", name.alias("cell"), "fp", "size", "copies", "keys", (F.col("own") == F.col("at.first")).alias("first"), (F.col("at.first") == F.col("at.second")).alias("same"))
+        rows = rows.repartition(ranges, "label", "cell").sortWithinPartitions("label", "cell")
+        return materialize(rows.mapInArrow(_search(t, pairs), "fp_a long, fp_b long, jaccard double" if pairs else "fp long, links long, root long"))
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard) of all documents with Jaccard similarity ``threshold`` or more, exact copies in short.
+    """(doc_id, class_id, n_links) of every document: the least id of its class and how many others match it.
 
-    Documents of equal sets form a class, named by its least doc_id. The result has a row for
-    each pair of classes that match, by their names, and one with jaccard 1 for each further
-    member of a class; ``all_pairs`` writes them out. So the rows stay linear in the copies.
-    Always doc_id_a < doc_id_b, each pair once.
+    Two documents match if their sets' Jaccard similarity is ``threshold`` or more. A class holds
+    the documents that matches connect. All matches count, those between copies too, but no pair
+    is written out, so the rows stay linear in the documents whatever the size of a group.
 
-    Null ids, null texts and texts without a word have no partner. Rows that repeat an id and a
-    text count once; an id with several texts has the partners of each, never itself. Other
-    columns, whatever their names, are not read. An empty table gives no rows.
+    Rows with a null id have no result. A null text, an empty one or one without a word matches
+    nothing: it is a class of its own with 0 links. Rows that repeat an id and a text count once;
+    an id with several texts is one document, in one class, whose links are those of all its
+    texts (two of its texts that match count as links, too). Other columns, whatever their names,
+    are not read. An empty table gives no rows.
+    """
+    join = _Join(docs, n, threshold, id_col, text_col)
+    found = join.matches(pairs=False)
+    # several texts of one document connect its sets
+    many = join.units.groupBy("doc_id").agg(F.min("fp").alias("b"), F.count("fp").alias("n")).where("n > 1").select("doc_id", "b")
+    versions = join.units.where("fp is not null").join(many, "doc_id").select(F.col("fp").alias("a"), "b")
+    label = components(found.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(versions)).withColumnRenamed("node", "fp")
+    links = small(materialize(found.groupBy("fp").agg(F.sum("links").alias("links"))))
+    info = join.held.join(label, "fp", "left").join(links, "fp", "left").where("copies > 1 or label is not null")
+    info = materialize(info.select("fp", "name", F.coalesce("label", "fp").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    names = materialize(info.groupBy("class").agg(F.min("name").alias("class_id")))
+    info = materialize(info.join(small(names), "class").select("fp", "class_id", "links"))
+    every = join.units.join(small(info), "fp", "left")
+    return every.groupBy("doc_id").agg(F.min(F.coalesce("class_id", "doc_id")).alias("class_id"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def jaccard_pairs(docs: DataFrame, n: int = 5, threshold: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id_a, doc_id_b, jaccard) of all documents that match, exact copies in short; nulls and repeats as in ``jaccard_join``.
+
+    Documents of equal sets are named by their least doc_id. There is a row for each pair of
+    unequal sets that match, by their names, and one with jaccard 1 for each further document of
+    a set; ``all_pairs`` writes them out. Always doc_id_a < doc_id_b, each pair once.
     """
-    docs_fp, matches = _sets_and_matches(docs, n, threshold, id_col, text_col)
-    names = docs_fp.groupBy("fp").agg(F.min("doc_id").alias("name"), F.count("*").alias("held"))
-    a = names.select(F.col("fp").alias("fp_a"), F.col("name").alias("a"))
-    b = names.select(F.col("fp").alias("fp_b"), F.col("name").alias("b"))
-    pairs = matches.join(a, "fp_a").join(b, "fp_b").where("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), "jaccard")
-    copies = docs_fp.join(names.where("held > 1"), "fp").where("doc_id > name").select(F.col("name").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    join = _Join(docs, n, threshold, id_col, text_col)
+    a = join.held.select(F.col("fp").alias("fp_a"), F.col("name").alias("a"))
+    b = join.held.select(F.col("fp").alias("fp_b"), F.col("name").alias("b"))
+    pairs = join.matches(pairs=True).join(a, "fp_a").join(b, "fp_b").where("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), "jaccard")
+    copies = join.units.join(join.held.where("copies > 1"), "fp").where("doc_id > name").select(F.col("name").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
     return pairs.union(copies).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def all_pairs(short: DataFrame) -> DataFrame:
-    """Every pair of documents that match, from ``jaccard_join``'s result; quadratic in the copies."""
+    """Every pair of documents that match, from ``jaccard_pairs``' result; quadratic in the copies."""
     copies = short.where("jaccard = 1").select(F.col("doc_id_a").alias("name"), F.col("doc_id_b").alias("doc_id"))
     every = copies.union(copies.select("name", F.col("name").alias("doc_id")).distinct())
     inside = every.alias("x").join(every.alias("y"), "name").where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("doc_id_a"), F.col("y.doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
@@ -463,12 +531,13 @@ def all_pairs(short: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, n: int = 5, threshold: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group of connected matches the least id stays.
+    """The rows of ``docs`` without near copies: of each class of ``jaccard_join`` the least id stays.
 
-    Columns stay as they are. Rows with a null id or text, or a text without a word, stay. Rows
-    that repeat an id are one document and stay or go together.
+    Columns stay as they are, whatever their names. Rows with a null id or text, or a text without
+    a word, stay. Rows that repeat an id are one document and stay or go together. The ids that go
+    are broadcast up to ``BROADCAST_ROWS``; only beyond do the texts take part in a shuffle.
     """
-    pairs = jaccard_join(docs, n, threshold, id_col, text_col)
-    label = components(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")))
-    gone = label.where("node <> label").select(F.col("node").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    groups = jaccard_join(docs, n, threshold, id_col, text_col)
+    gone_id = fresh_name(docs, "gone")
+    gone = small(materialize(groups.where("class_id <> doc_id").select(F.col("doc_id").alias(gone_id))))
+    return docs.join(gone, docs[id_col].cast("long") == gone[gone_id], "left_anti")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import materialize, table
+from .common import table
 from .decontaminate import contaminated
 from .language_id import identify
-from .ngram_join import all_pairs, jaccard_join
+from .ngram_join import jaccard_join
 from .pii import find_pii
 from .ppm import code_lengths
 from .quality_knn import classify
@@ -33,10 +33,6 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
-def op3_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_pairs(materialize(jaccard_join(table(spark, sf_dir, "documents"))))
-
-
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
@@ -69,7 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontaminate": op2_decontaminate,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
-    "op3_ngram_jaccard_pairs": op3_ngram_jaccard_pairs,
     "op4_quality_rules": op4_quality_rules,
     "op5_source_mix": op5_source_mix,
     "op6_quality_knn": op6_quality_knn,
@@ -107,21 +102,14 @@ SQL: dict[str, str] = {
         )
         select doc_id, item_id, count(*)::bigint as n_windows from hits group by 1, 2""",
     "op3_ngram_jaccard_join": f"""
-        with g as (select distinct doc_id, g from ({_windows("documents", "doc_id", 5)})),
-        s as (select doc_id, count(*) as n from g group by 1),
-        sets as (select doc_id, md5(string_agg(g, '|' order by g)) as f from g group by 1),
-        names as (select f, min(doc_id) as name from sets group by 1),
-        r as (select g.* from g join names on g.doc_id = names.name),
-        p as (select a.doc_id as a, b.doc_id as b, count(*) as c from r a join r b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2)
-        select a as doc_id_a, b as doc_id_b, c::double / (x.n + y.n - c)::double as jaccard
-        from p join s x on x.doc_id = a join s y on y.doc_id = b where c::double / (x.n + y.n - c)::double >= 0.4
-        union all select name, doc_id, 1.0::double from sets join names using (f) where doc_id > name""",
-    "op3_ngram_jaccard_pairs": f"""
-        with g as (select distinct doc_id, g from ({_windows("documents", "doc_id", 5)})),
+        with recursive g as (select distinct doc_id, g from ({_windows("documents", "doc_id", 5)})),
         s as (select doc_id, count(*) as n from g group by 1),
-        p as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2)
-        select a as doc_id_a, b as doc_id_b, c::double / (x.n + y.n - c)::double as jaccard
-        from p join s x on x.doc_id = a join s y on y.doc_id = b where c::double / (x.n + y.n - c)::double >= 0.4""",
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+        m as (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where c::double / (x.n + y.n - c)::double >= 0.4),
+        r as (select doc_id as a, doc_id as b from documents union select r.a, m.b from r join m on m.a = r.b),
+        c as (select a, min(b) as class_id from r group by 1),
+        k as (select a, count(*) as n_links from m group by 1)
+        select c.a as doc_id, class_id, coalesce(n_links, 0)::bigint as n_links from c left join k using (a)""",
     "op4_quality_rules": r"""
         with t as (select doc_id, coalesce(text, '') as t from documents),
         m as (

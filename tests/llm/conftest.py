@@ -10,3 +10,11 @@ def rows(spark):
         return spark.createDataFrame(full, schema + ", score string, part int, slot long, label string")
 
     return make
+
+
+@pytest.fixture(autouse=True)
+def few_ranges(monkeypatch):
+    """Small tables need few hash ranges."""
+    from quernel.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "LEAST_RANGES", 4)

@@ -9,8 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quernel.llm import decontaminate, ngram_join, ppm, sharding, source_mix
-from quernel.llm import queries as llm_queries
+from quernel.llm import common, decontaminate, ngram_join, ppm, sharding, source_mix
 
 
 def collect(df):
@@ -48,37 +47,66 @@ def matches(texts, threshold=0.4):
     return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-12}
 
 
+def classes(ids, pairs):
+    """The least id that each one is connected to."""
+    group = {i: i for i in ids}
+    while True:
+        before = dict(group)
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            return group
+
+
+def expected(texts, threshold=0.4):
+    pairs = matches(texts, threshold)
+    links = Counter(x for p in pairs for x in p)
+    return {i: (g, links[i]) for i, g in classes([i for i, _ in texts], pairs).items()}
+
+
 def test_join_against_all_pairs(rows, copies):
     docs = rows(*copies, copies[3], (None, copies[0][1]))
-    short = ngram_join.jaccard_join(docs)
-    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in ngram_join.all_pairs(short).collect()}
-    want = matches(copies)
-    assert got.keys() == want.keys() and len(want) > 20 and all(got[k] == pytest.approx(want[k]) for k in want)
+    got = ngram_join.jaccard_join(docs)
+    assert got.columns == ["doc_id", "class_id", "n_links"] and got.count() == len(copies)
+    want = expected(copies)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got.collect()} == want and sum(n for _, n in want.values()) > 40
+    pairs = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in ngram_join.all_pairs(ngram_join.jaccard_pairs(docs)).collect()}
+    assert pairs == pytest.approx(matches(copies))
     kept = ngram_join.deduplicate(docs)
     assert kept.columns == docs.columns
-    group = {i: i for i, _ in copies}
-    for _ in copies:
-        for a, b in want:
-            group[a] = group[b] = min(group[a], group[b])
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([i for i, _ in [*copies, copies[3]] if group[i] == i] + [None])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([i for i, _ in [*copies, copies[3]] if want[i][0] == i] + [None])
     assert ngram_join.jaccard_join(docs.where("false")).count() == 0 and ngram_join.deduplicate(docs.where("false")).count() == 0
 
 
-def test_query_of_all_pairs(rows, copies, spark, tmp_path):
-    more = [*copies, *((1000 + i, copies[0][1]) for i in range(4))]
-    rows(*more).write.parquet(f"{tmp_path}/documents.parquet")
-    got = llm_queries.QUERIES["op3_ngram_jaccard_pairs"](spark, str(tmp_path))
-    want = matches(more)
-    assert got.columns == ["doc_id_a", "doc_id_b", "jaccard"] and got.count() == len(want)
-    assert {(r.doc_id_a, r.doc_id_b): r.jaccard for r in got.collect()} == pytest.approx(want)
-    short = llm_queries.QUERIES["op3_ngram_jaccard_join"](spark, str(tmp_path))
-    assert short.count() < len(want)
+def test_join_of_versions(rows):
+    one, two = prose(random.Random(1), 40), prose(random.Random(2), 40)
+    got = ngram_join.jaccard_join(rows((5, one), (3, one), (3, two), (9, two), (9, two), (7, None)))
+    assert {tuple(r) for r in got.collect()} == {(3, 3, 2), (5, 3, 1), (9, 3, 1), (7, 7, 0)}
+
+
+def test_deduplicate_with_clashing_names(spark):
+    docs = spark.createDataFrame([(2, "a b c d e f", 1, 2, 3, 4), (1, "a b c d e f", 1, 2, 3, 4)], "doc_id long, text string, gone long, class_id long, fp long, GONE_ long")
+    assert [tuple(r) for r in ngram_join.deduplicate(docs).collect()] == [(1, "a b c d e f", 1, 2, 3, 4)]
 
 
-def test_join_splits_large_components(rows, copies, monkeypatch):
-    monkeypatch.setattr(ngram_join, "QUERIES_A_TASK", 2)
-    short = ngram_join.jaccard_join(rows(*copies))
-    assert {(r.doc_id_a, r.doc_id_b) for r in ngram_join.all_pairs(short).collect()} == matches(copies).keys()
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_one_giant_component(rows, spark, copies, monkeypatch, broadcast):
+    """Boilerplate that all texts share connects all sets; sizes differ, so that blocks of several bands meet. No task may hold more than two blocks."""
+    rng = random.Random(5)
+    passage = prose(rng, 40)
+    texts = [(i, f"{prose(rng, rng.randint(1, 50))} {passage} {prose(rng, rng.randint(1, 50))}") for i in range(90)]
+    texts += [(100 + i, " ".join([passage, *(prose(random.Random(k), 30) for k in range(i % 7))])) for i in range(30)] + [(200 + i, t) for i, t in copies]
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(ngram_join, "DRIVER_EDGES", broadcast)
+    docs = rows(*texts)
+    want = expected(texts)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.jaccard_join(docs).collect()} == want
+    assert max(Counter(g for g, _ in want.values()).values()) > 60
+    kept = ngram_join.deduplicate(docs)
+    assert {r.doc_id for r in kept.collect()} == {i for i, (g, _) in want.items() if i == g}
+    pairs = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in ngram_join.all_pairs(ngram_join.jaccard_pairs(docs)).collect()}
+    assert pairs == pytest.approx(matches(texts))
 
 
 def test_components_on_driver_and_by_stars(spark):

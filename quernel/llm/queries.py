@@ -15,8 +15,8 @@ from .ppm import code_lengths
 from .quality_knn import classify
 from .quality_rules import judge
 from .secrets import scan_secrets
-from .sharding import shard
-from .source_mix import source_schedule
+from .sharding import lookup_table, shard, shard_names
+from .source_mix import MODULUS, STEP, source_schedule
 
 SHARDS = 64
 
@@ -46,7 +46,7 @@ def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+    return shard(table(spark, sf_dir, "documents"), SHARDS)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,14 +127,16 @@ SQL: dict[str, str] = {
             and shouts * 5 <= greatest(words, 5) and capitals * 3 <= greatest(n, 100) and digits * 5 <= n * 3
             and (len(lines) - len(list_distinct(lines))) * 2 <= len(lines) and repeats * 5 <= greatest(words, 10) as keep
         from c""",
-    "op5_source_mix": r"""
+    "op5_source_mix": rf"""
         with recursive units as (select doc_id, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) as tokens, md5(doc_id::varchar) as digest from documents),
-        s as (select source, sum(tokens) as t, greatest(1, ceil(sum(tokens) / 2048.0))::bigint as blocks, pow(greatest(sum(tokens), 1)::double, 0.8) as w from units group by 1),
-        share as (select source, blocks, round(w / sum(w) over () * 1000000000)::bigint as n from s),
-        cut as (select source, blocks, n, sum(n) over (order by source)::bigint as high, sum(n) over ()::bigint as total from share),
-        size as (select max(ceil((blocks + 3 + ceil(ln(1 + (select sum(blocks) from share)))) * total::double / n)::bigint) as slots from cut),
-        points as (select i as slot, floor((i * 0.6180339887498949::double - floor(i * 0.6180339887498949::double)) * (select max(total) from cut))::bigint as point from size, generate_series(0, slots - 1) t(i)),
-        turns as (select slot, source, blocks, row_number() over (partition by source order by slot) - 1 as turn from points join cut on point >= high - n and point < high),
+        s as (select source, greatest(1, ceil(sum(tokens) / 2048.0))::bigint as blocks, pow(greatest(sum(tokens), 1)::double, 0.8) as w from units group by 1),
+        share as (select source, blocks, greatest(1, round(w / sum(w) over () * 1000000000))::hugeint as n from s),
+        part as (select source, blocks, n, sum(n) over (order by source)::hugeint as up_to, sum(n) over ()::hugeint as total from share),
+        cut as (select source, blocks, (up_to - n) * {MODULUS}::hugeint // total as low, up_to * {MODULUS}::hugeint // total as high from part),
+        size as (select max((blocks + 64) * total // n + 1)::bigint as most from part),
+        points as (select i as slot, (i::hugeint * {STEP}::hugeint) % {MODULUS}::hugeint as point from size, generate_series(0, most) t(i)),
+        every as (select slot, source, blocks, row_number() over (partition by source order by slot) - 1 as turn from points join cut on point >= low and point < high),
+        turns as (select * from every where slot <= (select max(slot) from every where turn = blocks - 1)),
         placed as (select source, doc_id, tokens, (sum(tokens) over (partition by source order by digest, doc_id) - tokens)::bigint as start from units),
         pieces as (
             select source, doc_id, start, tokens, unnest(range(least(start // 2048, blocks - 1), least(greatest((start + tokens - 1) // 2048, start // 2048), blocks - 1) + 1)) as block
@@ -143,4 +145,8 @@ SQL: dict[str, str] = {
         select slot, source, block, (turn // blocks)::bigint as epoch, doc_id, greatest(start - block * 2048, 0)::bigint as first_token,
             (least(start + tokens - block * 2048, 2048) - greatest(start - block * 2048, 0))::bigint as n_tokens
         from (select slot, source, blocks, turn, turn % blocks as block from turns) join pieces using (source, block)""",
+    # the table's shard at each slot as a character
+    "op7_sharding": f"""
+        with t as (select '{"".join(chr(48 + s) for s in lookup_table(shard_names(SHARDS)))}' as held)
+        select documents.*, (ascii(substr(held, coalesce(('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint % 65537, 0)::int + 1, 1)) - 48)::int as shard from documents, t""",
 }

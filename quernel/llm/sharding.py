@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name
+
 #: A prime; shards hold slots in equal number up to one, so the load differs by at most shards / TABLE_SIZE.
 TABLE_SIZE = 65_537
 
@@ -43,25 +45,26 @@ def lookup_table(shards: list[str], size: int = TABLE_SIZE) -> np.ndarray:
                 return np.array(table, np.int32)
 
 
-def _slots(spark: SparkSession, shards: list[str], size: int) -> DataFrame:
-    table = lookup_table(shards, size)
-    return spark.createDataFrame([(i, int(s)) for i, s in enumerate(table)], "__slot int, __shard int")
-
-
 def slot_of(id_col, size: int = TABLE_SIZE):
     """The slot of an id, from 60 bits of its MD5 digest; a null id is in slot 0."""
     digest = F.substring(F.md5(id_col.cast("string").cast("binary")), 1, 15)
     return F.coalesce(F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(size)), F.lit(0)).cast("int")
 
 
+def shard_names(shards: int | list[str]) -> list[str]:
+    return [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else list(shards)
+
+
 def shard(docs: DataFrame, shards: int | list[str] = 64, size: int = TABLE_SIZE, id_col: str = "doc_id", shard_col: str = "shard") -> DataFrame:
     """``docs`` with the column ``shard``: the index of each row's shard.
 
     A lookup in a broadcast table of fixed size, so there is no shuffle. Rows of one id, repeated
-    or not, get one shard; null ids go to the shard of slot 0. Texts are not looked at. Other
-    columns stay; one that is called ``shard`` is replaced. An empty table stays empty.
+    or not, get one shard; null ids go to the shard of slot 0. Texts, of whatever length, null or
+    empty, are not looked at. Other columns stay, whatever their names, but one that is called
+    ``shard_col`` (in any case) is replaced; it can't be the id. An empty table stays empty.
     """
-    names = [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else list(shards)
-    slots = _slots(docs.sparkSession, names, size)
-    kept = docs.drop(shard_col)
-    return kept.withColumn("__slot", slot_of(F.col(id_col), size)).join(F.broadcast(slots), "__slot").select(*[kept[c] for c in kept.columns], F.col("__shard").alias(shard_col))
+    table = lookup_table(shard_names(shards), size)
+    kept = docs.drop(*[c for c in docs.columns if c.lower() == shard_col.lower()])
+    at, number = fresh_name(kept, "shard_slot"), fresh_name(kept, "shard_number")
+    slots = docs.sparkSession.createDataFrame([(i, int(s)) for i, s in enumerate(table)], f"{at} int, {number} int")
+    return kept.join(F.broadcast(slots), slot_of(kept[id_col], size) == slots[at]).select(*[kept[c] for c in kept.columns], slots[number].alias(shard_col))

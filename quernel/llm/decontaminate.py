@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_name, materialize, small
 from .kernel import IS_WORD, mix, slices
 from .ngram_join import lower
 
@@ -136,27 +136,33 @@ def _finder(strings: dict[bytes, list[int]]):
     return find
 
 
-def _passes(benchmark: DataFrame, window: int, item_col: str, text_col: str, chars: int) -> Iterator[dict[bytes, list[int]]]:
+def _passes(benchmark: DataFrame, window: int, item_col: str, text_col: str, chars: int) -> Iterator[tuple[dict[bytes, list[int]], bool]]:
+    """(test strings, whether there are several passes); all texts of an item are in one pass, so that none of its windows counts twice."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null and item_id is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = 1 + total // chars
     for k in range(passes):
-        part = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        yield test_strings([(r.item_id, r.text) for r in part.toLocalIterator()], window)
+        part = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
+        yield test_strings([(r.item_id, r.text) for r in part.toLocalIterator()], window), passes > 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", pass_chars: int = PASS_CHARS) -> DataFrame:
     """(doc_id, item_id, n_windows): how many places of a document hold a test string of a benchmark item; rows only where there is one.
 
-    One pass over the texts, without a shuffle, for each ``pass_chars`` characters of benchmark:
-    what is sent to executors is bounded. Each row of ``docs`` is judged by itself, so a row that
-    repeats gives its results again, and null ids are kept. Null and empty texts have no hits, nor
-    have null or empty items or items with a null id; repeated items count once. Other columns,
-    whatever their names, are not read. Empty tables give no rows.
+    One pass over the texts, without a shuffle, for each ``pass_chars`` characters of benchmark, and
+    one pass's test strings on the executors at a time. Items are spread over passes by a hash and
+    never cut, so a pass may hold an item more than its share. The number of passes doesn't change
+    the result.
+
+    Each row of ``docs`` is judged by itself, so a row that repeats gives its results again, and
+    null ids are kept. Null and empty texts have no hits, nor have null or empty items or items with
+    a null id. Rows that repeat an item_id are one item with the windows of all its texts; a window
+    that it holds twice counts once. Texts are searched whole. Other columns, whatever their names,
+    are not read. Empty tables give no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for strings in _passes(benchmark, window, item_col, "text", pass_chars):
+    for strings, several in _passes(benchmark, window, item_col, "text", pass_chars):
         shared = docs.sparkSession.sparkContext.broadcast(strings)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -167,31 +173,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in at])), pa.array([i for _, i in at], pa.int64()), pa.array([hits[x] for x in at], pa.int64())], ["doc_id", "item_id", "n_windows"])
 
         found = rows.mapInArrow(run, "doc_id long, item_id long, n_windows long")
+        if several:
+            found = materialize(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, text_col: str = "text", item_col: str = "item_id", pass_chars: int = PASS_CHARS) -> DataFrame:
-    """The rows of ``docs`` in whose text there is no test string of ``benchmark``, in the same columns.
+    """The rows of ``docs`` in whose text there is no test string of ``benchmark``, in the same columns, whatever their names.
 
-    Null and empty texts stay. Rows are judged one by one, without a shuffle.
+    Null and empty texts stay. Rows are judged one by one, so rows that repeat stay or go together.
+    In one pass there is no shuffle. Several passes, as in ``contaminated``, give the digests of
+    the texts to drop, which are broadcast up to ``BROADCAST_ROWS``; texts are never rewritten.
     """
-    out, many = docs, False
-    for strings in _passes(benchmark, window, item_col, "text", pass_chars):
+    digests = None
+    for strings, several in _passes(benchmark, window, item_col, "text", pass_chars):
         shared = docs.sparkSession.sparkContext.broadcast(strings)
-        if many:
-            out = materialize(out)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=docs.columns.index(text_col) if not several else 0) -> Iterator[pa.RecordBatch]:
             find = _finder(shared.value) if shared.value else None
             for batch in batches:
-                if not find:
-                    yield batch
-                    continue
-                rows = {r for r, _ in find(batch.column(text_col).cast(pa.string()))}
-                keep = np.ones(len(batch), bool)
-                keep[list(rows)] = False
-                yield batch.filter(pa.array(keep))
-
-        out, many = out.mapInArrow(run, docs.schema), True
-    return out
+                hit = np.zeros(len(batch), bool)
+                if find:
+                    hit[[r for r, _ in find(batch.column(at).cast(pa.string()))]] = True
+                yield batch.filter(pa.array(hit if several else ~hit))
+
+        if not several:
+            return docs.mapInArrow(run, docs.schema)
+        texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
+        found = materialize(texts.mapInArrow(run, "text string").select(F.md5(F.col("text").cast("binary")).alias("digest")).distinct())
+        shared.destroy()
+        digests = found if digests is None else digests.union(found)
+    name = fresh_name(docs, "digest")
+    gone = small(materialize(digests.distinct().withColumnRenamed("digest", name)))
+    return docs.join(gone, F.md5(docs[text_col].cast("string").cast("binary")) == gone[name], "left_anti")

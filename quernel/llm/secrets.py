@@ -2,15 +2,17 @@
 
 A text is the first layer of a worklist. Each layer is scanned by all rules, and each encoded
 region of it (percent-encoding, Unicode escapes and character references, base64, compressed bytes)
-becomes a further layer, until no layer gives a new one. A layer whose content is that of one of
-its ancestors closes a cycle and is dropped. Every layer maps its characters to the layer above, so
-findings carry the span of the original text that they come from.
+becomes a further layer, until no layer gives a new one. A layer whose content was already decoded
+from the same place of the text, by whatever decoders, is dropped: that closes cycles, and several
+orders of decoding that lead to one content go on as one. Every layer maps its characters to the
+layer above, so findings carry the span of the original text that they come from.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import bz2
 import hashlib
 import lzma
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .kernel import slices
 
-#: Bytes that one compressed region may unfold to; a larger one is reported by the rule "oversized_layer", never dropped in silence.
+#: Bytes that one compressed region may unfold to. Of a larger one (a bomb, as a rule) the first so many bytes are scanned, and the rule
+#: "oversized_layer" reports that there is more.
 MAX_INFLATED = 64 << 20
 
 RULES: dict[str, re.Pattern] = {
@@ -64,10 +67,15 @@ Span = tuple[int, int]
 class Layer:
     """A decoded text (or bytes still to be unfolded) and the places of its characters in the layer above."""
 
-    __slots__ = ("content", "lineage", "path", "to_root")
+    __slots__ = ("content", "path", "to_root")
 
-    def __init__(self, content: str | bytes, path: tuple[str, ...], to_root: Callable[[int, int], Span], lineage: frozenset):
-        self.content, self.path, self.to_root, self.lineage = content, path, to_root, lineage
+    def __init__(self, content: str | bytes, path: tuple[str, ...], to_root: Callable[[int, int], Span]):
+        self.content, self.path, self.to_root = content, path, to_root
+
+    def key(self) -> tuple[bytes, Span]:
+        """What is decoded, and from which place of the text."""
+        raw = self.content if isinstance(self.content, bytes) else b"t" + self.content.encode("utf-8", "surrogatepass")
+        return hashlib.blake2b(raw, digest_size=16).digest(), self.to_root(0, len(self.content))
 
 
 def _through(starts: list[int], ends: list[int], up: Callable[[int, int], Span]) -> Callable[[int, int], Span]:
@@ -239,13 +247,12 @@ def _children(layer: Layer, limit: int) -> Iterator[Layer | tuple[str, tuple[str
             yield "oversized_layer", (*layer.path, kind), whole
         if raw:
             content = raw if any(raw.startswith(m) for m in _MAGIC) else raw.decode("utf-8", "replace")
-            if content not in layer.lineage:
-                yield Layer(content, (*layer.path, kind), lambda a, b: whole, layer.lineage | {content})
+            yield Layer(content, (*layer.path, kind), lambda a, b: whole)
         return
     for decoder in (_percent, _escapes, _base64):
         for kind, content, starts, ends in decoder(layer.content):
-            if content and content not in layer.lineage:
-                yield Layer(content, (*layer.path, kind), _through(starts, ends, layer.to_root), layer.lineage | {content})
+            if content:
+                yield Layer(content, (*layer.path, kind), _through(starts, ends, layer.to_root))
 
 
 def scan(text: str, limit: int = MAX_INFLATED) -> list[tuple[str, int, int, str, str]]:
@@ -254,7 +261,8 @@ def scan(text: str, limit: int = MAX_INFLATED) -> list[tuple[str, int, int, str,
     A secret that several ways of decoding lead to at places that overlap counts once, by the
     shortest way.
     """
-    todo, found = deque([Layer(text, (), lambda a, b: (a, b), frozenset([text]))]), []
+    todo, found = deque([Layer(text, (), lambda a, b: (a, b))]), []
+    seen = {todo[0].key()}
     while todo:
         layer = todo.popleft()
         if isinstance(layer.content, str):
@@ -264,16 +272,19 @@ def scan(text: str, limit: int = MAX_INFLATED) -> list[tuple[str, int, int, str,
                     found.append((rule, start, end, layer.path, m.group(1)))
         for child in _children(layer, limit):
             if isinstance(child, Layer):
-                todo.append(child)
+                if (key := child.key()) not in seen:
+                    seen.add(key)
+                    todo.append(child)
             else:
                 rule, path, (start, end) = child
                 found.append((rule, start, end, path, ""))
     kept: dict[tuple[str, str], list[tuple[int, int]]] = {}
     out = []
     for rule, start, end, path, secret in sorted(found, key=lambda x: (len(x[3]), x[1], x[2], x[0], x[3])):
-        places = kept.setdefault((rule, secret), [])
-        if all(end <= a or b <= start for a, b in places):
-            places.append((start, end))
+        places = kept.setdefault((rule, secret), [])  # in order, without overlaps
+        at = bisect.bisect_left(places, (start, end))
+        if (at == 0 or places[at - 1][1] <= start) and (at == len(places) or end <= places[at][0]):
+            places.insert(at, (start, end))
             out.append((rule, start, end, ">".join(path), secret))
     return sorted(out)
 
@@ -312,7 +323,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     One pass without a shuffle. Each row is scanned by itself, so rows that repeat give their
     findings again, and null ids are kept. Null and empty texts have none. Texts of any length are
-    scanned whole. Other columns, whatever their names, are not read. An empty table gives no rows.
+    scanned whole; of a compressed region that unfolds to more than ``max_inflated`` bytes the first
+    ones are scanned, and a finding of the rule "oversized_layer" marks it. Layers that are nested
+    in several encodings at once are decoded once each, whatever the orders that lead to them. Other
+    columns, whatever their names, are not read. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 

@@ -5,9 +5,10 @@ eigenvectors of the weighted term covariance) and the labelled vectors, all of f
 are broadcast. Every document is projected and compared with all labelled vectors in blocks of
 exact cosine products; its nearest ones vote for each label, weighted by similarity.
 
-Terms are words, runs of other visible characters, and "a word in capitals". A term counts the more
-the stronger its presence goes with a label (their phi coefficient), and not at all within chance,
-so that rare telling words span directions of their own.
+Terms are words, their first 4, 5 and 6 bytes (stems), runs of other visible characters, and "a word
+in capitals"; each counts as there once, and as there ``OFTEN`` times. A term counts the more the
+stronger its presence goes with a label (their phi coefficient), and not at all within chance, so
+that rare telling words span directions of their own.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ from .kernel import IS_SPACE, IS_WORD, runs, slices, span_hashes
 #: Labelled documents that are sampled; the broadcast holds MAX_LABELLED x DIMENSIONS and MAX_TERMS x DIMENSIONS numbers.
 MAX_LABELLED = 4000
 MAX_TERMS = 2048
-DIMENSIONS = 48
+DIMENSIONS = 96
 NEIGHBOURS = 15
 #: Standard deviations of chance beyond which a term goes with a label.
 CHANCE = 6.0
+#: Occurrences that count as a term of their own.
+OFTEN = 3
 LABELS = ("quality", "toxic")
 _CAPS = np.uint64(0xC0FFEE)
+_STEMS = (4, 5, 6)
+_ROWS = 512
 _KIND = np.where(IS_SPACE, 0, np.where(IS_WORD, 1, 2)).astype(np.uint8)
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -49,7 +54,12 @@ def terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         upper = np.concatenate([[0], np.cumsum(_UPPER[raw])])
         lower_ = np.concatenate([[0], np.cumsum(_LOWER[raw])])
         caps = (kind[starts] == 1) & (lengths > 1) & (upper[ends] - upper[starts] > 1) & (lower_[ends] == lower_[starts])
-        yield a, b, np.concatenate([hashes, np.full(int(caps.sum()), _CAPS)]), np.concatenate([row, row[caps]])
+        found, rows = [hashes, np.full(int(caps.sum()), _CAPS)], [row, row[caps]]
+        for n in _STEMS:
+            long = np.flatnonzero((lengths >= n) & (kind[starts] == 1))
+            found.append(span_hashes(low, starts[long], starts[long] + n) ^ np.uint64(n))
+            rows.append(row[long])
+        yield a, b, np.concatenate(found), np.concatenate(rows)
 
 
 class Space:
@@ -64,20 +74,14 @@ class Space:
         row, term = np.concatenate(rows), np.concatenate(hashes)
         every, at = np.unique(term, return_inverse=True)
         n = max(1, len(texts))
-        pair = np.unique(at.astype(np.int64) * n + row)
-        at, row = pair // n, pair % n
-        df = np.bincount(at, minlength=len(every)).astype(float)
-        strength = np.zeros(len(every))
-        for k in range(labels.shape[1]):
-            yes = np.bincount(at[labels[row, k] > 0.5], minlength=len(every)).astype(float)
-            ny = float((labels[:, k] > 0.5).sum())
-            if not 0 < ny < n:
-                continue
-            off = np.abs(yes * n - df * ny)  # of the phi coefficient of term and label
-            strength = np.maximum(strength, off / np.sqrt(np.maximum(df * (n - df) * ny * (n - ny), 1)))
+        pair, times = np.unique(at.astype(np.int64) * n + row, return_counts=True)
+        strength = np.concatenate([self._strength(pair[times >= least], n, len(every), labels) for least in (1, OFTEN)])
         best = np.argsort(-strength, kind="stable")[:MAX_TERMS]
         best = np.sort(best[strength[best] > CHANCE / np.sqrt(n)])
-        self.terms, self.weight = every[best], strength[best].astype(np.float32)
+        #: The distinct terms, and by column of the space the term's number and its least occurrences.
+        kept, self.column = np.unique(best % max(len(every), 1), return_inverse=True)
+        self.terms, self.weight = every[kept], strength[best].astype(np.float32)
+        self.least = np.where(best < len(every), 1, OFTEN)
         self.index = np.full(1 << 20, -1, np.int32)
         slot = (self.terms >> np.uint64(44)).astype(np.int64)
         self.clash: dict[int, int] = {}
@@ -86,15 +90,31 @@ class Space:
                 self.index[s] = i
             else:
                 self.clash[int(self.terms[i])] = i
-        self.axes = np.eye(len(best), min(DIMENSIONS, len(best)), dtype=np.float32)
-        if texts and len(best) > DIMENSIONS:
+        # the latent space at every size: the eigenvectors of the largest eigenvalues, as many as there are above rounding
+        self.axes = np.zeros((len(best), 0), np.float32)
+        if texts and len(best):
             x = np.concatenate([v for _, _, v in self.counts(pa.array(texts, pa.large_string()))])
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
             values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-            self.axes = np.ascontiguousarray(vectors[:, np.argsort(-values, kind="stable")[:DIMENSIONS]], dtype=np.float32)
+            top = np.argsort(-values, kind="stable")[:DIMENSIONS]
+            top = top[values[top] > 1e-6 * max(values.max(), 1e-9)]
+            self.axes = np.ascontiguousarray(vectors[:, top], dtype=np.float32)
         self.vectors = np.concatenate([v for _, _, v in self.project(pa.array(texts, pa.large_string()))]) if texts else np.zeros((0, self.axes.shape[1]), np.float32)
         self.prior = self.labels.mean(axis=0) if texts else np.array([1.0, 0.0][: labels.shape[1]], np.float32)
 
+    @staticmethod
+    def _strength(pair: np.ndarray, n: int, width: int, labels: np.ndarray) -> np.ndarray:
+        """The largest phi coefficient of each term's presence with a label; pairs are term * n + row."""
+        at, row = pair // n, pair % n
+        df = np.bincount(at, minlength=width).astype(float)
+        out = np.zeros(width)
+        for k in range(labels.shape[1]):
+            yes = np.bincount(at[labels[row, k] > 0.5], minlength=width).astype(float)
+            ny = float((labels[:, k] > 0.5).sum())
+            if 0 < ny < n:
+                out = np.maximum(out, np.abs(yes * n - df * ny) / np.sqrt(np.maximum(df * (n - df) * ny * (n - ny), 1)))
+        return out
+
     def counts(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         width = len(self.terms)
         for a, b, hashes, row in terms(column):
@@ -107,8 +127,13 @@ class Space:
                     if (k := self.clash.get(int(h[j]))) is not None:
                         i[j], same[j] = k, True
             i, r = i[same].astype(np.int64), r[same]
-            x = np.bincount(r * width + i, minlength=(b - a) * width).reshape(b - a, width).astype(np.float32) if width else np.zeros((b - a, 0), np.float32)
-            yield a, b, np.minimum(x, 1) * self.weight
+            order = np.argsort(r, kind="stable")
+            i, r = i[order], r[order]
+            for c in range(a, b, _ROWS):  # a wide table for a few rows at a time
+                d = min(b, c + _ROWS)
+                at = slice(*np.searchsorted(r, (c - a, d - a)))
+                x = np.bincount((r[at] - (c - a)) * width + i[at], minlength=(d - c) * width).reshape(d - c, width)
+                yield c, d, (x[:, self.column] >= self.least) * self.weight
 
     def project(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         """Unit vectors; 0 where a text has no term of the space."""
@@ -118,34 +143,37 @@ class Space:
             yield a, b, np.where(norm > 1e-6, v / np.maximum(norm, 1e-6), 0).astype(np.float32)
 
     def vote(self, column: pa.Array) -> np.ndarray:
-        """The share of each label among the nearest labelled vectors; ties in similarity by place in the sample."""
+        """The share of each label among the nearest labelled vectors, weighted by similarity; ties by place in the sample."""
         out = np.empty((len(column), self.labels.shape[1]))
         k = min(NEIGHBOURS, len(self.vectors))
         for a, b, v in self.project(column):
             if k == 0:
                 out[a:b] = self.prior
                 continue
-            for s in range(0, b - a, 512):
-                cosine = v[s : s + 512] @ self.vectors.T
-                near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-                weight = np.maximum(np.take_along_axis(cosine, near, 1), 0)
-                total = weight.sum(axis=1, keepdims=True)
-                voted = (weight[:, :, None] * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-9)
-                out[a + s : a + s + len(cosine)] = np.where(total > 1e-6, voted, self.prior)
+            # equal similarities must be equal numbers, however a block was computed
+            cosine = np.round(v @ self.vectors.T, 5)
+            least = np.partition(cosine, len(self.vectors) - k, axis=1)[:, len(self.vectors) - k, None]
+            near, tied = cosine > least, cosine == least
+            near |= tied & (np.cumsum(tied, axis=1) <= k - near.sum(axis=1, keepdims=True))
+            weight = np.where(near, np.maximum(cosine, 0), 0)
+            total = weight.sum(axis=1, keepdims=True)
+            out[a:b] = np.where(total > 1e-6, weight @ self.labels / np.maximum(total, 1e-9), self.prior)
         return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Space:
     """The space of at most ``max_labelled`` labelled documents, those with the least digests of their ids.
 
-    Ids with several label rows take the least quality and the largest toxic label; null labels,
-    ids and texts are left out. Without labelled documents every vote is (1, 0): all are good.
+    Ids with several label rows take the least quality and the largest toxic label, ids with
+    several texts the least text, so each id is one vector; null labels, ids and texts are left
+    out. Without labelled documents every vote is (1, 0): all are good.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in LABELS]).dropna()
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = rows.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_labelled)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null and doc_id is not null")
-    got = sorted((r.doc_id, r.text, r.quality, r.toxic) for r in texts.join(F.broadcast(chosen), "doc_id").toLocalIterator())
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *LABELS).agg(F.min("text").alias("text"))
+    got = sorted((r.doc_id, r.text, r.quality, r.toxic) for r in one.toLocalIterator())
     return Space([r[1] for r in got], np.array([r[2:] for r in got], float).reshape(-1, len(LABELS)))
 
 
@@ -154,7 +182,9 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.5, toxic_cut: fl
 
     A text without a known term, null or empty ones among them, has no neighbours and takes the
     shares of the sample. Each row is judged by itself, so rows that repeat give their results
-    again; null ids are kept. Other columns are not read. An empty table gives no rows.
+    again; null ids are kept. Texts are read whole. Neighbours of equal similarity (to five
+    places) go by the sample's order, which is that of ids. Other columns, whatever their names,
+    are not read. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, max_labelled))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -169,7 +199,10 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.5, toxic_cut: fl
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5, toxic_cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, in the same columns and without a shuffle."""
+    """The rows of ``docs`` that ``classify`` keeps, in the same columns, whatever their names, and without a shuffle.
+
+    Rows that repeat stay or go together; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, max_labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,7 +144,8 @@ def infer(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labelled: DataFrame | None = None, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows_a_language: int = ROWS_A_LANGUAGE) -> Models:
     """Models of the languages in ``labelled`` (``docs`` if none), each from its ``rows_a_language`` rows with the least digests of their ids.
 
-    Rows with a null language, id or text are left out.
+    Rows with a null language, id or text are left out. Rows that repeat an id in a language take
+    a place each in the choice, but count once, with their least text.
     """
     source = docs if labelled is None else labelled
     rows = source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and lang is not null and text is not null")
@@ -152,7 +153,8 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None, lang_col: str = "lan
     # a rank below a limit: Spark drops all but the least rows of a task before the shuffle
     chosen = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= rows_a_language)
     chosen = chosen.select(F.col("key.doc_id").alias("doc_id"), "lang").distinct()
-    got = sorted((r.lang, r.doc_id, r.text) for r in rows.join(F.broadcast(chosen), ["doc_id", "lang"]).toLocalIterator())
+    one = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    got = sorted((r.lang, r.doc_id, r.text) for r in one.toLocalIterator())
     texts: dict[str, list[str]] = {}
     for lang, _, text in got:
         texts.setdefault(lang, []).append(text)

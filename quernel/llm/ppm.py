@@ -6,14 +6,15 @@ C: the number of distinct bytes over that number plus the count) and the next sh
 used, in which bytes that the longer one knows are excluded. The code lengths of a document's bytes
 add up to its score.
 
-The counts come from all documents. Texts fall into two folds by a hash of their bytes, and each is
-scored by the trie of the other fold, so that no document, nor a copy of it, is predicted by itself.
-With ``train``, there is one trie, of all its texts.
-
-The trie is held in sorted arrays, by order: (context, byte) with its code length where the context
-is the first tried, (context, byte) with its count, and contexts with their sums after exclusion. A
-text's bytes are looked up all at once in a hash table of the longest contexts, and only bytes that
-escape take the steps below.
+The counts come from all documents. Each text is scored by the counts of the whole corpus less its
+own, so it isn't predicted by itself, but by every copy of it that the corpus holds. With ``train``,
+the counts are those of all its texts, as they are.
+
+A trie that is larger than ``PASS_ENTRIES`` is cut, in the order of contexts read backwards, into
+intervals of at most so many entries; a pass over the texts codes the bytes after the contexts of one
+interval. Within a pass the trie is held in sorted arrays, by order. The bytes of a slice of texts
+are coded at once: equal (text, context, byte) together, and only those that escape take the steps
+to shorter contexts.
 """
 
 from __future__ import annotations
@@ -26,15 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .kernel import buffers, slices, span_hashes
+from .kernel import buffers, slices
 
 ORDER = 4
-#: (context, byte) entries of the tries that one pass over the texts broadcasts (48 bytes each); larger tries take several passes.
+#: (context, byte) entries of the trie that one pass over the texts broadcasts (48 bytes each in use); larger tries take several passes.
 PASS_ENTRIES = 2_000_000
 #: Distinct (context, byte) that a task holds before it hands its counts on.
 TASK_ENTRIES = 2_000_000
+#: Bytes of context whose entries stay together: at most 256 * 256 entries of order 4.
+CELL_BYTES = 3
 _U = np.uint64
 _MULTIPLIER = _U(0x9E3779B97F4A7C15)
+_NONE = _U((1 << 64) - 1)
 
 
 def _grams(raw: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
@@ -52,12 +56,6 @@ def _grams(raw: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     return key
 
 
-def _folds(raw: np.ndarray, offsets: np.ndarray, folds: int) -> np.ndarray:
-    if folds == 1:
-        return np.zeros(len(offsets) - 1, np.int64)
-    return (span_hashes(raw, offsets[:-1], offsets[1:]) >> _U(17)).astype(np.int64) % folds
-
-
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, count = np.concatenate(keys), np.concatenate(counts)
     at = np.argsort(key, kind="stable")
@@ -66,46 +64,35 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[edge], np.add.reduceat(count, edge) if len(edge) else count
 
 
-def _count(order: int, folds: int):
-    """Batches (text) -> (fold, gram, n): the distinct grams of a task and their counts."""
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, their counts) of an array that may be sorted in place."""
+    key.sort()
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[edge], np.diff(np.append(edge, len(key)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[list[np.ndarray]] = [[] for _ in range(folds)]
-        counts: list[list[np.ndarray]] = [[] for _ in range(folds)]
-        pending = 0
 
-        def rows(f: int) -> pa.RecordBatch:
-            key, n = keys[f][0], counts[f][0]
-            keys[f], counts[f] = [], []
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), f, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], ["fold", "gram", "n"])
+def _count(order: int):
+    """Batches (text) -> (gram, n): the distinct grams of a task and their counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        pending = 0
         for batch in batches:
             for _, _, raw, offsets in slices(batch.column(0)):
-                fold = np.repeat(_folds(raw, offsets, folds), np.diff(offsets))
-                grams = _grams(raw, offsets, order)
-                for f in range(folds):
-                    key = np.sort(grams if folds == 1 else grams[fold == f])
-                    if len(key) == 0:
-                        continue
-                    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                    keys[f].append(key[edge])
-                    counts[f].append(np.diff(np.append(edge, len(key))))
-                    pending += len(edge)
+                key, n = _runs(_grams(raw, offsets, order))
+                keys.append(key)
+                counts.append(n)
+                pending += len(key)
                 if pending > 2 * TASK_ENTRIES:
-                    pending = 0
-                    for f in range(folds):
-                        if keys[f]:
-                            key, n = _merged(keys[f], counts[f])
-                            keys[f], counts[f] = [key], [n]
-                            if len(key) > TASK_ENTRIES:
-                                yield rows(f)
-                            else:
-                                pending += len(key)
-        for f in range(folds):
-            if keys[f]:
-                key, n = _merged(keys[f], counts[f])
-                keys[f], counts[f] = [key], [n]
-                yield rows(f)
+                    key, n = _merged(keys, counts)
+                    if len(key) > TASK_ENTRIES:
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["gram", "n"])
+                        key, n = key[:0], n[:0]
+                    keys, counts, pending = [key], [n], len(key)
+        if keys:
+            key, n = _merged(keys, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["gram", "n"])
 
     return run
 
@@ -118,190 +105,284 @@ def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == key
 
 
-class Trie:
-    """The contexts of one fold that end in given bytes, and all of order 0."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int = ORDER, zero: np.ndarray | None = None):
-        """Distinct (context of ``order`` bytes, byte) with counts; ``zero``: the counts of all bytes in the whole fold (of the grams, if not given)."""
-        self.order = order
-        at = np.argsort(grams, kind="stable")
-        self.grams: list[np.ndarray] = [np.zeros(0, _U)] * (order + 1)
-        self.counts: list[np.ndarray] = [np.zeros(0, np.int64)] * (order + 1)
-        self.grams[order], self.counts[order] = grams[at], counts[at].astype(np.int64)
-        for j in range(order - 1, -1, -1):
-            low = self.grams[j + 1] & _U((1 << (8 * (j + 1))) - 1)
-            self.grams[j], self.counts[j] = _merged([low], [self.counts[j + 1]])
-        if zero is not None:
-            self.grams[0] = np.flatnonzero(zero).astype(_U)
-            self.counts[0] = zero[zero > 0].astype(np.int64)
-        contexts, total, kinds, place = [], [], [], []
-        for j in range(order + 1):
-            ctx, index = np.unique(self.grams[j] >> _U(8), return_inverse=True)
-            contexts.append(ctx)
-            place.append(index)
-            total.append(np.bincount(index, self.counts[j], len(ctx)))
-            kinds.append(np.bincount(index, minlength=len(ctx)).astype(float))
-        self.contexts = contexts
-        with np.errstate(divide="ignore"):
-            # first[j]: code length of each (context, byte) whose context is the first tried; escape[j]: of an escape from it
-            self.first = [(np.log2(total[j] + kinds[j])[place[j]] - np.log2(self.counts[j])).astype(np.float32) for j in range(order + 1)]
-            self.escape = [np.log2(total[j] + kinds[j]) - np.log2(kinds[j]) for j in range(order + 1)]
-            # after an escape from context e of order j + 1, in order j: log2 of what is left after exclusion, and of the distinct bytes left (-inf: none)
-            self.left, self.fresh = [], []
-            for j in range(order):
-                low = self.grams[j + 1] & _U((1 << (8 * (j + 1))) - 1)
-                excluded = np.bincount(place[j + 1], self.counts[j][_find(self.grams[j], low)[0]], len(contexts[j + 1]))
-                below = _find(contexts[j], contexts[j + 1] & _U((1 << (8 * j)) - 1))[0]
-                fresh = kinds[j][below] - kinds[j + 1]
-                self.left.append(np.log2(np.maximum(total[j][below] - excluded + fresh, 0)))
-                self.fresh.append(np.log2(fresh))
-        self.uniform = float(np.log2(max(1, 256 - len(self.grams[0]))))
-        self.bits = max(10, int(len(grams) * 3).bit_length())
-        self.keys = np.full(1 << self.bits, _U((1 << 64) - 1))
-        self.value = np.zeros(1 << self.bits, np.float32)
-        key, todo = self.grams[order], np.arange(len(grams))
-        slot = self._slot(key)
+class Piece:
+    """The trie of one pass: by order the (context, byte) with their counts, and contexts with their sums."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
+        """tables: by order, sorted distinct grams and their counts; a context that is there has all its bytes."""
+        self.order = len(tables) - 1
+        self.grams = [g for g, _ in tables]
+        self.counts = [n for _, n in tables]
+        self.contexts, self.total, self.kinds, self.excluded = [], [], [], []
+        for j in range(self.order + 1):
+            ctx, place = np.unique(self.grams[j] >> _U(8), return_inverse=True)
+            self.contexts.append(ctx)
+            self.total.append(np.bincount(place, self.counts[j], len(ctx)))
+            self.kinds.append(np.bincount(place, minlength=len(ctx)).astype(float))
+            if j == self.order:
+                self.place = place
+            if j:  # the counts, in the context that is a byte shorter, of the bytes that this one knows
+                low = self.grams[j] & _U((1 << (8 * j)) - 1)
+                self.excluded.append(np.bincount(place, self.counts[j - 1][_find(self.grams[j - 1], low)[0]], len(ctx)) if len(ctx) else np.zeros(0))
+        self.uniform_kinds = len(self.grams[0])
+        # a hash table of the longest contexts' entries
+        key = self.grams[self.order]
+        self.bits = max(10, int(len(key) * 3).bit_length())
+        self.keys, self.at = np.full(1 << self.bits, _NONE), np.zeros(1 << self.bits, np.int32)
+        todo, slot = np.arange(len(key)), self._slot(key)
         while len(todo):
-            free = self.keys[slot[todo]] == _U((1 << 64) - 1)
-            cand = todo[free]
+            cand = todo[self.keys[slot[todo]] == _NONE]
             self.keys[slot[cand]] = key[cand]
             won = self.keys[slot[todo]] == key[todo]
-            self.value[slot[todo[won]]] = self.first[order][todo[won]]
+            self.at[slot[todo[won]]] = todo[won]
             todo = todo[~won]
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * _MULTIPLIER) >> _U(64 - self.bits)).astype(np.int64)
 
-    def cost(self, grams: np.ndarray) -> np.ndarray:
-        """Code lengths in bits."""
+    def find(self, j: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of grams of order j."""
+        if j < self.order:
+            return _find(self.grams[j], grams)
         slot = self._slot(grams)
         got = self.keys[slot]
-        out = self.value[slot]
-        again = np.flatnonzero((got != grams) & (got != _U((1 << 64) - 1)))
-        at = slot[again]
+        again = np.flatnonzero((got != grams) & (got != _NONE))
         while len(again):
-            at = (at + 1) & ((1 << self.bits) - 1)
-            there = self.keys[at]
-            hit = there == grams[again]
-            out[again[hit]] = self.value[at[hit]]
-            got[again[hit]] = grams[again[hit]]
-            live = ~hit & (there != _U((1 << 64) - 1))
-            again, at = again[live], at[live]
-        rest = np.flatnonzero(got != grams)
-        if len(rest):
-            key, back = np.unique(grams[rest], return_inverse=True)
-            out[rest] = self._walk(key)[back]
-        return out
+            slot[again] = (slot[again] + 1) & ((1 << self.bits) - 1)
+            got[again] = self.keys[slot[again]]
+            again = again[(got[again] != grams[again]) & (got[again] != _NONE)]
+        return self.at[slot].astype(np.int64), got == grams
+
+    def count(self, j: int, grams: np.ndarray) -> np.ndarray:
+        at, there = self.find(j, grams)
+        return np.where(there, self.counts[j][at], 0) if len(self.counts[j]) else np.zeros(len(grams), np.int64)
+
+
+class _Level:
+    """The (text, context, byte) of one order in a slice, and the corpus' counts for some of its (text, context), less the text's own."""
+
+    def __init__(self, piece: Piece, j: int, key: np.ndarray, own: bool):
+        """key: text number above the gram's 8 * (j + 1) bits, for each byte."""
+        self.piece, self.j, self.own = piece, j, own
+        self.key, self.n = _runs(key)
+        context = self.key >> _U(8)
+        self.edge = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        self.context, self.end = context[self.edge], np.append(self.edge[1:], len(self.key))
+        self.mask = _U((1 << (8 * (j + 1))) - 1)
+
+    def entries(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries of some groups, for each the place in ``groups``)."""
+        size = self.end[groups] - self.edge[groups]
+        which = np.repeat(np.arange(len(groups)), size)
+        return np.arange(size.sum()) + np.repeat(self.edge[groups] - (np.cumsum(size) - size), size), which
+
+    def open(self, groups: np.ndarray) -> None:
+        """Takes the counts of some (text, context), given by their sorted places."""
+        p, j = self.piece, self.j
+        self.groups = groups
+        self.at, self.which = self.entries(groups)
+        whole = p.count(j, self.key[self.at] & self.mask)
+        mine = self.n[self.at] if self.own else 0
+        self.count = whole - mine
+        self.gone = (whole > 0) & (self.count == 0)
+        self.place, there = _find(p.contexts[j], self.context[groups] & (self.mask >> _U(8)))
+        ones = lambda x: np.bincount(self.which, x, len(groups))
+        self.total = (np.where(there, p.total[j][self.place], 0) if len(p.total[j]) else np.zeros(len(groups))) - (ones(mine) if self.own else 0)
+        self.kinds = (np.where(there, p.kinds[j][self.place], 0) if len(p.kinds[j]) else np.zeros(len(groups))) - ones(self.gone)
+
+    def excluded(self, some: np.ndarray, below: "_Level", down: np.ndarray) -> np.ndarray:
+        """The counts in the shorter context (``below``'s opened group ``down``) of the bytes that the opened groups ``some``, which are known, hold."""
+        p, j = self.piece, self.j
+        out = p.excluded[j - 1][self.place[some]].astype(float)
+        if not self.own:
+            return out
+        # bytes that only the text itself has here
+        back = np.full(len(self.groups), -1)
+        back[some] = np.arange(len(some))
+        lost = np.flatnonzero(self.gone & (back[self.which] >= 0))
+        out -= np.bincount(back[self.which[lost]], p.count(j - 1, self.key[self.at[lost]] & (self.mask >> _U(8))), len(some))
+        # the text's own bytes there, of those that are left here
+        entry, which = below.entries(below.groups[down])
+        known = ((self.context[self.groups[some]] & (self.mask >> _U(8)))[which] << _U(8)) | (below.key[entry] & _U(255))
+        at, there = _find(self.key, (self.context[self.groups[some]][which] << _U(8)) | (below.key[entry] & _U(255)))
+        left = p.count(j, known) - np.where(there, self.n[at], 0) > 0
+        return out - np.bincount(which[left], below.n[entry[left]], len(some))
+
+
+def bits(piece: Piece, raw: np.ndarray, offsets: np.ndarray, mine: np.ndarray | None, own: bool, cell: int) -> np.ndarray:
+    """Code length by text of its bytes, or of the marked ones; ``own``: less the text's own counts. Contexts of ``cell`` bytes or more are marked as a whole."""
+    order, texts = piece.order, len(offsets) - 1
+    grams = _grams(raw, offsets, order)
+    text = np.repeat(np.arange(texts).astype(_U), np.diff(offsets))
+
+    def level(j: int) -> _Level:
+        key = (text << _U(8 * (j + 1))) | (grams & _U((1 << (8 * (j + 1))) - 1))
+        return _Level(piece, j, key if mine is None or j < cell else key[mine], own)
+
+    if mine is not None and not mine.any() or len(raw) == 0:
+        return np.zeros(texts)
+    top = level(order)
+    top.open(np.arange(len(top.edge)))
+    cost = np.zeros(len(top.key))
+    total, kinds = top.total[top.which], top.kinds[top.which]
+    hit, known = top.count > 0, total > 0
+    cost[hit] = np.log2((total + kinds)[hit]) - np.log2(top.count[hit])
+    missed = known & ~hit
+    cost[missed] = np.log2((total + kinds)[missed]) - np.log2(kinds[missed])
+    todo, group, tried, above = np.flatnonzero(~hit), top.which[~hit], known[~hit], top
+    for j in range(order - 1, -1, -1):
+        if len(todo) == 0:
+            break
+        here = level(j)
+        low = ((top.key[todo] >> _U(8 * (order + 1))) << _U(8 * (j + 1))) | (top.key[todo] & here.mask)
+        opened, at = np.unique(np.searchsorted(here.context, low >> _U(8)), return_inverse=True)
+        here.open(opened)
+        entry = np.searchsorted(here.key, low)
+        count = piece.count(j, low & here.mask) - (here.n[entry] if own else 0)
+        total, kinds = here.total[at], here.kinds[at]
+        known, hit = total > 0, count > 0
+        # the first context that is known
+        start = known & ~tried
+        x = start & hit
+        cost[todo[x]] += np.log2((total + kinds)[x]) - np.log2(count[x])
+        x = start & ~hit
+        cost[todo[x]] += np.log2((total + kinds)[x]) - np.log2(kinds[x])
+        # after an escape; the exclusion may leave nothing here: then no code is spent
+        step = np.flatnonzero(tried)
+        if len(step):
+            some, back = np.unique(group[step], return_inverse=True)
+            down = np.zeros(len(some), np.int64)
+            down[back] = at[step]
+            excluded = above.excluded(some, here, down)[back]
+            fresh = kinds[step] - above.kinds[group[step]]
+            left = total[step] - excluded + fresh
+            x = (fresh > 0) & hit[step]
+            cost[todo[step[x]]] += np.log2(left[x]) - np.log2(count[step[x]])
+            x = (fresh > 0) & ~hit[step]
+            cost[todo[step[x]]] += np.log2(left[x]) - np.log2(fresh[x])
+        rest = ~hit
+        todo, group, tried, above = todo[rest], at[rest], known[rest], here
+        kinds = kinds[rest]
+    if len(todo):
+        cost[todo] += np.log2(np.maximum(1, 256 - kinds))
+    return np.bincount((top.key >> _U(8 * (order + 1))).astype(np.int64), cost * top.n, texts)
+
+
+def _backwards(grams: np.ndarray, cell: int) -> np.ndarray:
+    """The last ``cell`` bytes of each gram's context, the last one first."""
+    out = np.zeros(len(grams), _U)
+    for k in range(cell):
+        out = (out << _U(8)) | ((grams >> _U(8 * (k + 1))) & _U(255))
+    return out
 
-    def _walk(self, grams: np.ndarray) -> np.ndarray:
-        """Code lengths of (context, byte) that aren't known in the longest context."""
-        cost = np.zeros(len(grams))
-        todo, from_ = np.arange(len(grams)), np.full(len(grams), -1)  # the context of the order above that was tried, or -1
-        for j in range(self.order, -1, -1):
-            low = grams[todo] & _U((1 << (8 * (j + 1))) - 1)
-            ctx, known = _find(self.contexts[j], low >> _U(8))
-            at, there = _find(self.grams[j], low)
-            tried = from_[todo]
-            fresh_start = known & (tried < 0)
-            cost[todo[fresh_start & there]] += self.first[j][at[fresh_start & there]]
-            cost[todo[fresh_start & ~there]] += self.escape[j][ctx[fresh_start & ~there]]
-            if j < self.order:
-                # the exclusion may leave nothing here: then no code is spent
-                open_ = known & (tried >= 0)
-                open_[open_] = np.isfinite(self.fresh[j][tried[open_]])
-                hit, miss = open_ & there, open_ & ~there
-                cost[todo[hit]] += self.left[j][tried[hit]] - np.log2(self.counts[j][at[hit]])
-                cost[todo[miss]] += self.left[j][tried[miss]] - self.fresh[j][tried[miss]]
-                there = there & (fresh_start | open_)
-            else:
-                there = there & fresh_start
-            from_[todo] = np.where(known, ctx, -1)
-            todo = todo[~there]
-        cost[todo] += self.uniform
-        return cost
-
-
-def _pieces(counts: DataFrame, pass_entries: int) -> list[list[int]]:
-    """Last bytes of contexts, in groups whose entries go together in one pass."""
-    by = F.shiftright("gram", 8).bitwiseAND(F.lit(255))
-    sizes = sorted(((r.n, r.byte) for r in counts.groupBy(by.alias("byte")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    out: list[list[int]] = []
-    room = 0
-    for n, byte in sizes:
-        if not out or n > room:
-            out.append([])
-            room = pass_entries
-        out[-1].append(byte)
+
+def _cuts(cells: np.ndarray, sizes: np.ndarray, cell: int, most: int) -> list[tuple[int, int]]:
+    """Intervals that cover all cells, of at most ``most`` entries each (a cell is never cut)."""
+    order = np.argsort(cells)
+    bounds, room = [0], most
+    for c, n in zip(cells[order].tolist(), sizes[order].tolist(), strict=True):
+        if n > room and room < most:
+            bounds.append(c)
+            room = most
         room -= n
-    return out
+    return list(zip(bounds, [*bounds[1:], 1 << (8 * cell)], strict=True))
+
+
+def _tables(grams: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int, cell: int, at: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The tables of a pass by order: its own entries and their sums, and from ``low`` (order cell - 1, of the whole corpus) the contexts above them."""
+    tables = [_merged([grams], [n])]
+    for j in range(order - 1, cell - 1, -1):
+        tables.append(_merged([tables[-1][0] & _U((1 << (8 * (j + 1))) - 1)], [tables[-1][1]]))
+    above = low
+    for j in range(cell - 1, -1, -1):
+        if j < cell - 1:
+            above = _merged([above[0] & _U((1 << (8 * (j + 1))) - 1)], [above[1]])
+        place, down = _backwards(above[0], j), _U(8 * (cell - j))
+        own = (place >= _U(at[0]) >> down) & (place <= _U(at[1] - 1) >> down)
+        tables.append((above[0][own], above[1][own]))
+    return tables[::-1]
 
 
 def code_lengths(docs: DataFrame, train: DataFrame | None = None, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", train_text_col: str = "text", pass_entries: int = PASS_ENTRIES) -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte) of every row: the code length of its text's UTF-8 bytes.
 
-    A null or empty text has 0 bytes, 0 bits and 0 bits a byte. Equal texts are in one fold and
-    get equal scores, whatever their ids; rows that repeat give their results again, and null ids
-    are kept. A fold without any text knows no byte, so the other one's texts take 8 bits a byte.
-    Other columns, whatever their names, are not read. An empty table gives no rows.
+    A null or empty text has 0 bytes, 0 bits and 0 bits a byte. Equal texts get equal scores,
+    whatever their ids: each is predicted by the others. Rows that repeat give their results again,
+    and null ids are kept. Where nothing is left to predict by (one text alone, or an empty
+    ``train``) a byte takes 8 bits. Texts are scored whole. Other columns, whatever their names,
+    are not read. An empty table gives no rows.
 
-    Counting shuffles each task's distinct grams once. The tries are broadcast up to
-    ``pass_entries`` entries at a time; if they are larger, the texts are scored in several
-    passes, each for the bytes that follow the context bytes of a pass, the last also for those
-    that follow bytes training never saw.
+    Counting shuffles each task's distinct grams once. A pass broadcasts at most ``pass_entries``
+    entries (or one cell of contexts, 65,536 at most) besides the shorter contexts above them. One
+    pass takes no further shuffle; several read the texts once each and add up code lengths by the
+    texts' digests.
     """
-    if not 1 <= order <= 6:
-        raise ValueError("order must be from 1 to 6")
+    if not 1 <= order <= 4:
+        raise ValueError("order must be from 1 to 4")
     spark = docs.sparkSession
-    folds = 2 if train is None else 1
+    cell = min(CELL_BYTES, order)
     source = (docs.select(F.col(text_col).cast("string").alias("text")) if train is None else train.select(F.col(train_text_col).cast("string").alias("text"))).where("text is not null")
-    counted = source.mapInArrow(_count(order, folds), "fold int, gram long, n long")
-    counts = materialize(counted.groupBy("fold", "gram").agg(F.sum("n").alias("n")))
-    zero = np.zeros((folds, 256), np.int64)
-    for r in counts.groupBy("fold", F.col("gram").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n")).collect():
-        zero[r.fold, r.byte] = r.n
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0.0).alias("bits"))
-    pieces = _pieces(counts, pass_entries) or [[]]
-    for k, piece in enumerate(pieces):
-        mine = np.zeros(256, bool)
-        mine[piece if len(pieces) > 1 else slice(None)] = True
-        if k == len(pieces) - 1:  # contexts that training never saw are in no piece
-            mine[np.setdiff1d(np.arange(256), sum(pieces, []))] = True
-        part = counts if len(pieces) == 1 else counts.where(F.shiftright("gram", 8).bitwiseAND(F.lit(255)).isin(piece))
-        grams = part.toArrow()
-        held = []
-        for f in range(folds):
-            own = grams.filter(pa.compute.equal(grams.column("fold"), f))
-            held.append((own.column("gram").to_numpy().view(_U), own.column("n").to_numpy(), zero[f]))
-        shared = spark.sparkContext.broadcast((held, mine, order, folds))
-        rows = rows.mapInArrow(_score(shared, last=k == len(pieces) - 1), "doc_id long, text string, bits double" if k < len(pieces) - 1 else "doc_id long, n_bytes long, bits double, bits_per_byte double")
-        if k < len(pieces) - 1:
-            rows = materialize(rows)
-    return rows
-
-
-def _score(shared, last: bool):
+    counts = materialize(source.mapInArrow(_count(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    byte = lambda k: F.shiftright("gram", 8 * (k + 1)).bitwiseAND(F.lit(255))
+    where = sum((byte(k) * (1 << (8 * (cell - 1 - k))) for k in range(cell)), F.lit(0)).alias("cell")
+    cells = counts.groupBy(where).agg(F.count("*").alias("entries")).toArrow()
+    above = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * cell)) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    low = _merged([above.column("gram").to_numpy().view(_U)], [above.column("n").to_numpy()])
+    passes = _cuts(cells.column("cell").to_numpy(), cells.column("entries").to_numpy(), cell, pass_entries)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest")
+    parts = None
+    for at in passes:
+        several = len(passes) > 1
+        held = (counts.where((where >= at[0]) & (where < at[1])) if several else counts).toArrow()
+        tables = _tables(held.column("gram").to_numpy().view(_U), held.column("n").to_numpy(), low, order, cell, at)
+        shared = spark.sparkContext.broadcast((tables, at if several else None, train is None, cell))
+        if not several:
+            return rows.mapInArrow(_score(shared), "doc_id long, n_bytes long, bits double, bits_per_byte double")
+        part = rows.select(digest, "text").mapInArrow(_partly(shared), "digest string, bits double").groupBy("digest").agg(F.max("bits").alias("bits"))
+        part = materialize(part)
+        shared.destroy()
+        parts = part if parts is None else parts.union(part)
+    whole = parts.groupBy("digest").agg(F.sum("bits").alias("bits"))
+    sized = rows.select("doc_id", digest, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return sized.join(whole, "digest").select("doc_id", "n_bytes", "bits", (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
+
+
+def _coder(shared):
+    """Text columns -> code lengths by row."""
+    tables, at, own, cell = shared.value
+    piece = Piece(tables)
+
+    def code(column: pa.Array) -> np.ndarray:
+        out = np.zeros(len(column))
+        for a, b, raw, offsets in slices(column):
+            mine = None
+            if at is not None:
+                place = _backwards(_grams(raw, offsets, piece.order), cell)
+                mine = (place >= _U(at[0])) & (place < _U(at[1]))
+            out[a:b] = bits(piece, raw, offsets, mine, own, cell)
+        return out
+
+    return code
+
+
+def _score(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = None
+        for batch in batches:
+            code = code or _coder(shared)
+            cost, n = code(batch.column(1)), np.diff(buffers(batch.column(1))[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cost), pa.array(cost / np.maximum(n, 1))], ["doc_id", "n_bytes", "bits", "bits_per_byte"])
+
+    return run
+
+
+def _partly(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = None
+        code = None
         for batch in batches:
-            if tries is None:
-                held, mine, order, folds = shared.value
-                tries = [Trie(g, n, order, zero) for g, n, zero in held]
-            bits = batch.column(2).to_numpy(zero_copy_only=False).copy()
-            for a, b, raw, offsets in slices(batch.column(1)):
-                grams = _grams(raw, offsets, order)
-                other = np.repeat(folds - 1 - _folds(raw, offsets, folds), np.diff(offsets))
-                cost = np.zeros(len(raw))
-                for f in range(folds):
-                    use = mine[((grams >> _U(8)) & _U(255)).astype(np.int64)] if not mine.all() else np.ones(len(raw), bool)
-                    use = np.flatnonzero(use & (other == f))
-                    cost[use] = tries[f].cost(grams[use])
-                ends = np.concatenate([[0.0], np.cumsum(cost)])[offsets]
-                bits[a:b] += np.diff(ends)
-            if not last:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits)], ["doc_id", "text", "bits"])
-                continue
-            n = np.diff(buffers(batch.column(1))[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(bits), pa.array(bits / np.maximum(n, 1))], ["doc_id", "n_bytes", "bits", "bits_per_byte"])
+            code = code or _coder(shared)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code(batch.column(1)))], ["digest", "bits"])
 
     return run

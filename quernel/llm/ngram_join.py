@@ -40,7 +40,7 @@ from .kernel import mix, ngram_hashes, slices, span_hashes, words
 RANGE_BYTES = 16 << 20
 LEAST_RANGES = 32
 #: Sets in a block of a component; components up to this size are searched as a whole.
-BLOCK_SETS = 1024
+BLOCK_SETS = 384
 #: Edges up to which components are found on the driver (16 bytes each).
 DRIVER_EDGES = 1_000_000
 

@@ -3,10 +3,15 @@
 import base64
 import bz2
 import gzip
+import hashlib
 import itertools
 import lzma
 import random
+import re
+import time
+import urllib.parse
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +76,62 @@ def test_unfolding_ends():
     assert secrets.scan(b64(gzip.compress(b"hello there")[:-12] + b"zz")) == [] and secrets.scan("%zz %4 \\u12 &#; " + "A" * 5000) == []
 
 
+def test_interleaved_layers_go_on_as_one():
+    """Two nested encodings side by side: as many layers as pairs of depths, not as orders of decoding."""
+    once = {"%": "%25", "\\": "\\u005c"}
+    for depth in (1, 3, 20):
+        left, right = "%41", "\\u004b"
+        for _ in range(depth - 1):
+            left, right = left.replace("%", once["%"]), right.replace("\\", once["\\"])
+        text = f"see {left}{right}{KEY[2:]} now"
+        began = time.perf_counter()
+        found = secrets.scan(text)
+        assert time.perf_counter() - began < 5 and [(x[0], x[4]) for x in found] == [("aws_access_key", KEY)]
+        assert text[found[0][1] : found[0][2]] == text[4:-4] and Counter(found[0][3].split(">")) == {"url": depth, "unicode": depth}
+
+
+def decode(text, depth=0):
+    """All that can be decoded, by plain recursion without spans."""
+    yield text
+    if depth == 4:
+        return
+    for word in text.split():
+        made = {urllib.parse.unquote(word), re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), word)} - {word}
+        if re.fullmatch(r"[A-Za-z0-9+/]{16,}={0,2}", word) and len(word) % 4 == 0:
+            raw = base64.b64decode(word)
+            try:
+                made.add((gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else zlib.decompress(raw) if raw[:1] == b"x" and raw[1:2] in b"\x01\x5e\x9c\xda" else raw).decode())
+            except (UnicodeDecodeError, zlib.error, OSError):
+                pass
+        for x in made:
+            yield from decode(x, depth + 1)
+
+
+def test_findings_against_plain_decoder(rows):
+    rng = random.Random(11)
+    made = []
+    for i in range(120):
+        inner = rng.choice((f"key {KEY} end", "ghp_" + "a1B2" * 9, "pwd=hunter22xyz", "no secret here at all"))
+        for _ in range(rng.randint(0, 3)):
+            inner = WRAPS[rng.choice(list(WRAPS))](inner)
+        made.append((i, f"words before {inner} and behind"))
+    odd = [(200, None), (201, ""), (None, KEY), (202, KEY), (202, KEY), (203, "word " * 100_000 + KEY + " " + "x" * 100_000)]
+    docs = rows(*made, *odd).withColumn("rule", F.lit(1)).withColumn("digest", F.lit(2))
+    got = secrets.scan_secrets(docs).collect()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {(i, rule, sha(m.group(1))) for i, t in [*made, *odd] for x in decode(t or "") for rule, p in secrets.RULES.items() for m in p.finditer(x)}
+    assert {(r.doc_id, r.rule, r.digest) for r in got if r.rule != "assigned_secret"} == {x for x in want if x[1] != "assigned_secret"} and len(want) > 60
+    assert {(r.doc_id, r.digest) for r in got if r.rule == "assigned_secret"} >= {(i, sha("hunter22xyz")) for i, t in made if any("pwd=hunter22xyz" in x for x in decode(t))}
+    assert sum(r.doc_id == 202 for r in got) == 2 and [(r.start, r.end) for r in got if r.doc_id == 203] == [(500_000, 500_020)]
+    assert secrets.scan_secrets(docs.where("false")).count() == 0
+
+
+def test_repeated_secrets_in_one_text():
+    text = f"{KEY} " * 20_000
+    began = time.perf_counter()
+    assert len(secrets.scan(text)) == 20_000 and time.perf_counter() - began < 10
+
+
 def test_quick_look_misses_nothing(rows):
     rng = random.Random(5)
     texts = []
@@ -331,16 +392,26 @@ def test_classifier(spark, rows):
     everything = quality_knn.classify(held, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert everything.count() == held.count() and {(r.quality, r.toxic, r.keep) for r in everything.collect()} == {(1.0, 0.0, True)}
     assert quality_knn.classify(docs.where("false"), table).count() == 0
-    # voting against plain loops
-    column = pa.array([t for _, t in texts[240:]], pa.large_string())
-    votes = space.vote(column)
-    vectors = np.concatenate([v for _, _, v in space.project(column)])
-    for v, vote in zip(vectors, votes, strict=True):
-        near = sorted(((float(v @ w), tuple(y)) for w, y in zip(space.vectors, space.labels, strict=True)), reverse=True)[: quality_knn.NEIGHBOURS]
-        total = sum(max(s, 0) for s, _ in near)
-        want = [sum(max(s, 0) * y[k] for s, y in near) / total for k in range(2)] if total > 1e-6 else space.prior
-        edge = np.sort(space.vectors @ v)[::-1][quality_knn.NEIGHBOURS - 1 : quality_knn.NEIGHBOURS + 1]
-        if total <= 1e-6 or edge[0] - edge[1] > 1e-6:  # ties at the edge go by place
-            assert vote == pytest.approx(want, abs=1e-4)
-
-
+    # rows that repeat a labelled id don't add vectors
+    again = docs.union(docs).union(docs.withColumn("text", F.lit("zzz")))
+    assert len(quality_knn.fit(again, table, max_labelled=10).vectors) == 10
+    # the latent space and voting against plain SVD and loops, ties by place
+    column = pa.array([t for _, t in texts[240:]] + ["", "zzz", "buy!! " * 100_000], pa.large_string())
+    chosen = sorted(sorted(range(240), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()))
+    x = np.concatenate([v for _, _, v in space.counts(pa.array([texts[i][1] for i in chosen], pa.large_string()))]).astype(float)
+    u, s, axes = np.linalg.svd(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), full_matrices=False)
+    axes = axes[: quality_knn.DIMENSIONS][s[: quality_knn.DIMENSIONS] ** 2 > 1e-6 * s[0] ** 2]
+    assert space.axes.shape[1] == len(axes) <= min(quality_knn.DIMENSIONS, x.shape[1])
+    unit = lambda y: y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-6)
+    trained = unit(x @ axes.T)
+    asked = unit(np.concatenate([v for _, _, v in space.counts(column)]) @ axes.T)
+    assert trained @ trained.T == pytest.approx(space.vectors @ space.vectors.T, abs=1e-4)
+    tied = 0
+    for v, w, vote in zip(asked, np.concatenate([v for _, _, v in space.project(column)]), space.vote(column), strict=True):
+        assert trained @ v == pytest.approx(space.vectors @ w, abs=1e-4)
+        cosine = np.round(space.vectors @ w, 5).tolist()
+        near = sorted(range(len(cosine)), key=lambda i: (-cosine[i], i))[: quality_knn.NEIGHBOURS]
+        total = sum(max(cosine[i], 0) for i in near)
+        assert vote == pytest.approx(sum(max(cosine[i], 0) * space.labels[i] for i in near) / total if total > 1e-6 else space.prior, abs=1e-3)
+        tied += sorted(cosine)[-quality_knn.NEIGHBOURS] == sorted(cosine)[-quality_knn.NEIGHBOURS - 1]
+    assert tied > 5

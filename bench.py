@@ -57,7 +57,7 @@ def main() -> None:
     for name in COLD:
         timed(name, lambda name=name: run(search.QUERIES[name](spark, SF_DIR)))
     store = DiskProvider(spark, f"{work}/store")
-    timed("store_index", lambda: store.write(search.documents_index(spark, SF_DIR, places=True)))
+    timed("store_index", lambda: store.write(search.documents_index(spark, SF_DIR)))
     index = store.read("documents")
     for name, query in WARM.items():
         timed(name, lambda query=query: run(index.search(query)))

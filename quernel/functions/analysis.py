@@ -9,7 +9,9 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +27,6 @@ STOP_WORDS = tuple(
     "what most just must they only could would since while there where these among which often other after their wants might least about every should rather either across "
     "cannot almost likely because neither however".split()
 )
-_BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -66,32 +67,63 @@ def tokenize(text: str | float | None, separator: str = SEPARATOR) -> list[Token
     return out
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, not wherever a lambda mentions it."""
-    return F.transform(F.array(value), body)[0]
+_IS_SEPARATOR = np.zeros(256, bool)
+_IS_SEPARATOR[[9, 10, 11, 12, 13, 32, 45]] = True
+_PLACED = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("len", T.IntegerType())]))
 
 
-def _length(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda sum_, w: sum_ + F.length(w) + 1)
+def _buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets from 0) of a string array; nulls count as empty."""
+    if isinstance(text, pa.ChunkedArray):
+        text = text.combine_chunks()
+    text = text.fill_null("")
+    _, places, data = text.buffers()
+    offsets = np.frombuffer(places, np.int64 if pa.types.is_large_string(text.type) else np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, offsets - offsets[0]
 
 
-def tokens(text: Column, separator: str = SEPARATOR) -> Column:
-    """An array of (token, start, len), without a shuffle: places are summed up in blocks, blocks by their lengths."""
+def _listed(raw: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The tokens of each text, from their first and last bytes; places count characters."""
+    size, inside = end - start, np.zeros(len(raw) + 1, np.int8)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, end, -1)
+    token = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw[np.cumsum(inside[:-1]) > 0]))])
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    first = chars[offsets[np.searchsorted(offsets, start, "right") - 1]]
+    rows = pa.StructArray.from_arrays([token.cast(pa.string()), pa.array((chars[start] - first).astype(np.int32)), pa.array((chars[end] - chars[start]).astype(np.int32))], ["token", "start", "len"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(start, offsets).astype(np.int32)), rows)
+
 
-    def place(block: Column, base: Column) -> Column:
-        return F.transform(block, lambda w, i: F.struct(w.alias("token"), (base + _length(F.slice(block, F.lit(1), i))).alias("start"), F.length(w).alias("len")))
+@F.arrow_udf(_PLACED)
+def _by_bytes(text: pa.Array) -> pa.Array:
+    """Tokens between the usual separators, which are single bytes, found in the whole batch at once."""
+    raw, offsets = _buffers(text)
+    word = np.concatenate([[False], ~_IS_SEPARATOR[raw], [False]])
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[offsets] = True
+    start = np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1]))
+    end = np.flatnonzero(word[1:-1] & (~word[2:] | cut[1:])) + 1
+    return _listed(raw, offsets, start, end)
 
-    def blocks(parts: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int")), lambda b: F.slice(parts, b * _BLOCK + 1, F.lit(_BLOCK)))
 
-    def placed(cut: Column) -> Column:
-        return _let(
-            F.transform(cut, _length),
-            lambda sizes: F.flatten(F.transform(cut, lambda block, b: _let(F.aggregate(F.slice(sizes, F.lit(1), b), F.lit(0), lambda s, n: s + n), lambda base: place(block, base)))),
-        )
+@F.arrow_udf(_PLACED)
+def _by_pattern(text: pa.Array, separator: pa.Array) -> pa.Array:
+    if len(text) == 0:
+        return pa.array([], pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("len", pa.int32())])))
+    made = [[{"token": t.token, "start": t.start, "len": t.len} for t in tokenize(x, separator[0].as_py())] for x in text.to_pylist()]
+    return pa.array(made, pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("len", pa.int32())])))
 
-    words_ = F.split(F.lower(text.cast("string")), separator, -1)
-    return F.filter(_let(words_, lambda parts: _let(blocks(parts), placed)), lambda t: t["token"] != "")
+
+def tokens(text: Column, separator: str = SEPARATOR) -> Column:
+    """An array of (token, start, len), without a shuffle; a null text has a null one.
+
+    Places need a running sum over a text's words, which built-in functions only give in quadratic
+    time: whole Arrow batches are cut at once instead.
+    """
+    lowered = F.lower(text.cast("string"))
+    made = _by_bytes(lowered) if separator == SEPARATOR else _by_pattern(lowered, F.lit(separator))
+    return F.when(lowered.isNotNull(), made)
 
 
 def words(text: Column, separator: str = SEPARATOR) -> Column:

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,6 +57,8 @@ class Index:
     postings: DataFrame | None = None
     field_docs: DataFrame | None = None
     stats: DataFrame | None = None
+    #: (postings, field_docs) of some fields alone, where the index is still the analysis of one table: one scan for all of them.
+    build: Callable[[frozenset[str]], tuple[DataFrame, DataFrame]] | None = field(default=None, compare=False)
 
     @classmethod
     def new(cls, name: str | None = None, ref: str = "id", pipeline: Pipeline | None = None) -> Index:
@@ -91,8 +93,8 @@ class Index:
 
     # documents
 
-    def _rows(self, docs: DataFrame) -> tuple[Index, DataFrame]:
-        """The index with the leaves of nested fields registered, and (doc_id, field, value): what each document has in each field."""
+    def _values(self, docs: DataFrame) -> tuple[Index, Column, list[tuple[str, Column, T.DataType]]]:
+        """The index with the leaves of nested fields registered, the ids' column, and each field's (name, column, type)."""
         leaves = flatten(docs.schema)
         ref = next((c for n, c, _ in leaves if n == self.ref), None)
         if ref is None:
@@ -108,19 +110,30 @@ class Index:
                 continue
             fields.setdefault(name, self.fields[owner])
             values.append((name, column, kind))
-        parts = []
+        return replace(self, fields=fields), ref, values
+
+    def _rows(self, docs: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+        """(doc_id, field, text, given): what each document has in each field, or in some; one scan of the columns that they need."""
+        _, ref, values = self._values(docs)
+        cells = []
         for name, column, kind in values:
+            if only is not None and name not in only:
+                continue
             given = isinstance(kind, T.ArrayType)
             text = F.lit(None) if given else F.when(column, "true") if isinstance(kind, T.BooleanType) else column
-            part = docs.select(ref.alias("doc_id"), F.lit(name).alias("field"), text.cast("string").alias("text"), (column if given else F.lit(None)).cast("array<string>").alias("given"))
-            parts.append(part.where("doc_id is not null and (text is not null or given is not null)"))
-        # a branch for each field: a search in one field reads no column of the others
-        return replace(self, fields=fields), functools.reduce(DataFrame.unionByName, parts)
+            cells.append((F.lit(name).alias("field"), text.cast("string").alias("text"), (column if given else F.lit(None)).cast("array<string>").alias("given")))
+        if len(cells) == 1:
+            rows = docs.select(ref.alias("doc_id"), *cells[0])
+        else:
+            rows = docs.select(ref.alias("doc_id"), F.inline(F.array(*[F.struct(*c) for c in cells])))
+        return rows.where("doc_id is not null and (text is not null or given is not null)")
 
-    def _analysed(self, rows: DataFrame) -> DataFrame:
+    def _analysed(self, rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
         """Postings of (doc_id, field, text, given); fields of one pipeline share a pass."""
         groups: dict[tuple[Pipeline, bool], list[str]] = {}
         for name, config in self.fields.items():
+            if only is not None and name not in only:
+                continue
             groups.setdefault((config.pipeline, config.store_positions), []).append(name)
         parts = []
         for (pipeline, placed), names in groups.items():
@@ -129,35 +142,41 @@ class Index:
             found = rows.where(F.col("field").isin(names)).select("field", "doc_id", F.explode(F.coalesce(of_text, unplaced(F.col("given")))).alias("t"))
             found = found.select("field", "doc_id", F.struct("t.start", "t.len").alias("position"), F.col("t.token").alias("term"))
             parts.append(pipeline.apply(found))
-        every = functools.reduce(DataFrame.unionByName, parts)
-        places = F.array_sort(F.collect_list(F.when(F.col("position.start").isNotNull(), F.col("position"))))
-        return every.groupBy("field", "doc_id", "term").agg(F.count("*").alias("total"), places.cast(f"array<{POSITION}>").alias("positions"))
+            held = F.array_sort(F.collect_list(F.when(F.col("position.start").isNotNull(), F.col("position")))) if placed else F.array()
+            parts[-1] = parts[-1].groupBy("field", "doc_id", "term").agg(F.count("*").alias("total"), held.cast(f"array<{POSITION}>").alias("positions"))
+        return functools.reduce(DataFrame.unionByName, parts)
 
-    def add_documents(self, docs: DataFrame, unique: bool = False) -> Index:
+    def add_documents(self, docs: DataFrame, unique: bool | None = None) -> Index:
         """Adds what isn't there yet: a document's field is skipped if the index has that field of that id.
 
-        Of rows that share an id the first counts. ``unique`` promises that ids don't repeat,
-        which saves a shuffle of the texts.
+        Of rows that share an id the first counts. That takes a shuffle of the texts, which
+        ``unique`` (ids don't repeat) saves; if it isn't given, the ids alone are looked at first.
         """
-        index, rows = self._rows(docs)
-        if not unique:
-            # partitioned by (doc_id, field), so that counting terms needs no further shuffle
-            rows = rows.withColumn("__at", F.monotonically_increasing_id())
-            rows = rows.groupBy("doc_id", "field").agg(F.min_by(F.struct("text", "given"), "__at").alias("v")).select("doc_id", "field", "v.text", "v.given")
-        if self.field_docs is not None:
-            rows = rows.join(self.field_docs, ["field", "doc_id"], "left_anti")
-        new, ids = index._analysed(rows), rows.select("field", "doc_id")
+        index, ref, _ = self._values(docs)
+        if unique is None:
+            unique = docs.select(ref.alias("id")).where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+
+        def build(only: frozenset[str] | None = None) -> tuple[DataFrame, DataFrame]:
+            rows = index._rows(docs, only)
+            if not unique:
+                # partitioned by (doc_id, field), so that counting terms needs no further shuffle
+                rows = rows.withColumn("__at", F.monotonically_increasing_id())
+                rows = rows.groupBy("doc_id", "field").agg(F.min_by(F.struct("text", "given"), "__at").alias("v")).select("doc_id", "field", "v.text", "v.given")
+            if self.field_docs is not None:
+                rows = rows.join(self.field_docs, ["field", "doc_id"], "left_anti")
+            return index._analysed(rows, only), rows.select("field", "doc_id")
+
+        new, ids = build()
         if self.postings is None:
-            return replace(index, postings=new, field_docs=ids, stats=None)
-        return replace(index, postings=self.postings.unionByName(new), field_docs=self.field_docs.unionByName(ids), stats=None)
+            return replace(index, postings=new, field_docs=ids, stats=None, build=build)
+        return replace(index, postings=self.postings.unionByName(new), field_docs=self.field_docs.unionByName(ids), stats=None, build=None)
 
-    def update_documents(self, docs: DataFrame, unique: bool = False) -> Index:
+    def update_documents(self, docs: DataFrame, unique: bool | None = None) -> Index:
         """Replaces the fields that the new documents have; other fields stay."""
-        index, rows = self._rows(docs)
         if self.postings is None:
             return self.add_documents(docs, unique)
-        touched = rows.select("field", "doc_id").distinct()
-        kept = replace(index, postings=self.postings.join(touched, ["field", "doc_id"], "left_anti"), field_docs=self.field_docs.join(touched, ["field", "doc_id"], "left_anti"))
+        touched = self._rows(docs).select("field", "doc_id").distinct()
+        kept = replace(self, postings=self.postings.join(touched, ["field", "doc_id"], "left_anti"), field_docs=self.field_docs.join(touched, ["field", "doc_id"], "left_anti"), build=None)
         return kept.add_documents(docs, unique)
 
     def remove_documents(self, ids: DataFrame | Iterable[Any]) -> Index:
@@ -168,11 +187,19 @@ class Index:
             kind = self.field_docs.schema["doc_id"].dataType
             ids = self.field_docs.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("doc_id", kind)]))
         ids = ids.select(F.col(f"`{ids.columns[0]}`").alias("doc_id")).where("doc_id is not null").distinct()
-        return replace(self, postings=self.postings.join(ids, "doc_id", "left_anti"), field_docs=self.field_docs.join(ids, "doc_id", "left_anti"), stats=None)
+        return replace(self, postings=self.postings.join(ids, "doc_id", "left_anti"), field_docs=self.field_docs.join(ids, "doc_id", "left_anti"), stats=None, build=None)
+
+    def parts(self, fields: Iterable[str]) -> tuple[DataFrame, DataFrame]:
+        """(postings, field_docs) of some fields."""
+        only = frozenset(fields)
+        if self.build is not None:
+            return self.build(only)
+        own = F.col("field").isin(*sorted(only))
+        return self._require().postings.where(own), self.field_docs.where(own)
 
     def all(self) -> DataFrame:
         """The ids of all documents."""
-        return self._require().field_docs.where(F.col("field") == self.ref).select("doc_id")
+        return self.parts([self.ref])[1].select("doc_id")
 
     def documents_size(self) -> int:
         """The largest number of ids in a field."""
@@ -187,13 +214,14 @@ class Index:
 
     # statistics
 
-    def field_stats(self) -> DataFrame:
+    def field_stats(self, fields: Iterable[str] | None = None) -> DataFrame:
         """(field, n_docs, n_terms, norm): one row a field."""
         if self.stats is not None:
-            return self.stats
+            return self.stats if fields is None else self.stats.where(F.col("field").isin(*fields))
         self._require()
-        docs = self.field_docs.groupBy("field").agg(F.count("*").alias("n_docs"))
-        terms = self.postings.groupBy("field", "term").agg(F.lit(1).alias("one")).groupBy("field").agg(F.count("*").alias("n_terms"))
+        postings, field_docs = (self.postings, self.field_docs) if fields is None else self.parts(fields)
+        docs = field_docs.groupBy("field").agg(F.count("*").alias("n_docs"))
+        terms = postings.groupBy("field", "term").agg(F.lit(1).alias("one")).groupBy("field").agg(F.count("*").alias("n_terms"))
         n = F.coalesce("n_terms", F.lit(0))
         return docs.join(terms, "field", "left").select("field", "n_docs", n.alias("n_terms"), F.when(n > 0, 1 / F.sqrt(n)).otherwise(F.lit(0.0)).alias("norm"))
 
@@ -249,10 +277,12 @@ class Field:
 
     @property
     def postings(self) -> DataFrame:
-        return self.index._require().postings.where(F.col("field") == self.name)
+        self.index._require()
+        return self.index.parts([self.name])[0]
 
     def documents(self) -> DataFrame:
-        return self.index._require().field_docs.where(F.col("field") == self.name).select("doc_id")
+        self.index._require()
+        return self.index.parts([self.name])[1].select("doc_id")
 
     def distinct_terms(self) -> DataFrame:
         return self.postings.select("term").distinct()
@@ -280,7 +310,7 @@ class Field:
         return self._described(self.postings.where(F.col("term") == term))
 
     def _described(self, postings: DataFrame) -> DataFrame:
-        own = self.index.field_stats().where(F.col("field") == self.name).select("n_docs", "norm")
+        own = self.index.field_stats([self.name]).select("n_docs", "norm")
         held = postings.groupBy("term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("doc_id")).alias("documents"))
         return held.crossJoin(F.broadcast(own)).select("term", "tf", idf("n_docs", "tf").alias("idf"), "norm", "documents")
 

@@ -10,8 +10,9 @@ import json
 import re
 import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import DiskProvider, DocumentStore, Index, Manager, Pipeline, default_runners
@@ -36,14 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents_index(spark: SparkSession, sf_dir: str, places: bool = False) -> Index:
-    index = Index.new("documents", ref="doc_id").add_field("text", pipeline=Pipeline([TRIMMER]), store_positions=places).add_field("lang", store_positions=False).add_field("source", store_positions=False)
-    return index.add_documents(table(spark, sf_dir, "documents"), unique=True)
+def documents_index(spark: SparkSession, sf_dir: str) -> Index:
+    index = Index.new("documents", ref="doc_id").add_field("text", pipeline=Pipeline([TRIMMER])).add_field("lang").add_field("source")
+    return index.add_documents(table(spark, sf_dir, "documents"))
 
 
 def parts_index(spark: SparkSession, sf_dir: str) -> Index:
     index = Index.new("parts", ref="p_partkey").add_field("p_name").add_field("p_brand").add_field("p_type")
-    return index.add_documents(table(spark, sf_dir, "part"), unique=True)
+    return index.add_documents(table(spark, sf_dir, "part"))
 
 
 def _scored(hits: DataFrame, *more: str) -> DataFrame:
@@ -151,11 +152,21 @@ STEMS = {
     "knit": "knits knitting knit knitted", "knock": "knocked knocking knock knocks", "consign": "consignment consigning consigned consign", "consol": "consols consoles consolation console consoled consolations consoling",
     "consist": "consists consisting consistency consist consistently consisted consistent", "consolid": "consolidating consolidate consolidated", "knee": "knees knee", "kneel": "kneels kneel kneeling kneeled", "tri": "try", "knive": "knives",
     "conspir": "conspiring conspirators conspire conspired conspirator", "constabl": "constables constable", "constanc": "constancy constance", "conspicu": "conspicuously conspicuous", "conspiraci": "conspiracy",
-    "consolatori": "consolatory", "knavish": "knavish", "knead": "kneaded", "knight": "knights knight", "conson": "consonant", "consort": "consorting consort consorted", "constant": "constant", "lay": "lay", "happili": "happily", "hope": "hoping", "hop": "hopping",
+    "knack": "knack knacks", "knackeri": "knackeries", "knag": "knag", "knave": "knave knaves", "knell": "knell", "knelt": "knelt", "knew": "knew", "knick": "knick", "knif": "knif", "knife": "knife", "knob": "knob knobs",
+    "knocker": "knocker knockers", "knopp": "knopp", "knot": "knot knots", "consolatori": "consolatory", "knavish": "knavish", "knead": "kneaded kneading", "knight": "knights knight", "conson": "consonant", "consort": "consorting consort consorted", "constant": "constant", "lay": "lay", "happili": "happily", "hope": "hoping", "hop": "hopping",
 }
 _PAIRS = sorted((w, s) for s, ws in STEMS.items() for w in ws.split())
 
 
+@_query(rf"""
+    with t as (select p_partkey, unnest(string_split_regex(lower(p_name || ' ' || p_type), {_SEP})) as t from part)
+    select p_partkey, case t when 'economy' then 'economi' when 'large' then 'larg' else t end as term from t where t <> ''""")
+def pipeline_default_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default pipeline over names and types, whose few words have known stems."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(words(F.concat_ws(" ", "p_name", "p_type"))).alias("term"))
+    return Pipeline(default_runners()).apply(rows)
+
+
 @_query("select * from (values " + ", ".join(f"('{w}', '{s}')" for w, s in _PAIRS) + ") t(word, stem)")
 def stemmer_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(w,) for w, _ in _PAIRS], "word string").select("word", STEMMER.column(F.col("word")).alias("stem"))
@@ -230,14 +241,13 @@ def get_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"with {_TEXT} select w as word, exists(select 1 from p where term = w) as known from (values ('the'), ('licensed'), ('nosuchword')) t(w)")
 def has_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([("the",), ("licensed",), ("nosuchword",)], "word string")
-    known = documents_index(spark, sf_dir).field("text").distinct_terms().select(F.col("term").alias("word"), F.lit(True).alias("known"))
-    return asked.join(known, "word", "left").select("word", F.coalesce("known", F.lit(False)).alias("known"))
+    field = documents_index(spark, sf_dir).field("text")
+    return spark.createDataFrame([(w, field.has_token(w)) for w in ("the", "licensed", "nosuchword")], "word string, known boolean")
 
 
 @_query(f"with {_DOCS} select max(n)::bigint as size from (select count(*) as n from fd group by field)")
 def documents_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_index(spark, sf_dir).field_docs.groupBy("field").count().agg(F.max("count").alias("size"))
+    return spark.createDataFrame([(documents_index(spark, sf_dir).documents_size(),)], "size long")
 
 
 # searches
@@ -287,16 +297,29 @@ def terms_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("select doc_id as ref, 1.0::double as score from documents")
 def match_stopwords_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = Index.new(ref="doc_id").add_field("text", pipeline=Pipeline([TRIMMER, STOP_WORD_FILTER])).add_documents(table(spark, sf_dir, "documents"), unique=True)
+    index = Index.new(ref="doc_id").add_field("text", pipeline=Pipeline([TRIMMER, STOP_WORD_FILTER])).add_documents(table(spark, sf_dir, "documents"))
     return _scored(index.search({"query": {"match": {"text": "the and of"}}}))
 
 
 @_query(f"with {_TEXT} select ref, rank from (select doc_id as ref, row_number() over (order by round(max(s), 6) desc, doc_id)::int as rank from e where term in ('licensed', 'license') group by 1) where rank <= 10")
 def search_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A top-k report: the limit is the feature."""
-    hits = documents_index(spark, sf_dir).search({"query": {"match": {"text": "licensed license"}}})
-    best = hits.select("ref", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "ref").limit(10)
-    return best.select("ref", F.row_number().over(Window.orderBy(F.desc("score"), "ref")).alias("rank"))
+    """A top-k report: the limit is the feature. Ranks are the places in the search's own order."""
+    best = documents_index(spark, sf_dir).search({"query": {"match": {"text": "licensed license"}}}, limit=10)
+    return spark.createDataFrame([(r.ref, i + 1) for i, r in enumerate(best.select("ref").collect())], "ref long, rank int")
+
+
+@_query(f"with {_TEXT} select doc_id, term, round(s, 6) as score from e where term in ('the', 'licensed') and doc_id in (select doc_id from labels where quality = 1)")
+def terms_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the documents of a given set alone."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    found = documents_index(spark, sf_dir).terms("text", ["the", "licensed"], docs=good)
+    return found.select("doc_id", "term", F.round(F.col("tf") * F.pow("idf", F.lit(2)) * F.col("norm"), 6).alias("score"))
+
+
+@_query(f"with {_PARTS} select doc_id as ref, round(s, 6) as score from (select p_partkey as doc_id, 1 / sqrt(count(*) over ()) * pow(1 + log10(count(*) over () / 2), 2) as s from part) where doc_id = 7")
+def match_ref_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids are a field, too."""
+    return _scored(parts_index(spark, sf_dir).search({"query": {"match": {"p_partkey": 7}}}))
 
 
 @_query(rf"""
@@ -305,7 +328,7 @@ def search_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     s as (select doc_id, token, sum(len(token) + 1) over (partition by doc_id order by i) - len(token) - 1 as start from t)
     select doc_id as ref, start::int as start, len(token)::int as len from s where token <> '' and {_TRIM.format('token')} = 'licensed'""")
 def search_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = documents_index(spark, sf_dir, places=True).search({"query": {"match": {"text": "licensed"}}})
+    hits = documents_index(spark, sf_dir).search({"query": {"match": {"text": "licensed"}}})
     return hits.select("ref", F.explode(F.col("positions")["text"]).alias("at")).select("ref", "at.start", "at.len")
 
 
@@ -317,24 +340,27 @@ def match_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = documents_index(spark, sf_dir)
     asked = Pipeline([TRIMMER]).apply(table(spark, sf_dir, "benchmark").select("item_id", F.explode(words(F.col("text"))).alias("term"))).where("term <> ''").distinct()
     # scores of the terms asked for alone: the filter goes below the counting of documents
-    own = index.field_stats().where("field = 'text'").select("n_docs", "norm")
-    postings = index.postings.where("field = 'text'").join(asked.select("term").distinct(), "term", "left_semi")
+    own = index.field_stats(["text"]).select("n_docs", "norm")
+    postings = index.parts(["text"])[0].join(asked.select("term").distinct(), "term", "left_semi")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = 1 + F.log10(F.col("n_docs") / (F.col("df") + 1))
     scored = postings.join(df, "term").crossJoin(F.broadcast(own)).select("doc_id", "term", (F.sqrt("total") * F.pow(idf, F.lit(2)) * F.col("norm")).alias("s"))
     return scored.join(asked, "term").groupBy("item_id", "doc_id").agg(F.round(F.max("s"), 6).alias("score"), F.count("*").alias("held")).where("held >= 10")
 
 
-# documents coming and going: conversations, whose first turns are replaced by later ones
+# documents coming and going: the turns of a conversation are versions of one document
 
 
-def _turns(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(condition).select("conv_id", "role", "text")
+def _turns(spark: SparkSession, sf_dir: str, last: bool = False) -> DataFrame:
+    """All turns, in order or the last ones first."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.orderBy("conv_id", F.desc("turn") if last else "turn").select("conv_id", "role", "text")
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> Index:
+    """Of the rows that share an id the first counts."""
     index = Index.new("talk", ref="conv_id").add_field("text").add_field("role")
-    return index.add_documents(_turns(spark, sf_dir, "turn = 0"))
+    return index.add_documents(_turns(spark, sf_dir))
 
 
 def _talk_sql(source: str) -> str:
@@ -345,19 +371,29 @@ def _talk(index: Index) -> DataFrame:
     return index.postings.where("field <> 'conv_id'").select("field", "doc_id", "term", "total")
 
 
-@_query(_talk_sql("select conv_id, role, text from conversations where turn = 0"))
+_FIRST = "select conv_id, arg_min(role, turn) as role, arg_min(text, turn) as text from conversations group by 1"
+
+
+@_query(_talk_sql(_FIRST))
+def add_documents_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _talk(_conversations(spark, sf_dir))
+
+
+@_query(_talk_sql(_FIRST))
 def add_documents_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _talk(_conversations(spark, sf_dir).add_documents(_turns(spark, sf_dir, "turn = 1")))
+    """What is there stays, whatever is added under its id."""
+    return _talk(_conversations(spark, sf_dir).add_documents(_turns(spark, sf_dir, last=True)))
 
 
-@_query(_talk_sql("select conv_id, role, text from conversations where turn = 1 union all select conv_id, role, text from conversations where turn = 0 and conv_id not in (select conv_id from conversations where turn = 1)"))
+@_query(_talk_sql("select conv_id, arg_max(role, turn) as role, arg_max(text, turn) as text from conversations group by 1"))
 def update_documents_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _talk(_conversations(spark, sf_dir).update_documents(_turns(spark, sf_dir, "turn = 1")))
+    return _talk(_conversations(spark, sf_dir).update_documents(_turns(spark, sf_dir, last=True)))
 
 
-@_query(_talk_sql("select conv_id, role, text from conversations where turn = 0 and conv_id not in (select conv_id from conversations where turn = 3)"))
+@_query(_talk_sql(f"select * from ({_FIRST}) where conv_id not in (select conv_id from conversations group by 1 having count(*) > 4)"))
 def remove_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _talk(_conversations(spark, sf_dir).remove_documents(_turns(spark, sf_dir, "turn = 3").select("conv_id")))
+    long = table(spark, sf_dir, "conversations").groupBy("conv_id").count().where("count > 4").select("conv_id")
+    return _talk(_conversations(spark, sf_dir).remove_documents(long))
 
 
 @_query("""
@@ -365,7 +401,7 @@ def remove_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     select field, term, count(*)::bigint as df from (select 'event_type' as field, t as term from s union all select 'props.k', k from s where k is not null) group by 1, 2""")
 def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k string").alias("props"))
-    index = Index.new(ref="event_id").add_field("event_type").add_field("props").add_documents(events, unique=True)
+    index = Index.new(ref="event_id").add_field("event_type").add_field("props").add_documents(events)
     return index.postings.where("field <> 'event_id'").groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
@@ -394,6 +430,17 @@ def storage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(store.read("parts").search("small ring"), "matched")
 
 
+@_query(f"with {_PARTS} select ref, round(sum(score), 6) as score, count(*)::bigint as matched from (select * from {_hits_sql('p_name', _in('small', 'ring'))} union all select * from {_hits_sql('p_brand', _in('small', 'ring'))} union all select * from {_hits_sql('p_type', _in('small', 'ring'))}) group by 1")
+def storage_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index whose documents were appended in two parts, the first with other names."""
+    store, part = _store(spark), table(spark, sf_dir, "part")
+    other = part.withColumn("p_name", F.lit("other small name"))
+    store.write(replace(parts_index(spark, sf_dir), postings=None, field_docs=None, build=None).add_documents(other))
+    store.append("parts", part.where("p_size > 25"))
+    store.append("parts", part.where("p_size <= 25"))
+    return _scored(store.read("parts").search("small ring"), "matched")
+
+
 @_query("select 'parts' as name, 3::bigint as fields, count(*)::bigint as size from part")
 def manager_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _store(spark)
@@ -406,11 +453,18 @@ def manager_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes[0]
 
 
-@_query()
+_LINES = [
+    "settings#name:parts|ref:p_partkey|pipeline:", "db#name:index_parts|options:postings,field_docs", "field#name:p_brand|pipeline:|store_documents:true|store_positions:true",
+    "field#name:p_name|pipeline:|store_documents:true|store_positions:true", "field#name:p_partkey|pipeline:identity|store_documents:false|store_positions:false", "field#name:p_type|pipeline:|store_documents:true|store_positions:true",
+]
+
+
+@_query("select * from (values (0::int, 'parts p_partkey 4'), " + ", ".join(f"({i + 1}, '{x}')" for i, x in enumerate(_LINES)) + ") t(line, text)")
 def settings_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The settings of an index as JSON and as lines."""
+    """The settings of an index: what JSON holds, and its lines."""
     from .sources import serializer
 
     index = parts_index(spark, sf_dir)
-    lines = [json.dumps(json.loads(serializer.to_json(index))), *serializer.to_lines(index)]
+    held = json.loads(serializer.to_json(index))
+    lines = [f"{held['name']} {held['ref']} {len(held['fields'])}", *serializer.to_lines(index)]
     return spark.createDataFrame(list(enumerate(lines)), "line int, text string")

@@ -14,6 +14,9 @@ from ..operators.index import Index
 from . import serializer
 
 
+_META = "version string, settings string, has_data boolean, deltas int"
+
+
 class StorageError(Exception):
     """An index can't be read, written or deleted."""
 
@@ -31,6 +34,16 @@ class StorageProvider(ABC):
     @abstractmethod
     def delete(self, name: str) -> None: ...
 
+    def append(self, name: str, docs: DataFrame, update: bool = True) -> int:
+        """Adds documents to a stored index, and says how many parts of it wait to be merged by ``compact``."""
+        index = self.read(name)
+        self.write(index.update_documents(docs) if update else index.add_documents(docs))
+        return 0
+
+    def compact(self, name: str) -> None:
+        """Merges what ``append`` has added."""
+        self.write(self.read(name))
+
 
 class BlackholeProvider(StorageProvider):
     """Keeps nothing."""
@@ -53,7 +66,9 @@ class DiskProvider(StorageProvider):
 
     Postings are partitioned by field and sorted by term within range partitions, so that a search
     reads the row groups of its terms alone. Writing makes new versions of the tables and names
-    them in the settings last, so a failed write leaves the old index.
+    them in the settings last, so a failed write leaves the old index. ``append`` writes the new
+    documents alone, as a delta whose (field, doc_id) take the place of earlier ones when the
+    index is read; ``compact`` merges deltas into a new version.
     """
 
     def __init__(self, spark: SparkSession, directory: str):
@@ -78,12 +93,33 @@ class DiskProvider(StorageProvider):
         """The paths of all stored indexes' settings."""
         return [f"{self.directory}/{n}/meta" for n in self._list() if "meta" in self._list(n)]
 
-    def _version(self, folder: str) -> tuple[str, str]:
-        """(settings, name of the version of the tables)."""
+    def _version(self, folder: str) -> tuple[str, str, bool, int]:
+        """(settings, name of the version of the tables, whether there are any, number of deltas)."""
         if "meta" not in self._list(folder):
             raise StorageError(f"there is no index {folder} in {self.directory}")
-        row = self.spark.read.parquet(f"{self.directory}/{folder}/meta").orderBy(F.desc("version")).first()
-        return row.settings, row.version
+        row = self.spark.read.schema(_META).parquet(f"{self.directory}/{folder}/meta").orderBy(F.desc("version"), F.desc("deltas")).first()
+        return row.settings, row.version, row.has_data, row.deltas or 0
+
+    def _note(self, folder: str, index: Index, version: str, has_data: bool, deltas: int) -> None:
+        meta = self.spark.createDataFrame([(version, serializer.to_json(index), has_data, deltas)], _META)
+        meta.coalesce(1).write.mode("append").parquet(f"{self.directory}/{folder}/meta")
+
+    def append(self, name: str, docs: DataFrame, update: bool = True) -> int:
+        """Writes a delta of the documents' own postings; the stored tables are only read for the ids that are there, and not at all with ``update``."""
+        folder = self._folder(name)
+        index, (_, version, has_data, deltas) = self.read(name), self._version(folder)
+        if not has_data:
+            self.write(index.add_documents(docs))
+            return 0
+        new = replace(index, postings=None, field_docs=None, stats=None).add_documents(docs)
+        postings, ids = new.postings, new.field_docs
+        if not update:
+            ids = ids.join(index.field_docs, ["field", "doc_id"], "left_anti")
+            postings = postings.join(index.field_docs.select("field", "doc_id"), ["field", "doc_id"], "left_anti")
+        for table, rows in (("postings", postings), ("field_docs", ids)):
+            rows.write.mode("overwrite").partitionBy("field").parquet(f"{self.directory}/{folder}/{table}_{deltas + 1}-{version}")
+        self._note(folder, new, version, True, deltas + 1)
+        return deltas + 1
 
     def write(self, index: Index) -> None:
         folder = self._folder(index.name)
@@ -91,35 +127,48 @@ class DiskProvider(StorageProvider):
         old = int(self._version(folder)[1]) if "meta" in self._list(folder) else 0
         version = f"{old + 1:08d}"
         if index.postings is not None:
-            ordered = index.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
+            # analysed once, into a plain table: the range partitioning samples its input, which would analyse the texts again
+            index.postings.write.parquet(f"{root}/unsorted-{version}")
+            ordered = self.spark.read.parquet(f"{root}/unsorted-{version}").repartitionByRange("field", "term").sortWithinPartitions("field", "term")
             ordered.write.partitionBy("field").parquet(f"{root}/postings-{version}")
+            self._fs(self._path(folder)).delete(self._path(folder, f"unsorted-{version}"), True)
             index.field_docs.write.partitionBy("field").parquet(f"{root}/field_docs-{version}")
             # from the written tables, so that texts aren't analysed again
             written = replace(index, postings=self._table(f"{root}/postings-{version}"), field_docs=self._table(f"{root}/field_docs-{version}"), stats=None)
             written.field_stats().coalesce(1).write.parquet(f"{root}/field_stats-{version}")
-        has_data = index.postings is not None
-        meta = self.spark.createDataFrame([(version, serializer.to_json(index), has_data)], "version string, settings string, has_data boolean")
-        meta.coalesce(1).write.mode("append").parquet(f"{root}/meta")
+        self._note(folder, index, version, index.postings is not None, 0)
         for entry in self._list(folder):
             if entry != "meta" and not entry.endswith(version) and int(entry.rsplit("-", 1)[1]) < int(version):
                 self._fs(self._path(folder, entry)).delete(self._path(folder, entry), True)
 
     def read(self, name: str) -> Index:
         folder = self._folder(name)
-        settings, version = self._version(folder)
+        settings, version, has_data, deltas = self._version(folder)
         index = serializer.from_json(settings)
-        has_data = self.spark.read.parquet(f"{self.directory}/{folder}/meta").where(F.col("version") == version).first().has_data
         if not has_data:
             return index
         names = [f"{t}-{version}" for t in ("postings", "field_docs", "field_stats")]
-        if missing := set(names) - set(self._list(folder)):
+        added = [(f"postings_{k}-{version}", f"field_docs_{k}-{version}") for k in range(1, deltas + 1)]
+        if missing := {*names, *(n for pair in added for n in pair)} - set(self._list(folder)):
             raise StorageError(f"index {name} lacks {', '.join(sorted(missing))}")
 
-        tables = [f"{self.directory}/{folder}/{n}" for n in names]
-        return replace(index, postings=self._table(tables[0]), field_docs=self._table(tables[1]), stats=self.spark.read.parquet(tables[2]))
-
-    def _table(self, path: str) -> DataFrame:
-        return self.spark.read.parquet(path).withColumn("field", F.col("field").cast("string"))
+        root = f"{self.directory}/{folder}"
+        postings, ids = self._table(f"{root}/{names[0]}"), self._table(f"{root}/{names[1]}")
+        if not added:
+            return replace(index, postings=postings, field_docs=ids, stats=self.spark.read.parquet(f"{root}/{names[2]}"))
+        tables = [(postings, ids), *((self._table(f"{root}/{p}", postings), self._table(f"{root}/{i}", ids)) for p, i in added)]
+        # from the last one on: what a later table holds takes the place of earlier rows
+        *earlier, (postings, ids) = tables
+        for older, older_ids in reversed(earlier):
+            later = ids.select("field", "doc_id")
+            postings = postings.unionByName(older.join(later, ["field", "doc_id"], "left_anti"))
+            ids = ids.unionByName(older_ids.join(later, ["field", "doc_id"], "left_anti"))
+        return replace(index, postings=postings, field_docs=ids)
+
+    def _table(self, path: str, like: DataFrame | None = None) -> DataFrame:
+        """A stored table; an empty one, without partitions to tell its columns from, has those of ``like``."""
+        reader = self.spark.read if like is None else self.spark.read.schema(like.schema)
+        return reader.parquet(path).withColumn("field", F.col("field").cast("string"))
 
     def load_all(self) -> Iterator[Index]:
         for path in self.files():

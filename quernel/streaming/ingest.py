@@ -7,16 +7,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.storage import StorageProvider
 
+#: Micro-batches that are kept as deltas before they are merged into the index.
+COMPACT_EVERY = 20
 
-def ingest(stream: DataFrame, provider: StorageProvider, name: str, checkpoint: str, update: bool = True, **trigger) -> StreamingQuery:
+
+def ingest(stream: DataFrame, provider: StorageProvider, name: str, checkpoint: str, update: bool = True, compact_every: int = COMPACT_EVERY, **trigger) -> StreamingQuery:
     """Adds the documents of each micro-batch to the stored index ``name``.
 
-    With ``update`` a document replaces the fields of an earlier one; else the earlier one stays.
-    Both make a batch that runs again after a failure harmless.
+    A batch costs what its own documents cost: it is appended as a delta, and only every
+    ``compact_every`` deltas is the index written anew. With ``update`` a document replaces the
+    fields of an earlier one; else the earlier one stays. Both make a batch that runs again after
+    a failure harmless.
     """
 
     def batch(docs: DataFrame, _: int) -> None:
-        index = provider.read(name)
-        provider.write(index.update_documents(docs) if update else index.add_documents(docs))
+        if not docs.isEmpty() and provider.append(name, docs, update) >= compact_every:
+            provider.compact(name)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -148,3 +148,32 @@ def test_stream(spark, tmp_path):
     index = disk.read("live")
     assert ids(index.all()) == [1, 2] and terms(index) == ["new", "two"]
     assert index.postings.where(F.col("term") == "old").isEmpty()
+
+
+@pytest.mark.parametrize("update", [True, False])
+def test_deltas_and_their_merging(spark, tmp_path, update):
+    disk = DiskProvider(spark, str(tmp_path / "store"))
+    plain = Index.new(name="live").add_field("bio").add_documents(people(spark, (1, "one red"), (2, "two")))
+    disk.write(plain)
+    batches = [people(spark, (1, "blue"), (3, "three red")), people(spark, (3, "green"), (3, "twice"), (4, "")), people(spark, (9, "x")).where("false"), people(spark, (1, "grey red"))]
+    show = lambda i: sorted((r.ref, round(r.score, 9)) for r in i.search("red grey twice").collect())
+    for k, docs in enumerate(batches):
+        assert disk.append("live", docs, update) == k + 1
+        plain = plain.update_documents(docs) if update else plain.add_documents(docs)
+        stored = disk.read("live")
+        assert ids(stored.all()) == ids(plain.all()) and terms(stored) == terms(plain) and show(stored) == show(plain)
+    disk.compact("live")
+    stored = disk.read("live")
+    assert stored.stats is not None and show(stored) == show(plain) and terms(stored) == terms(plain)
+    assert sorted(disk._list("live")) == ["field_docs-00000002", "field_stats-00000002", "meta", "postings-00000002"]
+
+
+def test_stream_in_several_batches(spark, tmp_path):
+    disk = DiskProvider(spark, str(tmp_path / "store"))
+    disk.write(Index.new(name="live").add_field("bio"))
+    for i in range(5):
+        people(spark, (i, f"word{i}"), (100, f"last{i}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, bio string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ingest(stream, disk, "live", str(tmp_path / "cp"), compact_every=3).awaitTermination()
+    index = disk.read("live")
+    assert ids(index.all()) == [0, 1, 2, 3, 4, 100] and len([t for t in terms(index) if t.startswith("last")]) == 1

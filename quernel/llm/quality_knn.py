@@ -35,6 +35,7 @@ LABELS = ("quality", "toxic")
 _CAPS = np.uint64(0xC0FFEE)
 _STEMS = (4, 5, 6)
 _ROWS = 512
+_PARTS = 32
 _KIND = np.where(IS_SPACE, 0, np.where(IS_WORD, 1, 2)).astype(np.uint8)
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -67,21 +68,14 @@ class Space:
 
     def __init__(self, texts: list[str], labels: np.ndarray):
         self.labels = labels.astype(np.float32)
-        rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for a, _, h, r in terms(pa.array(texts, pa.large_string())):
-            hashes.append(h)
-            rows.append(r + a)
-        row, term = np.concatenate(rows), np.concatenate(hashes)
-        every, at = np.unique(term, return_inverse=True)
         n = max(1, len(texts))
-        pair, times = np.unique(at.astype(np.int64) * n + row, return_counts=True)
-        strength = np.concatenate([self._strength(pair[times >= least], n, len(every), labels) for least in (1, OFTEN)])
+        column = pa.array(texts, pa.large_string())
+        term, least, strength = self._telling(column, n, labels)
         best = np.argsort(-strength, kind="stable")[:MAX_TERMS]
-        best = np.sort(best[strength[best] > CHANCE / np.sqrt(n)])
+        best = np.sort(best)
+        term, self.least, self.weight = term[best], least[best], strength[best].astype(np.float32)
         #: The distinct terms, and by column of the space the term's number and its least occurrences.
-        kept, self.column = np.unique(best % max(len(every), 1), return_inverse=True)
-        self.terms, self.weight = every[kept], strength[best].astype(np.float32)
-        self.least = np.where(best < len(every), 1, OFTEN)
+        self.terms, self.column = np.unique(term, return_inverse=True)
         self.index = np.full(1 << 20, -1, np.int32)
         slot = (self.terms >> np.uint64(44)).astype(np.int64)
         self.clash: dict[int, int] = {}
@@ -93,15 +87,44 @@ class Space:
         # the latent space at every size: the eigenvectors of the largest eigenvalues, as many as there are above rounding
         self.axes = np.zeros((len(best), 0), np.float32)
         if texts and len(best):
-            x = np.concatenate([v for _, _, v in self.counts(pa.array(texts, pa.large_string()))])
+            x = np.concatenate([v for _, _, v in self.counts(column)])
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
             values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
             top = np.argsort(-values, kind="stable")[:DIMENSIONS]
             top = top[values[top] > 1e-6 * max(values.max(), 1e-9)]
             self.axes = np.ascontiguousarray(vectors[:, top], dtype=np.float32)
-        self.vectors = np.concatenate([v for _, _, v in self.project(pa.array(texts, pa.large_string()))]) if texts else np.zeros((0, self.axes.shape[1]), np.float32)
+        self.vectors = np.concatenate([v for _, _, v in self.project(column)]) if texts else np.zeros((0, self.axes.shape[1]), np.float32)
         self.prior = self.labels.mean(axis=0) if texts else np.array([1.0, 0.0][: labels.shape[1]], np.float32)
 
+    def _telling(self, column: pa.Array, n: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term, least occurrences, strength) beyond chance, by term; a part of all terms at a time, so that memory follows the part."""
+        parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(_PARTS)]
+        for a, _, hashes, row in terms(column):
+            order = np.lexsort((row, hashes))
+            hashes, row = hashes[order], row[order] + a
+            edge = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])) if len(row) else np.zeros(0, np.int64)
+            times = np.minimum(np.diff(np.append(edge, len(row))), OFTEN).astype(np.int8)
+            hashes, row = hashes[edge], row[edge].astype(np.int32)
+            cuts = np.searchsorted(hashes, np.arange(1, _PARTS, dtype=np.uint64) << np.uint64(64 - _PARTS.bit_length() + 1))
+            for held, own in zip(parts, zip(*(np.split(x.copy(), cuts) for x in (hashes, row, times)), strict=True), strict=True):
+                held.append(own)
+        out = []
+        for held in parts:
+            if not held:
+                continue
+            hashes, row, times = (np.concatenate(x) for x in zip(*held, strict=True))
+            every, at = np.unique(hashes, return_inverse=True)
+            pair = at.astype(np.int64) * n + row
+            for least in (1, OFTEN):
+                strength = self._strength(pair[times >= least], n, len(every), labels)
+                some = strength > CHANCE / np.sqrt(n)
+                out.append((every[some], np.full(int(some.sum()), least), strength[some]))
+        if not out:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        term, least, strength = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((least, term))
+        return term[order], least[order], strength[order]
+
     @staticmethod
     def _strength(pair: np.ndarray, n: int, width: int, labels: np.ndarray) -> np.ndarray:
         """The largest phi coefficient of each term's presence with a label; pairs are term * n + row."""

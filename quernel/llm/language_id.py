@@ -2,10 +2,10 @@
 
 Each language has a model of its words' n-grams of bytes, fitted on a bounded sample of labelled
 rows. The words of a document are drawn from a mixture of languages: expectation-maximisation
-estimates the proportions from the words' n-gram likelihoods. The language set grows by one
-language at a time, as long as the likelihood rises by more than a penalty (half the logarithm of
-the number of words, plus ``PENALTY`` for each word) and each language of the set keeps a share of
-``LEAST_SHARE`` or ``LEAST_WORDS`` words, whichever is less.
+estimates the proportions from the words' n-gram likelihoods, to convergence. The language set grows
+by one language at a time, the likeliest first, as long as one of them raises the likelihood by more
+than a penalty (half the logarithm of the number of words, plus ``PENALTY`` for each word) and each
+language of the set keeps a share of ``LEAST_SHARE`` or ``LEAST_WORDS`` words, whichever is less.
 
 All documents of a slice are inferred at once: a word is a row of log-likelihoods by language, and
 expectation and maximisation are sums by document.
@@ -27,7 +27,9 @@ from .ngram_join import lower
 ROWS_A_LANGUAGE = 400
 #: Bytes in an n-gram.
 ORDER = 4
-ITERATIONS = 10
+#: Expectation-maximisation ends for a document when no share changes by more, or after so many steps.
+TOLERANCE = 1e-4
+ITERATIONS = 200
 #: Least share of a language in the set, in texts of up to LEAST_WORDS / LEAST_SHARE words.
 LEAST_SHARE = 0.1
 #: In longer ones so many words are enough, whatever the text's length.
@@ -85,15 +87,21 @@ class Models:
 
 
 def em(p: np.ndarray, counts: np.ndarray, allowed: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
-    """Proportions by document after ``iterations`` steps from equal shares of the allowed languages; p holds each word's relative likelihoods, all documents have words."""
-    first = np.cumsum(counts) - counts
-    share = allowed / allowed.sum(axis=1, keepdims=True)
-    share = share.astype(np.float32)
+    """Proportions by document at convergence, from equal shares of the allowed languages; p holds each word's relative likelihoods, all documents have words."""
+    out = (allowed / allowed.sum(axis=1, keepdims=True)).astype(np.float32)
+    open_ = np.arange(len(counts))
+    share, own = out, counts
     for _ in range(iterations):
-        r = p * np.repeat(share, counts, axis=0)
+        r = p * np.repeat(share, own, axis=0)
         r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
-        share = np.add.reduceat(r, first, axis=0) / counts[:, None].astype(np.float32)
-    return share
+        new = np.add.reduceat(r, np.cumsum(own) - own, axis=0) / own[:, None].astype(np.float32)
+        moving = np.abs(new - share).max(axis=1) > TOLERANCE
+        out[open_] = share = new
+        if not moving.any():
+            break
+        if moving.mean() < 0.7:  # documents that have converged are left out
+            p, share, own, open_ = p[np.repeat(moving, own)], share[moving], own[moving], open_[moving]
+    return out
 
 
 def _fit_of(p: np.ndarray, top: np.ndarray, counts: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -125,8 +133,10 @@ def infer(x: np.ndarray, first: np.ndarray) -> np.ndarray:
         rows = np.repeat(np.isin(np.arange(len(some)), open_), counts)
         p, top, counts = np.exp(x[rows] - top[rows, None]), top[rows], counts[open_]
         full = em(p, counts, np.ones((len(open_), x.shape[1])))
+        refused = np.zeros(full.shape, bool)
         while len(open_):
-            new = np.where(chosen[open_], -1, full).argmax(axis=1)
+            # the likeliest language that isn't in the set and wasn't refused since it last grew
+            new = np.where(chosen[open_] | refused, -1, full).argmax(axis=1)
             trial = chosen[open_].copy()
             trial[np.arange(len(open_)), new] = True
             share = em(p, counts, trial)
@@ -134,9 +144,11 @@ def infer(x: np.ndarray, first: np.ndarray) -> np.ndarray:
             better = (gained - fit[open_] > penalty[open_]) & (np.where(trial, share, 1).min(axis=1) >= np.minimum(LEAST_SHARE, LEAST_WORDS / counts))
             at = open_[better]
             chosen[at], shares[at], fit[at] = trial[better], share[better], gained[better]
-            better &= ~trial.all(axis=1)
-            rows = np.repeat(better, counts)
-            p, top, counts, full, open_ = p[rows], top[rows], counts[better], full[better], open_[better]
+            refused[np.arange(len(open_)), new] = True
+            refused[better] = False
+            going = ~(chosen[open_] | refused).all(axis=1)
+            rows = np.repeat(going, counts)
+            p, top, counts, full, refused, open_ = p[rows], top[rows], counts[going], full[going], refused[going], open_[going]
     out[some] = shares
     return out
 

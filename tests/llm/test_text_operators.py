@@ -193,8 +193,11 @@ def test_rules_and_null(rows):
     got = sorted(((r.doc_id, r.keep) for r in quality_rules.judge(docs).collect()), key=repr)
     want = [(i, i in range(len(JUNK), len(JUNK) + len(CLEAN))) for i in range(len(texts))] + [(None, True), (9, True), (9, True)]
     assert got == sorted(want, key=repr)
+    docs = docs.withColumnRenamed("score", "Words").withColumnRenamed("slot", "length")
     kept = quality_rules.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == len(CLEAN) + 3
+    long = rows((1, "plain words stand here " * 50_000), (2, "word " * 200_000), (3, "x" * 1_000_000), (4, None))
+    assert {r.doc_id for r in quality_rules.keep_good(long).collect()} == {1}
     assert quality_rules.judge(docs.where("false")).count() == 0
 
 
@@ -210,7 +213,7 @@ def test_every_order_gives_the_same(spark):
     names = list(quality_rules.RULES)
     results = []
     for order in (names, names[::-1], sorted(names)):
-        results.append([r[0] for r in texts.select(quality_rules.cascade(F.col("text"), quality_rules.RULES, order)).collect()])
+        results.append([r[0] for r in texts.select(quality_rules.cascade(quality_rules.Text(F.col("text"), quality_rules.count_words(F.col("text")), F.length("text")), quality_rules.RULES, order)).collect()])
     assert results[0] == results[1] == results[2] == [False] * len(JUNK) + [True] * len(CLEAN)
 
 
@@ -350,7 +353,7 @@ def test_inference_against_plain_em():
 
         def em(chosen, own=own):
             share = np.where(chosen, 1 / chosen.sum(), 0)
-            for _ in range(language_id.ITERATIONS):
+            for _ in range(1000):
                 r = np.exp(own) * share
                 share = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
             return share, np.log((np.exp(own) * share).sum(axis=1)).sum()
@@ -359,14 +362,37 @@ def test_inference_against_plain_em():
         chosen[own.sum(axis=0).argmax()] = True
         share, fit = em(chosen)
         full, penalty = em(np.ones(3, bool))[0], 0.5 * np.log(counts[d]) + language_id.PENALTY * counts[d]
-        while not chosen.all():
+        refused = np.zeros(3, bool)
+        while not (chosen | refused).all():
             trial = chosen.copy()
-            trial[np.where(chosen, -1, full).argmax()] = True
+            new = np.where(chosen | refused, -1, full).argmax()
+            trial[new] = True
             s, f = em(trial)
             if f - fit <= penalty or s[trial].min() < language_id.LEAST_SHARE:
-                break
-            chosen, share, fit = trial, s, f
-        assert got[d] == pytest.approx(share, abs=1e-3)
+                refused[new] = True
+            else:
+                chosen, share, fit, refused = trial, s, f, np.zeros(3, bool)
+        assert got[d] == pytest.approx(share, abs=5e-3) and ((got[d] > 0) == chosen).all()
+
+
+def test_ngram_likelihoods_against_plain_loops():
+    texts = {"a": ["banana bandana", "an"], "b": ["xyz xyzzy", "zéro"]}
+    models = language_id.Models(texts)
+
+    def grams(word):
+        raw = (" " + word + " ").encode()
+        return [raw[max(0, i - 3) : i + 1] for i in range(1, len(raw))]
+
+    total = {n: sum(len(grams(w)) for t in ts for w in t.split()) for n, ts in texts.items()}
+    raw = np.frombuffer("banana zéro q".encode(), np.uint8)
+    x, first = models.likelihoods(raw, np.array([0, len(raw)]))
+    assert first.tolist() == [0, 3]
+    for got, word in zip(x, ["banana", "zéro", "q"], strict=True):
+        for k, (n, ts) in enumerate(texts.items()):
+            counts = Counter(g for t in ts for w in t.split() for g in grams(w))
+            smooth = language_id._SMOOTH
+            want = sum(np.log((counts[g] + smooth) / (total[n] + smooth * (1 << language_id._BITS))) for g in grams(word))
+            assert got[k] == pytest.approx(want, rel=1e-4)
 
 
 # classifier

@@ -354,17 +354,51 @@ def test_passes_code_every_byte(rows):
 # pipeline
 
 
-def test_pipeline_by_stages(spark, tmp_path):
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages by plain loops; labels of a part of the documents drop junk and toxic ones everywhere."""
     rng = random.Random(12)
     passage = prose(rng, 30)
-    docs = [(i, prose(rng, 60), "en", f"s{i % 3}", 0) for i in range(60)]
-    docs += [(60 + i, docs[i][1] + " end", "en", "s0", 0) for i in range(10)] + [(80, f"{prose(rng, 30)} {passage} {prose(rng, 30)}", "en", "s1", 0), (81, None, "en", "s1", 0), (82, "", None, None, 0)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(i, prose(rng, rng.randint(40, 400))) for i in range(90)]
+    docs += [(100 + i, docs[i][1] + " end") for i in range(10)] + [(130 + i, docs[i][1]) for i in range(5)]
+    docs += [(150, f"{prose(rng, 30)} {passage} {prose(rng, 30)}"), (151, None), (152, ""), (153, prose(rng, 20_000)), (3, docs[3][1])]
+    junk = {200 + i for i in range(40)}
+    toxic = {300 + i for i in range(40)}
+    docs += [(i, prose(rng, 60).upper() + " BUY!! NOW!! $$$ $$$ $$$ ") for i in sorted(junk)] + [(i, f"{prose(rng, 30)} vileword {prose(rng, 20)} nastyword vileword {prose(rng, 20)}") for i in sorted(toxic)]
+    made = [(i, t, "en", f"s{i % 3}" if i != 152 else None, len(t or ""), 1, 2, 3) for i, t in docs]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, shard int, gone int, digest int").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = [(i, 1, 0) for i in range(60)] + [(i, 0, 0) for i in sorted(junk)[:25]] + [(i, 1, 1) for i in sorted(toxic)[:25]] + [(None, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # quality: what isn't labelled goes as its like
+    kept = [(i, t) for i, t in docs if i not in junk | toxic]
+    # near copies
+    texts = dict(kept)
+    group = expected(sorted(texts.items()))
+    kept = [(i, t) for i, t in kept if group[i][0] == i]
+    # benchmark
+    bad = set(windows(passage))
+    kept = [(i, t) for i, t in kept if not bad & set(windows(t))]
+    assert {150, 100, 130}.isdisjoint(i for i, _ in kept) and len(kept) > 90
+    # mixture
+    sized = {}
+    for i, t in kept:
+        sized[i] = (f"s{i % 3}" if i != 152 else "", sized.get(i, ("", 0))[1] + len((t or "").split()))
+    times = Counter()
+    for _, b, _, pieces in by_slots(sized, None, 2048).values():
+        for i, first, _ in pieces:
+            digest = lambda j: hashlib.md5(str(j).encode()).hexdigest()
+            at = sum(n for j, (s, n) in sized.items() if s == sized[i][0] and digest(j) < digest(i))
+            times[i] += at >= b * 2048
+    table = sharding.lookup_table(sharding.shard_names(corpus_pipeline.SHARDS))
+    shard = lambda i: int(table[int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE])
+    want = Counter((i, t, shard(i)) for i, t in kept for _ in range(times[i]))
     got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard"]
-    found = got.collect()
-    # copies and the contaminated document are gone; sources under their target come again, in the same shard
-    assert {r.doc_id for r in found} == set(range(60)) | {81, 82}
-    assert len({(r.doc_id, r.shard) for r in found}) == 62 and [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "gone", "digest", "shard"]
+    assert Counter((r.doc_id, r.text, r.shard) for r in got.collect()) == want and sum(want.values()) > len(kept)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "mixing sources", "sharding"]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -2,22 +2,25 @@
 
 A segment is a span of tokens with a type, or a single token outside of all entities. Features look
 at a whole span at once (its shape, groups of digits, check digits, the characters and the words
-beside it), and weights by type make its score; a text's segmentation has the sum of its segments'
-scores. The best one is found by dynamic programming over token positions, with entities of at most
-``MAX_TOKENS`` tokens. The weights maximise the conditional likelihood of generated sentences, whose
-normaliser and expectations come from the forward and backward sums of the same recursion.
+beside it), and weights by type make its score; a transition weight from the type of the entity
+before (or none) is added. A text's segmentation has the sum of its segments' scores; tokens outside
+score 0, the level that all others are measured from. The best one is found by dynamic programming
+over token positions and the last entity's type, with entities of at most ``MAX_TOKENS`` tokens and
+48 characters (254 with an @), so that boundaries and types are chosen together. The weights
+maximise the conditional likelihood of generated sentences, whose normaliser and expectations come
+from the forward and backward sums of the same recursion.
 
 An entity must hold an @ or four digits, its first word must hold a digit or an @, and so must each
 further word unless it is a group of up to four capitals (a bank code in an IBAN). White space
 between words is of any length and may hold line breaks. So all other words are outside, and the
-recursion over a text falls apart into windows: the runs of such words. This loses nothing, since
-scores add up and tokens outside score 0.
+recursion over a text falls apart into windows: the runs of such words; a window's first entity has
+none before it. A window's spans are scored ``CHUNK`` at a time, so a text of numbers alone takes
+memory for its scores, not its features.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 import random
 import re
 from collections.abc import Iterator
@@ -32,6 +35,8 @@ from .kernel import IS_SPACE, slices
 KINDS = ("EMAIL", "PHONE", "CARD", "IP", "SSN", "IBAN")
 #: Tokens are runs of letters and digits, runs of white space, and single other characters.
 MAX_TOKENS = 28
+#: Spans whose features are held at once.
+CHUNK = 4096
 #: Bytes before a window in which words may hint at a type.
 _CUE_BYTES = 40
 _TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
@@ -213,29 +218,38 @@ def _windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return doc[first], start[first], np.array(reach, np.int64)
 
 
-def best(n: int, found: list[tuple[int, int, int, int]], scores: np.ndarray) -> list[tuple[int, int]]:
-    """(span, kind) of the segmentation with the largest score; of equal ones that with fewer entities."""
+def best(n: int, found: list[tuple[int, int, int, int]], scores: np.ndarray, turns: np.ndarray) -> list[tuple[int, int]]:
+    """(span, kind) of the segmentation with the largest score; of equal ones that with fewer entities.
+
+    ``turns``: the weight of each kind (column) after no entity (row 0) or one of each kind.
+    """
     if not found:
         return []
-    kind = scores.argmax(axis=1)
-    top = scores[np.arange(len(found)), kind].tolist()
     by_end: dict[int, list[int]] = {}
     for r, (_, j, _, _) in enumerate(found):
         by_end.setdefault(j, []).append(r)
-    value, came = [0.0] * (n + 1), [-1] * (n + 1)
+    kinds = len(KINDS)
+    value = np.full((n + 1, kinds + 1), -np.inf)
+    came: list[dict[int, tuple[int, int]]] = [{} for _ in range(n + 1)]  # by last kind: (span, the kind before)
+    value[0, 0] = 0
     for j in range(1, n + 1):
         value[j] = value[j - 1]
         for r in by_end.get(j, ()):
-            v = value[found[r][0]] + top[r]
-            if v > value[j]:
-                value[j], came[j] = v, r
-    out, j = [], n
-    while j:
-        if came[j] < 0:
-            j -= 1
+            ways = value[found[r][0], :, None] + turns
+            before = ways.argmax(axis=0)
+            total = ways[before, np.arange(kinds)] + scores[r]
+            for k in np.flatnonzero(total > value[j, 1:]).tolist():
+                value[j, k + 1] = total[k]
+                came[j][k + 1] = (r, int(before[k]))
+    # of equal totals the state without an entity is the first
+    out, j, state = [], n, int(value[n].argmax())
+    while j and state:
+        if state in came[j]:
+            r, before = came[j][state]
+            out.append((r, state - 1))
+            j, state = found[r][0], before
         else:
-            out.append((came[j], int(kind[came[j]])))
-            j = found[came[j]][0]
+            j -= 1
     return out[::-1]
 
 
@@ -315,18 +329,18 @@ def _generated(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
 
 
 class Model:
-    """Weights by feature and kind."""
+    """Weights by feature and kind, and by the kind before and kind."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, weights: np.ndarray, turns: np.ndarray):
+        self.weights, self.turns = weights, turns
 
     def find(self, window: str, before: str = "", after: str = "") -> list[tuple[int, int, str, float]]:
         """(start, end, kind, score) of the entities in the best segmentation."""
         n, found = spans(window)
         if not found:
             return []
-        scores = _matrix(window, before, after, found) @ self.weights
-        return [(found[r][2], found[r][3], KINDS[k], float(scores[r, k])) for r, k in best(n, found, scores)]
+        scores = np.concatenate([_matrix(window, before, after, found[i : i + CHUNK]) @ self.weights for i in range(0, len(found), CHUNK)])
+        return [(found[r][2], found[r][3], KINDS[k], float(scores[r, k])) for r, k in best(n, found, scores, self.turns)]
 
     def find_all(self, column: pa.Array) -> Iterator[tuple[int, int, int, str, float]]:
         """(row, start, end, kind, score), in characters of each text."""
@@ -345,8 +359,8 @@ class Model:
 def train(sentences: int = 600, steps: int = 80, seed: int = 11, ridge: float = 0.002) -> Model:
     """Maximises the conditional log-likelihood of generated sentences; the same numbers give the same model."""
     rng = random.Random(seed)
-    blocks, gold, items = [], [], []  # by window: (first span, number of tokens, spans)
-    total = 0
+    blocks, gold, items = [], [], []  # by window: features, kinds, (number of tokens, spans)
+    turned = np.zeros((len(KINDS) + 1, len(KINDS)))
     for _ in range(sentences):
         text, entities = _generated(rng)
         raw = text.encode()
@@ -356,53 +370,73 @@ def train(sentences: int = 600, steps: int = 80, seed: int = 11, ridge: float =
                 continue
             blocks.append(_matrix(text[s:e], text[max(0, s - _CUE_BYTES) : s], text[e : e + 2], found))
             want = np.zeros((len(found), len(KINDS)), np.float32)
+            last = 0
             for start, end, kind in entities:
                 for r, (_, _, a, b) in enumerate(found):
                     if (a + s, b + s) == (start, end):
                         want[r, KINDS.index(kind)] = 1
+                        turned[last, KINDS.index(kind)] += 1
+                        last = KINDS.index(kind) + 1
             gold.append(want)
-            items.append((total, n, [(i, j) for i, j, _, _ in found]))
-            total += len(found)
+            items.append((n, [(i, j) for i, j, _, _ in found]))
     x, y = np.concatenate(blocks), np.concatenate(gold)
-    w = np.zeros((len(FEATURES), len(KINDS)))
+    lattice = Lattice(items)
+    # both kinds of weights in one array: features, then the kind before
+    w = np.zeros((len(FEATURES) + len(KINDS) + 1, len(KINDS)))
     first, second = np.zeros_like(w), np.zeros_like(w)
-    target = x.T @ y
+    target = np.concatenate([x.T @ y, turned])
     for step in range(1, steps + 1):
-        scores = x @ w
-        top = scores.max(axis=1, keepdims=True)
-        lse = (top + np.log(np.exp(scores - top).sum(axis=1, keepdims=True)))[:, 0]
-        share = marginals(items, lse)[:, None] * np.exp(scores - lse[:, None])
-        slope = (target - x.T @ share) / len(items) - ridge * w
+        share, turns = lattice.marginals(x @ w[: len(FEATURES)], w[len(FEATURES) :])
+        slope = (target - np.concatenate([x.T @ share, turns])) / len(items) - ridge * w
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope * slope
         w += 0.25 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-    return Model(w.astype(np.float32))
-
-
-def marginals(items: list[tuple[int, int, list[tuple[int, int]]]], lse: np.ndarray) -> np.ndarray:
-    """The probability of each span to be an entity, of any kind, from forward and backward sums."""
-    out, values = np.zeros(len(lse)), lse.tolist()
-    for base, n, found in items:
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        begins: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for r, (i, j) in enumerate(found):
-            ends[j].append((i, r))
-            begins[i].append((j, r))
-        alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            alpha[j] = _log_sum([alpha[j - 1], *[alpha[i] + values[base + r] for i, r in ends[j]]])
-        for i in range(n - 1, -1, -1):
-            beta[i] = _log_sum([beta[i + 1], *[beta[j] + values[base + r] for j, r in begins[i]]])
-        for r, (i, j) in enumerate(found):
-            out[base + r] = math.exp(min(0.0, alpha[i] + values[base + r] + beta[j] - alpha[n]))
-    return out
-
-
-def _log_sum(x: list[float]) -> float:
-    if len(x) == 1:
-        return x[0]
-    top = max(x)
-    return top + math.log(sum(math.exp(v - top) for v in x))
+    return Model(w[: len(FEATURES)].astype(np.float32), w[len(FEATURES) :].astype(np.float32))
+
+
+class Lattice:
+    """The segmentations of many windows, whose forward and backward sums go on together, position by position."""
+
+    def __init__(self, items: list[tuple[int, list[tuple[int, int]]]]):
+        """items: (number of tokens, spans (first token, end token)) of each window."""
+        self.n = np.array([n for n, _ in items])
+        self.window = np.repeat(np.arange(len(items)), [len(found) for _, found in items])
+        ends = np.array([x for _, found in items for x in found], np.int64).reshape(-1, 2)
+        self.i, self.j = ends[:, 0], ends[:, 1]
+        most = int(self.n.max(initial=0))
+        self.starting = [np.flatnonzero(self.i == t) for t in range(most + 1)]
+        self.ending = [np.flatnonzero(self.j == t) for t in range(most + 1)]
+
+    def marginals(self, scores: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the probability of each span to be an entity of each kind, the expected number of each turn)."""
+        kinds, most = scores.shape[1], len(self.starting) - 1
+        alpha = np.full((len(self.n), most + 1, kinds + 1), -np.inf)
+        alpha[:, 0, 0] = 0
+        for t in range(1, most + 1):
+            alpha[:, t] = alpha[:, t - 1]
+            r = self.ending[t]
+            if len(r):
+                ways = _log_sum(alpha[self.window[r], self.i[r], :, None] + turns, 1) + scores[r]
+                np.logaddexp.at(alpha, (self.window[r, None], t, np.arange(1, kinds + 1)), ways)
+        beta = np.zeros((len(self.n), most + 1, kinds + 1))
+        for t in range(most - 1, -1, -1):
+            inside = self.n > t
+            beta[inside, t] = beta[inside, t + 1]
+            r = self.starting[t]
+            if len(r):
+                ways = _log_sum(turns + (scores[r] + beta[self.window[r], self.j[r], 1:])[:, None, :], 2)
+                np.logaddexp.at(beta, (self.window[r, None], t, np.arange(kinds + 1)), ways)
+        whole = _log_sum(alpha[np.arange(len(self.n)), self.n], 1)
+        each = alpha[self.window, self.i, :, None] + turns + (scores + beta[self.window, self.j, 1:])[:, None, :] - whole[self.window, None, None]
+        each = np.exp(np.minimum(each, 0))
+        return each.sum(axis=1), each.sum(axis=0)
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
@@ -410,8 +444,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     One pass without a shuffle. Each row is searched by itself, so rows that repeat give their
     entities again, and null ids are kept. Null and empty texts have none; long ones are searched
-    whole. Of segmentations with equal scores the one with fewer entities is taken. Other columns,
-    whatever their names, are not read. An empty table gives no rows.
+    whole, in time that grows with their numbers. ``score`` is the span's own, without its turn. Of
+    equal totals those without a further entity are taken. Other columns, whatever their names, are
+    not read. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -268,35 +268,84 @@ def test_held_out_sentences(crf):
 
 def test_best_segmentation_against_all():
     rng = np.random.default_rng(3)
-    for n in range(1, 7):
-        found = [(i, j, i, j) for i in range(n) for j in range(i + 1, min(i + 4, n) + 1)]
-        scores = rng.normal(size=(len(found), len(pii.KINDS)))
-
-        def every(at, n=n, found=found, scores=scores):
-            if at == n:
-                return [0.0]
-            out = every(at + 1)
-            for r, (i, j, _, _) in enumerate(found):
-                if i == at:
-                    out = out + [scores[r].max() + v for v in every(j)]
-            return out
-
-        assert sum(scores[r, k] for r, k in pii.best(n, found, scores)) == pytest.approx(max(every(0)))
-        total = np.log(np.exp(scores).sum(axis=1))
-        item = [(0, n, [(i, j) for i, j, _, _ in found])]
-
-        def weigh(at, used, n=n, found=found, total=total):
+    kinds = len(pii.KINDS)
+    items, every, all_scores = [], [], []
+    turns = rng.normal(size=(kinds + 1, kinds))
+    for n in range(1, 6):
+        found = [(i, j, i, j) for i in range(n) for j in range(i + 1, min(i + 3, n) + 1)]
+        scores = rng.normal(size=(len(found), kinds))
+
+        def ways(at, last, n=n, found=found, scores=scores):
+            """(total, ((span, kind before, kind), ...)) of all segmentations."""
             if at == n:
-                return [(0.0, used)]
-            out = weigh(at + 1, used)
+                return [(0.0, ())]
+            out = ways(at + 1, last)
             for r, (i, j, _, _) in enumerate(found):
                 if i == at:
-                    out = out + [(total[r] + v, u) for v, u in weigh(j, (*used, r))]
+                    for k in range(kinds):
+                        out = out + [(scores[r, k] + turns[last, k] + v, ((r, last, k), *u)) for v, u in ways(j, k + 1)]
             return out
 
-        ways = weigh(0, ())
-        norm = sum(np.exp(v) for v, _ in ways)
-        assert pii.marginals(item, total) == pytest.approx([sum(np.exp(v) for v, u in ways if r in u) / norm for r in range(len(found))])
+        made = ways(0, 0)
+        got = pii.best(n, found, scores, turns)
+        total, last = 0.0, 0
+        for r, k in got:
+            total, last = total + scores[r, k] + turns[last, k], k + 1
+        assert total == pytest.approx(max(v for v, _ in made))
+        assert [(r, k) for r, _, k in max(made)[1]] == got
+        items.append((n, [(i, j) for i, j, _, _ in found]))
+        every.append(made)
+        all_scores.append(scores)
+    share, turned = pii.Lattice(items).marginals(np.concatenate(all_scores), turns)
+    want, want_turned, base = np.zeros_like(share), np.zeros_like(turned), 0
+    for made, scores in zip(every, all_scores, strict=True):
+        norm = sum(np.exp(v) for v, _ in made)
+        for v, used in made:
+            for r, last, k in used:
+                want[base + r, k] += np.exp(v) / norm
+                want_turned[last, k] += np.exp(v) / norm
+        base += len(scores)
+    assert share == pytest.approx(want) and turned == pytest.approx(want_turned)
+    assert pii.best(3, [(0, 1, 0, 1)], np.zeros((1, kinds)), np.zeros((kinds + 1, kinds))) == []
+
+
+def test_found_against_all_segmentations(crf):
+    """Whole windows of sentences: the entities found have the largest total of all ways to cut the window."""
+    rng, compared = random.Random(77), 0
+    for _ in range(60):
+        text, _ = pii._generated(rng)
+        raw = text.encode()
+        for _, s, e in zip(*(x.tolist() for x in pii._windows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))), strict=True):
+            n, found = pii.spans(text[s:e])
+            if not 0 < len(found) < 12:
+                continue
+            scores = pii._matrix(text[s:e], text[max(0, s - 40) : s], text[e : e + 2], found) @ crf.weights
+
+            def top(at, last, n=n, found=found, scores=scores):
+                if at >= n:
+                    return 0.0
+                ways = [top(at + 1, last)]
+                for r, (i, j, _, _) in enumerate(found):
+                    if i == at:
+                        ways += [scores[r, k] + crf.turns[last, k] + top(j, k + 1) for k in range(len(pii.KINDS))]
+                return max(ways)
+
+            total, last = 0.0, 0
+            for a, b, kind, score in crf.find(text[s:e], text[max(0, s - 40) : s], text[e : e + 2]):
+                k = pii.KINDS.index(kind)
+                total, last = total + score + crf.turns[last, k], k + 1
+            if len(found) < 7:
+                assert total == pytest.approx(top(0, 0), abs=1e-3)
+                compared += 1
+    assert compared > 15
+
+
+def test_numeric_text_is_scored_in_chunks(crf, monkeypatch):
+    text = " ".join(str(1000 + i) for i in range(300)) + " call 274-555-9629 now"
+    whole = crf.find(text)
+    monkeypatch.setattr(pii, "CHUNK", 50)
+    assert [x[:3] for x in crf.find(text)] == [x[:3] for x in whole]
+    assert [(text[s:e], k) for _, s, e, k, _ in crf.find_all(pa.array([text])) if k == "PHONE"] == [("274-555-9629", "PHONE")]
 
 
 def test_personal_data_in_tables(rows):

@@ -4,10 +4,21 @@
 terms; ``Manager`` and the storage providers keep indexes by name.
 """
 
-from .functions.analysis import Pipeline, Runner, default_runners
-from .operators.docstore import DocumentStore
-from .operators.index import Index
-from .sources.manager import Manager
-from .sources.storage import BlackholeProvider, DiskProvider, StorageProvider
+import importlib
 
-__all__ = ["BlackholeProvider", "DiskProvider", "DocumentStore", "Index", "Manager", "Pipeline", "Runner", "StorageProvider", "default_runners"]
+_FROM = {
+    "functions.analysis": ("Pipeline", "Runner", "default_runners"),
+    "operators.docstore": ("DocumentStore",),
+    "operators.index": ("Index",),
+    "sources.manager": ("Manager",),
+    "sources.storage": ("BlackholeProvider", "DiskProvider", "StorageProvider"),
+}
+__all__ = sorted(name for names in _FROM.values() for name in names)
+
+
+def __getattr__(name: str):
+    """Loads a module when one of its names is asked for, so that workers load only what their tasks need."""
+    for module, names in _FROM.items():
+        if name in names:
+            return getattr(importlib.import_module(f".{module}", __name__), name)
+    raise AttributeError(f"module {__name__!r} has no attribute {name!r}")

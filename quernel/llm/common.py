@@ -6,11 +6,14 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of narrow tables (ids and counts) up to which one side of a join is broadcast.
 BROADCAST_ROWS = 1_000_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_written: list[str] = []
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -18,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """The session with Arrow batches of few rows: texts are long, and a batch is held by the JVM and by Python at once. Results don't depend on it."""
+    if int(spark.conf.get(_BATCH)) > rows:
+        spark.conf.set(_BATCH, str(rows))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode, where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,16 +54,31 @@ def materialize(df: DataFrame) -> DataFrame:
             spark.conf.unset(_CLEAN_UP)
         else:
             spark.conf.set(_CLEAN_UP, before)
-    atexit.register(_delete, spark, path)
+    if not _written:
+        atexit.register(lambda: free(spark, 0, 0))
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables ``materialize`` has written that are still there."""
+    return len(_written)
+
+
+def free(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Deletes the tables that were written after there were ``since``, but for the last ``keep``: for a caller that has used them up."""
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for path in gone:
+        _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended; the cluster clears its own checkpoint folder
+    except (Py4JError, AttributeError, ConnectionError):  # the session has ended; the cluster clears its own checkpoint folder
         pass
 
 

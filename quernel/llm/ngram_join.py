@@ -9,7 +9,8 @@ collisions of 48 hash bits within one of P hash ranges.
    more distinct sets are found and numbered by rarity. An n-gram of one set can't add to any
    overlap, so a set keeps only the shared ones, by number, and a set with fewer than
    ``threshold * size`` of them has no partner and is dropped. There are as many ranges as the
-   bytes of text ask for, so a task's memory doesn't grow with the table.
+   bytes of text ask for, so a task's memory doesn't grow with the table (beyond 3 TB, where
+   there are ``MOST_RANGES``, it grows by 20 bytes an n-gram of a range).
 2. The numbers order n-grams over the whole corpus, rarest first. Two sets that match share an
    n-gram in their prefixes, so the connected components over prefix n-grams (and sizes that can
    match) hold every match.
@@ -36,9 +37,15 @@ from pyspark.sql import functions as F
 from .common import fresh_name, materialize, small
 from .kernel import mix, ngram_hashes, slices, span_hashes, words
 
-#: Bytes of text a hash range, and the least number of ranges.
-RANGE_BYTES = 16 << 20
+#: Bytes of text a hash range (a task holds some four times as many), and the least and largest number of ranges.
+RANGE_BYTES = 48 << 20
 LEAST_RANGES = 32
+MOST_RANGES = 1 << 16
+#: N-grams that a task gathers for a range before it sends them on, and for all ranges.
+_A_BLOB = 512
+_MOST_HELD = 1 << 23
+#: Parts of a range that are sorted one after the other.
+_PARTS = 16
 #: Sets in a block of a component; components up to this size are searched as a whole.
 BLOCK_SETS = 384
 #: Edges up to which components are found on the driver (16 bytes each).
@@ -60,6 +67,8 @@ def _pack(ranges: int, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        pending = 0
         for batch in batches:
             ids = batch.column(0)
             for a, b, raw, offsets in slices(lower(batch.column(1))):
@@ -83,17 +92,23 @@ def _pack(ranges: int, n: int):
                     continue
                 home = (fps[fresh] % np.uint64(ranges)).astype(np.int32)
                 yield _packed(home, None, fps[fresh].view(np.int64), sizes[fresh], None)
-                record = np.repeat(np.arange(b - a), sizes)
-                use = fresh[record]
-                tokens, record = tokens[use], record[use]
-                part = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                order = np.argsort(part.astype(np.uint16) if ranges < 65536 else part, kind="stable")
-                tokens, record, part = tokens[order], record[order], part[order]
-                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                blobs = []
-                for s, e in zip(cuts, [*cuts[1:], len(part)], strict=True):
-                    blobs.append(_blob(fps[record[s:e]], tokens[s:e], 6))
-                yield _packed(part[cuts].astype(np.int32), None, None, None, pa.array(blobs, pa.binary()))
+                use = np.repeat(fresh, sizes)
+                held.append((tokens[use], np.repeat(fps, sizes)[use]))
+                pending += len(held[-1][0])
+                if pending >= min(_A_BLOB * ranges, _MOST_HELD):
+                    yield blobs(held)
+                    held, pending = [], 0
+        if held:
+            yield blobs(held)
+
+    def blobs(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        tokens, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        order = np.argsort(part.astype(np.uint16), kind="stable")
+        tokens, fp, part = tokens[order], fp[order], part[order]
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        made = [_blob(fp[s:e], tokens[s:e], 6) for s, e in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+        return _packed(part[cuts].astype(np.int32), None, None, None, pa.array(made, pa.binary()))
 
     return run
 
@@ -148,19 +163,36 @@ def _shared(ranges: int):
 
 def _of_range(p: int, pieces: list[tuple[np.ndarray, ...]], ranges: int) -> Iterator[pa.RecordBatch]:
     fps, counts, token = (np.concatenate([x[k] for x in pieces]) for k in range(3))
+    del pieces
+    owner = np.repeat(np.arange(len(fps), dtype=np.int32 if len(fps) < 1 << 31 else np.int64), counts)
+    part = (token >> np.uint64(44)).astype(np.uint8)
+    found = [x for k in range(_PARTS) if (x := _of_part(fps, owner[at := np.flatnonzero(part == k)], token[at], k)) is not None]
+    if not found:
+        return
+    del owner, token, part
+    f, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    home = f % np.uint64(ranges)
+    order = np.lexsort((value, f, home))
+    f, value, home = f[order], value[order], home[order]
+    cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
+    width = (int(value.max()).bit_length() + 7) // 8 or 1
+    blobs = [_blob(f[s:e], value[s:e], width, tag=p) for s, e in zip(cuts, [*cuts[1:], len(home)], strict=True)]
+    yield _packed(home[cuts].astype(np.int32), None, None, None, pa.array(blobs, pa.binary()))
+
+
+def _of_part(fps: np.ndarray, owner: np.ndarray, token: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(fingerprint, number) of the n-grams that two sets or more hold; numbers rise with the sets that hold them."""
     ordered = np.sort(token)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    del ordered, pieces
+    del ordered
     if len(twice) == 0:
-        return
+        return None
     slot = np.minimum(np.searchsorted(twice, token), len(twice) - 1)
     hit = np.flatnonzero(twice[slot] == token)
-    owner = np.repeat(np.arange(len(fps)), counts)[hit]
-    slot = slot[hit].astype(np.int64)
-    del token, hit
-    # one entry for each n-gram and distinct set, sets in the order of their homes
-    order = np.lexsort((slot, fps[owner], fps[owner] % np.uint64(ranges)))
-    slot, f = slot[order], fps[owner[order]]
+    f, slot = fps[owner[hit]], slot[hit].astype(np.int64)
+    # one entry for each n-gram and distinct set
+    order = np.lexsort((slot, f))
+    slot, f = slot[order], f[order]
     new = np.ones(len(f), bool)
     new[1:] = (f[1:] != f[:-1]) | (slot[1:] != slot[:-1])
     slot, f = slot[new], f[new]
@@ -168,14 +200,10 @@ def _of_range(p: int, pieces: list[tuple[np.ndarray, ...]], ranges: int) -> Iter
     two = df[slot] >= 2
     slot, f = slot[two], f[two]
     if len(slot) == 0:
-        return
+        return None
     rank = np.empty(len(twice), np.int64)
     rank[np.argsort(df, kind="stable")] = np.arange(len(twice))
-    home = f % np.uint64(ranges)
-    cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
-    width = 3 if len(twice) < 1 << 24 else 4
-    blobs = [_blob(f[s:e], rank[slot[s:e]], width, tag=p) for s, e in zip(cuts, [*cuts[1:], len(home)], strict=True)]
-    yield _packed(home[cuts].astype(np.int32), None, None, None, pa.array(blobs, pa.binary()))
+    return f, rank[slot] * _PARTS + k
 
 
 def _assemble(threshold: float):
@@ -200,7 +228,7 @@ def _assemble(threshold: float):
                 owners, held, ranks, _, p = _unblob(blob)
                 fps.append(owners)
                 counts.append(held)
-                keys.append(ranks << np.uint64(20) | np.uint64(p))
+                keys.append(ranks << np.uint64(16) | np.uint64(p))
             fp, count, key = np.concatenate(fps), np.concatenate(counts), np.concatenate(keys)
             every, at = np.unique(fp, return_inverse=True)
             held = np.bincount(at, count)
@@ -438,7 +466,7 @@ class _Join:
         self.threshold = threshold
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.ranges = ranges = max(LEAST_RANGES, -(-size // RANGE_BYTES))
+        self.ranges = ranges = min(max(LEAST_RANGES, -(-size // RANGE_BYTES)), MOST_RANGES)
         kind = "part int, doc_id long, fp long, size long, blob binary"
         packed = rows.mapInArrow(_pack(ranges, n), kind)
         table = materialize(packed.repartitionById(ranges, F.col("part")).mapInArrow(_shared(ranges), kind))

@@ -34,7 +34,7 @@ OFTEN = 3
 LABELS = ("quality", "toxic")
 _CAPS = np.uint64(0xC0FFEE)
 _STEMS = (4, 5, 6)
-_ROWS = 512
+_ROWS = 256
 _PARTS = 32
 _KIND = np.where(IS_SPACE, 0, np.where(IS_WORD, 1, 2)).astype(np.uint8)
 _UPPER = np.zeros(256, bool)

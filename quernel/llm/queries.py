@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small_batches, table
 from .decontaminate import contaminated
 from .language_id import identify
 from .ngram_join import jaccard_join
@@ -21,44 +21,48 @@ from .source_mix import MODULUS, STEP, source_schedule
 SHARDS = 64
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(small_batches(spark), sf_dir, "documents")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"))
+    return scan_secrets(_documents(spark, sf_dir))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(_documents(spark, sf_dir))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(_documents(spark, sf_dir))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_schedule(table(spark, sf_dir, "documents"))
+    return source_schedule(_documents(spark, sf_dir))
 
 
 def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"), SHARDS)
+    return shard(_documents(spark, sf_dir), SHARDS)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(table(spark, sf_dir, "documents"))
+    return find_pii(_documents(spark, sf_dir))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_lengths(table(spark, sf_dir, "documents"))
+    return code_lengths(_documents(spark, sf_dir))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm.common import materialize, table
+from quernel.llm.common import free, materialize, small_batches, table, written
 from quernel.llm.decontaminate import decontaminate
 from quernel.llm.ngram_join import deduplicate
 from quernel.llm.quality_knn import keep_good
@@ -16,7 +16,7 @@ SHARDS = 64
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose labelled neighbours vote for low quality or for toxic."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
+    return keep_good(docs, table(small_batches(spark), sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +46,19 @@ STAGES = [
     ("mixing sources", mixture),
     ("sharding", sharding),
 ]
-#: The classifier's latent space and the prefix-tree join's groups of groups can't be written in SQL; tests hold run() against brute force.
+#: The classifier's latent space can't be written in SQL; a test holds run() against plain loops over all stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``.
+
+    Nulls, empty texts, repeated rows and other columns are treated as each stage's operator says; a
+    column called ``shard`` is replaced. Empty tables give no rows.
+    """
     docs = table(spark, sf_dir, "documents")
+    before = written()
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        free(spark, before)  # what the stage used, and its input, now that its result stands
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -188,3 +188,26 @@ def test_stems_in_a_search(spark):
     assert {r.term for r in index.field("text").distinct_terms().collect()} == {"consign", "world", "noth"}
     row = index.search("consigning").first()
     assert [tuple(p) for p in row.positions["text"]] == [(4, 9)]
+
+
+def test_clauses_share_their_scans(spark, tmp_path):
+    """However many clauses a query has, postings are read once for the terms and once for the norms, ids once or twice."""
+    spark.createDataFrame([(1, "red fox", "en"), (2, "blue fox", "de"), (3, "red dog", "en")], "id long, text string, lang string").write.parquet(str(tmp_path / "docs"))
+    index = Index.new().add_field("text").add_field("lang").add_documents(spark.read.parquet(str(tmp_path / "docs")))
+    query = {"bool": {"must": {"match": {"text": "fox"}}, "must_not": {"terms": {"lang": "fr"}}, "filter": {"terms": {"lang": ["en", "de"]}}, "should": [{"match": {"text": "red"}}, {"match": {"text": "blue"}}, {"not": {"match": {"text": "dog"}}}]}}
+    found = index.search({"query": query})
+    scans = found._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans <= 4
+    assert {r.ref: r.matched for r in found.collect()} == {1: 2, 2: 2}
+    both = {"bool": {"must_not": query, "should": [{"match_all": {"boost": 2}}]}}
+    assert {r.ref: (round(r.score, 6), r.matched) for r in index.search({"query": both}).collect()} == {3: (3.0, 1)}
+
+
+def test_flags_of_patterns(spark):
+    import re
+
+    index = Index.new().add_field("text").add_documents(spark.createDataFrame([(1, "red\nRED été"), (2, "ered")], "id long, text string"))
+    found = lambda p: sorted((r.doc_id, r.term) for r in index.terms("text", [p]).collect())
+    assert found(re.compile("^RE D$", re.I | re.X)) == [(1, "red")] and found(re.compile(r"^\w+é$")) == [(1, "été")] and found(re.compile(r"^\w+é$", re.A)) == []
+    with pytest.raises(ValueError):
+        index.terms("text", [re.compile("red", re.DEBUG)])

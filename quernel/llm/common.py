@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 
 from py4j.protocol import Py4JError
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of narrow tables (ids and counts) up to which one side of a join is broadcast.
 BROADCAST_ROWS = 1_000_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_written: list[str] = []
+_written: list[tuple[int, str]] = []
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -55,24 +56,28 @@ def materialize(df: DataFrame) -> DataFrame:
         else:
             spark.conf.set(_CLEAN_UP, before)
     if not _written:
-        atexit.register(lambda: free(spark, 0, 0))
-    _written.append(path)
+        atexit.register(_delete_all, spark)
+    _written.append((threading.get_ident(), path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> int:
-    """How many tables ``materialize`` has written that are still there."""
-    return len(_written)
+def written() -> set[str]:
+    """The tables that ``materialize`` has written for this thread and that are still there."""
+    return {path for thread, path in _written if thread == threading.get_ident()}
 
 
-def free(spark: SparkSession, since: int, keep: int = 1) -> None:
-    """Deletes the tables that were written after there were ``since``, but for the last ``keep``: for a caller that has used them up."""
-    gone = _written[since : len(_written) - keep]
-    del _written[since : len(_written) - keep]
-    for path in gone:
+def free(spark: SparkSession, before: set[str]) -> None:
+    """Deletes the tables that this thread has written but for those ``before`` and the last one: for a caller that has used them up."""
+    for path in [p for t, p in _written if t == threading.get_ident() and p not in before][:-1]:
+        _written.remove((threading.get_ident(), path))
         _delete(spark, path)
 
 
+def _delete_all(spark: SparkSession) -> None:
+    while _written:
+        _delete(spark, _written.pop()[1])
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -82,10 +87,6 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def small(table: DataFrame) -> DataFrame:
     """``table``, which is materialized, marked for broadcasting if it has at most ``BROADCAST_ROWS`` rows."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

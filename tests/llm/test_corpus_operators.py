@@ -402,3 +402,13 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tables_are_freed(spark):
+    before = common.written()
+    one, two = common.materialize(spark.range(3)), common.materialize(spark.range(4))
+    assert len(common.written() - before) == 2
+    common.free(spark, before)
+    assert two.count() == 4 and len(common.written() - before) == 1
+    with pytest.raises(Exception, match="(?i)not.*exist|does not exist|PATH_NOT_FOUND|FILE"):
+        one.count()

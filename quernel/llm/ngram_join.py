@@ -16,9 +16,13 @@ collisions of 48 hash bits within one of P hash ranges.
    match) hold every match.
 3. Each component is stored in a path-compressed trie, commonest n-gram first. Every set is a
    query: it walks down sharing the overlap so far among all sets below, and leaves a subtree
-   when the lengths that remain can't reach the overlap needed. A large component is cut into
-   blocks by size and fingerprint, and a task searches the trie of one block with the sets of
-   another, so that none holds more than two blocks.
+   when the lengths that remain can't reach the overlap needed.
+   A large component is cut into blocks of sets that are alike (by the least hash of their
+   n-grams). A set goes to its own block, and to another one only if it shares an n-gram of the
+   prefixes with a set there that isn't smaller and leaves enough n-grams behind for a match. So
+   chance n-grams that connect most sets of a large table don't make all blocks meet. A block
+   counts overlaps for a few hundred sets at once, by lists of its n-grams or, for common ones,
+   by a matrix product: copies that differ a little have no long paths in common in a trie.
 4. A task hands on one row a set (its number of matches and a set that it is connected to), never
    the pairs, which grow with the square of a group of copies.
 """
@@ -48,6 +52,12 @@ _MOST_HELD = 1 << 23
 _PARTS = 16
 #: Sets in a block of a component; components up to this size are searched as a whole.
 BLOCK_SETS = 384
+#: Sets of other blocks that a task compares with a block; from so many on (as a share of a block) that hold one n-gram, a block is sent as a whole.
+_GUESTS = 16_384
+_WHOLE = 8
+#: Numbers that a step of a task holds at a time, and rows and columns of its matrices.
+_AT_ONCE = 1 << 21
+_ROWS, _COLUMNS = 256, 2048
 #: Edges up to which components are found on the driver (16 bytes each).
 DRIVER_EDGES = 1_000_000
 
@@ -328,65 +338,218 @@ class Trie:
         return found
 
 
+class Block:
+    """Sets by the n-grams that they hold, to count the overlaps of many sets at once."""
+
+    def __init__(self, keys: list[np.ndarray]):
+        self.n = len(keys)
+        owner = np.repeat(np.arange(self.n), [len(k) for k in keys])
+        self.every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        self.sets, self.df = owner[order], np.bincount(at, minlength=len(self.every))
+        self.start = np.cumsum(self.df) - self.df
+
+    def _held(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``at``, set) of all sets that hold the n-grams ``at``."""
+        counts = self.df[at]
+        place = np.repeat(np.arange(len(at)), counts)
+        return place, self.sets[np.arange(len(place)) + (self.start[at] - np.cumsum(counts) + counts)[place]]
+
+    def overlaps(self, keys: list[np.ndarray]) -> np.ndarray:
+        """For each of ``keys`` the n-grams it shares with each set of the block."""
+        token = np.concatenate(keys)
+        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        at = np.minimum(np.searchsorted(self.every, token), len(self.every) - 1)
+        hit = self.every[at] == token
+        at, owner = at[hit], owner[hit]
+        out = np.zeros(len(keys) * self.n, np.int64)
+        common = (np.bincount(at, minlength=len(self.every)) * self.df > _COLUMNS // 2)[at]
+        a, o = at[~common], owner[~common]
+        up_to = np.cumsum(self.df[a])
+        s = 0
+        while s < len(a):
+            e = max(s + 1, int(np.searchsorted(up_to, (up_to[s - 1] if s else 0) + _AT_ONCE, "right")))
+            place, which = self._held(a[s:e])
+            out += np.bincount(o[s:e][place] * self.n + which, minlength=len(out))
+            s = e
+        out = out.reshape(len(keys), self.n)
+        columns, column = np.unique(at[common], return_inverse=True)
+        owner = owner[common]
+        for s in range(0, len(columns), _COLUMNS):
+            own = columns[s : s + _COLUMNS]
+            mine, theirs = np.zeros((len(keys), len(own)), np.float32), np.zeros((len(own), self.n), np.float32)
+            use = (column >= s) & (column < s + _COLUMNS)
+            mine[owner[use], column[use] - s] = 1
+            theirs[self._held(own)] = 1
+            out += (mine @ theirs).astype(np.int64)
+        return out
+
+
 def _search(threshold: float, pairs: bool):
-    """Batches sorted by cell -> the matches (fp_a, fp_b, jaccard) of each cell, or (fp, links, root): for each set with a match how many documents match it, and a set that it is connected to."""
+    """Batches sorted by cell, a block's own sets first -> the matches (fp_a, fp_b, jaccard) of each cell, or (fp, links, root): for sets with a match how many documents match it, and a set that it is connected to. A set may have several rows, whose links add up."""
+
+    def result(fps: np.ndarray, copies: np.ndarray, u: np.ndarray, v: np.ndarray, jaccards: np.ndarray) -> pa.RecordBatch:
+        if pairs:
+            x, y = fps[u], fps[v]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(jaccards)], ["fp_a", "fp_b", "jaccard"])
+        links = np.bincount(u, copies[v], len(fps)) + np.bincount(v, copies[u], len(fps))
+        nodes, label = _labels(u, v)
+        return pa.RecordBatch.from_arrays([pa.array(fps[nodes]), pa.array(links[nodes].astype(np.int64)), pa.array(fps[label])], ["fp", "links", "root"])
 
-    def cell(rows: dict[str, np.ndarray], keys: list[bytes]) -> pa.RecordBatch | None:
-        keys = [np.frombuffer(k, "<u8") for k in keys]
+    def component(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """A component that is searched as a whole."""
+        keys = [np.frombuffer(k, "<u8") for k in t.column("keys").to_pylist()]
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
         rank = len(every) - 1 - place  # the commonest first
         sets = [np.sort(x) for x in np.split(rank, np.cumsum([len(k) for k in keys])[:-1])]
-        sizes, trie = rows["size"].tolist(), Trie(np.zeros(0, np.int64))
-        fps, copies = rows["fp"].tolist(), rows["copies"]
-        # a block against itself, or the sets of the second block against the trie of the first
-        whole = rows["same"].all()
-        for i in np.flatnonzero(rows["first"]).tolist():
+        sizes, fps, trie = t.column("size").to_pylist(), t.column("fp").to_pylist(), Trie(np.zeros(0, np.int64))
+        for i in range(len(sets)):
             trie.insert(sets[i], i, sizes[i])
         held = np.zeros(len(every), np.int64)
         a, b, jaccards = [], [], []
-        for i in range(len(sets)) if whole else np.flatnonzero(~rows["first"]).tolist():
+        for i in range(len(sets)):
             held[sets[i]] = 1
             for j, overlap in trie.search(sets[i], sizes[i], held, threshold):
-                if not whole or fps[j] < fps[i]:
+                if fps[j] < fps[i]:
                     jaccard = overlap / (sizes[i] + sizes[j] - overlap)
                     if jaccard >= threshold:
                         a.append(j)
                         b.append(i)
                         jaccards.append(jaccard)
             held[sets[i]] = 0
-        if not a:
-            return None
-        u, v = np.array(a), np.array(b)
-        if pairs:
-            x, y = rows["fp"][u], rows["fp"][v]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(jaccards)], ["fp_a", "fp_b", "jaccard"])
-        links = np.bincount(u, copies[v], len(sets)) + np.bincount(v, copies[u], len(sets))
-        nodes, label = _labels(u, v)
-        return pa.RecordBatch.from_arrays([pa.array(rows["fp"][nodes]), pa.array(links[nodes].astype(np.int64)), pa.array(rows["fp"][label])], ["fp", "links", "root"])
+        if a:
+            yield result(t.column("fp").to_numpy(), t.column("copies").to_numpy(), np.array(a), np.array(b), np.array(jaccards))
+
+    def compare(own: dict[str, np.ndarray], block: Block, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Sets against the larger ones of a block (of those of one size, the ones of a greater fingerprint)."""
+        for s in range(0, len(t), _ROWS):
+            part = t.slice(s, _ROWS)
+            fp, size, copies = (part.column(c).to_numpy() for c in ("fp", "size", "copies"))
+            overlap = block.overlaps([np.frombuffer(k, "<u8") for k in part.column("keys").to_pylist()])
+            mine = size[:, None]
+            later = (own["size"] > mine) | (own["size"] == mine) & (own["fp"] > fp[:, None])
+            jaccard = overlap / (mine + own["size"] - overlap)
+            q, i = np.nonzero(later & (jaccard >= threshold))
+            if len(q):
+                yield result(np.concatenate([own["fp"], fp]), np.concatenate([own["copies"], copies]), i, q + block.n, jaccard[q, i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        of = None
-        columns = ("fp", "size", "copies", "first", "same")
+        of = block = own = None
+        kind = "whole"
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """What is held: a component, the own sets of a block, or some of its guests."""
+            nonlocal block, own
+            if not held:
+                return
+            t = pa.Table.from_batches(held)
+            held.clear()
+            if kind == "whole":
+                yield from component(t)
+                return
+            if kind == "own":
+                own = {c: t.column(c).to_numpy() for c in ("fp", "size", "copies")}
+                block = Block([np.frombuffer(k, "<u8") for k in t.column("keys").to_pylist()])
+                if t.column("turn")[0].as_py():  # these are compared with one another in the first turn
+                    return
+            yield from compare(own, block, t)
+
         for batch in batches:
-            cells = list(zip(*(batch.column(c).to_pylist() for c in ("label", "cell")), strict=True))
+            cells = list(zip(*(batch.column(c).to_pylist() for c in ("label", "turn", "guest")), strict=True))
             a = 0
             while a < len(cells):
                 b = a + 1
                 while b < len(cells) and cells[b] == cells[a]:
                     b += 1
-                if cells[a] != of and held:
-                    t = pa.Table.from_batches(held)
-                    if (out := cell({c: t.column(c).to_numpy() for c in columns}, t.column("keys").to_pylist())) is not None:
-                        yield out
-                    held = []
+                if cells[a] != of or kind == "guest" and sum(map(len, held)) >= _ROWS:
+                    yield from close()
                 of = cells[a]
+                kind = "whole" if of[1] is None else "guest" if of[2] else "own"
                 held.append(batch.slice(a, b - a))
                 a = b
-        if held:
-            t = pa.Table.from_batches(held)
-            if (out := cell({c: t.column(c).to_numpy() for c in columns}, t.column("keys").to_pylist())) is not None:
-                yield out
+        yield from close()
+
+    return run
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (fp, keys) -> (fp, alike): the least hash of a set's n-grams, which sets have in common as often as they are similar."""
+    for batch in batches:
+        keys = [int(mix(np.frombuffer(k, "<u8")).min() >> np.uint64(1)) for k in batch.column("keys").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(keys, pa.int64())], ["fp", "alike"])
+
+
+def _placed(threshold: float, ranges: int):
+    """Batches (fp, size, block, keys) -> the n-grams of the prefixes by hash range, as numbers with their sets, sizes, blocks and the n-grams of the set from there on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, packed = batch.column("size").to_numpy(), batch.column("keys").to_pylist()
+            if not packed:
+                continue
+            counts = np.array([len(k) // 8 for k in packed])
+            used = counts - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+            key = np.concatenate([np.frombuffer(k, "<u8")[:n] for k, n in zip(packed, used, strict=True)])
+            rest = np.repeat(counts + np.cumsum(used) - used, used) - np.arange(len(key))
+            part = (mix(key) % np.uint64(ranges)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            columns = [(key, "<u8"), *((np.repeat(batch.column(c).to_numpy(), used), k) for c, k in (("fp", "<i8"), ("size", "<u4"), ("block", "<i4"))), (rest, "<u4")]
+            blobs = [[v[s:e].tobytes() for s, e in zip(cuts, [*cuts[1:], len(part)], strict=True)] for v in (x[order].astype(k) for x, k in columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *(pa.array(x, pa.binary()) for x in blobs)], ["part", "key", "fp", "size", "block", "rest"])
+
+    return run
+
+
+def _guests(threshold: float, whole_from: int):
+    """What ``_placed`` gives, of whole n-grams -> (fp, from, block): sets that may match a larger one of another block, or all sets of the block ``from``, where fp is null."""
+    share = threshold / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = [b for b in batches if len(b)]
+        if not t:
+            return
+        key, fp, size, block, rest = (np.frombuffer(b"".join(x for b in t for x in b.column(c).to_pylist()), k) for c, k in (("key", "<u8"), ("fp", "<i8"), ("size", "<u4"), ("block", "<i4"), ("rest", "<u4")))
+        del t
+        order = np.lexsort((block, key))
+        key, fp, block, size, rest = key[order], fp[order], block[order], size[order].astype(np.int64), rest[order].astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
+        count = np.diff(np.append(edge, len(key)))
+        # of each n-gram and block: the block, the least and the greatest size, and the most n-grams that are left
+        of, low, high, most = block[edge], np.minimum.reduceat(size, edge), np.maximum.reduceat(size, edge), np.maximum.reduceat(rest, edge)
+        heads = np.flatnonzero(np.concatenate([[True], key[edge][1:] != key[edge][:-1]]))
+        blocks = np.diff(np.append(heads, len(edge)))
+        first, blocks = np.repeat(heads, blocks), np.repeat(blocks, blocks)
+        # what may be sent: single sets, and whole blocks by a number of their own
+        run_of = np.repeat(np.arange(len(edge)), count)
+        single = np.flatnonzero((count < whole_from)[run_of] & (blocks > 1)[run_of])
+        many = np.flatnonzero((count >= whole_from) & (blocks > 1))
+        sender = np.concatenate([run_of[single], many])
+        lo, hi, left = (np.concatenate(x) for x in ((size[single], low[many]), (size[single], high[many]), (rest[single], most[many])))
+        name = np.concatenate([fp[single], of[many].astype(np.int64)])
+        whole = np.arange(len(name)) >= len(single)
+        del key, fp, block, size, rest, order, run_of
+        up_to = np.cumsum(blocks[sender])
+        found: list[np.ndarray] = []
+        s = held = 0
+        while s < len(sender):
+            e = max(s + 1, int(np.searchsorted(up_to, (up_to[s - 1] if s else 0) + _AT_ONCE, "right")))
+            n = blocks[sender[s:e]]
+            x = np.repeat(np.arange(s, e), n)
+            y = np.arange(len(x)) + np.repeat(first[sender[s:e]] - np.cumsum(n) + n, n)
+            may = (y != sender[x]) & (lo[x] <= high[y]) & (hi[x] >= threshold * low[y] - 1e-6) & (np.minimum(left[x], most[y]) >= share * (lo[x] + np.maximum(low[y], lo[x])) - 1e-6)
+            x, y = x[may], y[may]
+            found.append(np.unique(np.rec.fromarrays([whole[x], name[x], of[y]], names="whole,name,block")))
+            held += len(found[-1])
+            s = e
+            if held >= _AT_ONCE or s == len(sender):
+                every = np.unique(np.concatenate(found))
+                for a in range(0, len(every), 10_000):
+                    p = every[a : a + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(p["name"], mask=p["whole"]), pa.array(p["name"].astype(np.int32), mask=~p["whole"]), pa.array(p["block"])], ["fp", "from", "block"])
+                found, held = [], 0
 
     return run
 
@@ -483,27 +646,42 @@ class _Join:
         prefixes = sets.mapInArrow(_prefixes(t, ranges), "part int, blob binary")
         label = components(prefixes.repartitionById(ranges, F.col("part")).mapInArrow(_forest(t), "a long, b long"))
         label = materialize(self.held.select("fp", "copies").join(label.withColumnRenamed("node", "fp"), "fp"))
-        sized = sets.select("fp", "size").join(small(label), "fp")
-        # sizes whose ratio is the threshold or more are in one band or in two that are neighbours
-        band = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / t) + 1e-9).cast("int") if t < 1 else F.lit(0)
-        bands = sized.groupBy("label", band.alias("band")).agg(F.count("*").alias("n"))
-        grid = bands.groupBy("label").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / BLOCK_SETS).cast("int")))).alias("blocks"))
-        grid = materialize(grid.where(F.col("n") > BLOCK_SETS).select("label", "blocks"))
-        rows = sets.join(small(label), "fp").join(small(grid), "label", "left").withColumn("band", band)
-        rows = rows.withColumn("own", F.struct(F.col("band").alias("b"), F.pmod("fp", F.coalesce(F.col("blocks")[F.col("band")], F.lit(1))).cast("int").alias("h")))
-        cells = F.expr("""
-            case when blocks is null then array(named_struct('first', own, 'second', own)) else concat(
-                transform(sequence(0, blocks[band] - 1), j -> named_struct('first', named_struct('b', band, 'h', least(own.h, j)), 'second', named_struct('b', band, 'h', greatest(own.h, j)))),
-                case when blocks[band + 1] is null then array() else transform(sequence(0, blocks[band + 1] - 1), j -> named_struct('first', own, 'second', named_struct('b', band + 1, 'h', j))) end,
-                case when blocks[band - 1] is null then array() else transform(sequence(0, blocks[band - 1] - 1), j -> named_struct('first', named_struct('b', band - 1, 'h', j), 'second', own)) end
-            ) end""")
-        rows = rows.withColumn("at", F.explode(cells))
-        name = F.concat_ws(":", *[F.col(f"at.{x}.{y}") for x in ("first", "second") for y in "bh"])
-        rows = rows.select("label", name.alias("cell"), "fp", "size", "copies", "keys", (F.col("own") == F.col("at.first")).alias("first"), (F.col("at.first") == F.col("at.second")).alias("same"))
-        rows = rows.repartition(ranges, "label", "cell").sortWithinPartitions("label", "cell")
+        label = small(label)
+        large = materialize(label.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_SETS).select("label"))
+        rows = sets.join(label, "fp")
+        whole = rows.join(small(large), "label", "left_anti").select("label", F.lit(None).cast("int").alias("turn"), F.lit(False).alias("guest"), "fp", "size", "copies", "keys")
+        if not large.isEmpty():
+            whole = whole.union(self._blocks(rows.join(small(large), "label", "left_semi")))
+        rows = whole.repartition(ranges, "label", "turn").sortWithinPartitions("label", "turn", "guest")
         return materialize(rows.mapInArrow(_search(t, pairs), "fp_a long, fp_b long, jaccard double" if pairs else "fp long, links long, root long"))
 
 
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        """The sets of large components in the cells to be searched: in ``guest`` rows those of other blocks, a part of them in each turn.
+
+        Blocks are told apart by a hash; where two have the same, they are one.
+        """
+        t, ranges = self.threshold, self.ranges
+        like = materialize(rows.select("fp", "keys").mapInArrow(_alike, "fp long, alike long"))
+        count = like.groupBy("alike").agg(F.count("*").alias("n")).groupBy((F.col("n") > BLOCK_SETS).alias("many"))
+        rest = {r.many: r.n for r in count.agg(F.sum("n").alias("n")).collect()}.get(False, 0)
+        many = materialize(like.groupBy("alike").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_SETS))
+        # sets that are alike are in blocks of their own if there are enough of them
+        own = F.xxhash64("alike", F.pmod("fp", F.ceil(F.col("n") / BLOCK_SETS)))
+        mixed = F.xxhash64(F.lit(-1).cast("long"), F.pmod("alike", F.lit(max(1, -(-rest // BLOCK_SETS)))))
+        block = materialize(like.join(small(many), "alike", "left").select("fp", F.pmod(F.when(F.col("n").isNull(), mixed).otherwise(own), F.lit((1 << 31) - 1)).cast("int").alias("block")))
+        of = small(block)
+        placed = rows.select("fp", "size", "keys").join(of, "fp").mapInArrow(_placed(t, ranges), "part int, key binary, fp binary, size binary, block binary, rest binary")
+        sent = materialize(placed.repartitionById(ranges, F.col("part")).mapInArrow(_guests(t, max(2, BLOCK_SETS // _WHOLE)), "fp long, from int, block int"))
+        whole = sent.where("fp is null").select("from", "block").distinct()
+        guests = sent.where("fp is not null").select("fp", "block").union(block.withColumnRenamed("block", "from").join(whole, "from").select("fp", "block"))
+        guests = materialize(guests.distinct())
+        turns = small(materialize(guests.groupBy("block").agg(F.ceil(F.count("*") / _GUESTS).cast("int").alias("turns"))))
+        guests = guests.join(turns, "block").select("fp", F.col("block").cast("long").alias("label"), F.pmod("fp", F.col("turns")).cast("int").alias("turn"), F.lit(True).alias("guest"))
+        owners = block.join(turns, "block", "left").select("fp", F.col("block").cast("long").alias("label"), F.explode(F.sequence(F.lit(0), F.coalesce("turns", F.lit(1)) - 1)).alias("turn"), F.lit(False).alias("guest"))
+        return rows.drop("label").join(small(materialize(owners.union(guests))), "fp").select("label", "turn", "guest", "fp", "size", "copies", "keys")
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links) of every document: the least id of its class and how many others match it.
 

@@ -109,6 +109,18 @@ def test_one_giant_component(rows, spark, copies, monkeypatch, broadcast):
     assert pairs == pytest.approx(matches(texts))
 
 
+def test_chance_ngrams_dont_make_all_blocks_meet(rows, monkeypatch):
+    """A chain of texts, each with a phrase of the one before: one component, but a set is compared with few others."""
+    phrases = [" ".join(f"w{i}x{k}" for k in range(8)) for i in range(121)]
+    sent = lambda t, pairs: lambda batches: (b.select(["fp", "copies", "fp"]).rename_columns(["fp", "links", "root"]) for b in batches)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(ngram_join, "_search", sent)
+    docs = rows(*((i, f"{phrases[i]} {phrases[i + 1]}") for i in range(120)))
+    join = ngram_join._Join(docs, 5, 0.4, "doc_id", "text")
+    assert join.sets.count() > 100
+    assert join.matches(pairs=False).count() <= 4 * 120
+
+
 def test_components_on_driver_and_by_stars(spark):
     rng = random.Random(2)
     edges = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(45)], "a long, b long")

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import batches
 from ..functions.analysis import IDENTITY, Pipeline, Token, tokens, words
+from ..functions.batches import Sought
 from ..plans import compiler, dsl
 
 POSITION = "struct<start:int,len:int>"
@@ -57,8 +59,8 @@ class Index:
     postings: DataFrame | None = None
     field_docs: DataFrame | None = None
     stats: DataFrame | None = None
-    #: (postings, field_docs) of some fields alone, where the index is still the analysis of one table: one scan for all of them.
-    build: Callable[[frozenset[str]], tuple[DataFrame, DataFrame]] | None = field(default=None, compare=False)
+    #: (postings of the terms sought, counts, field_docs) of some fields alone, where the index is still the analysis of one table: one scan for all of them.
+    build: Callable[[frozenset[str] | None, Sought | None], tuple[DataFrame, DataFrame, DataFrame]] | None = field(default=None, compare=False)
 
     @classmethod
     def new(cls, name: str | None = None, ref: str = "id", pipeline: Pipeline | None = None) -> Index:
@@ -128,23 +130,35 @@ class Index:
             rows = docs.select(ref.alias("doc_id"), F.inline(F.array(*[F.struct(*c) for c in cells])))
         return rows.where("doc_id is not null and (text is not null or given is not null)")
 
-    def _analysed(self, rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-        """Postings of (doc_id, field, text, given); fields of one pipeline share a pass."""
+    def _analysed(self, rows: DataFrame, listed: frozenset[str], only: frozenset[str] | None = None, sought: Sought | None = None) -> tuple[DataFrame, DataFrame]:
+        """(postings, counts) of (doc_id, field, text, given), of which each (doc_id, field) is one row; ``listed`` fields may have terms as they are.
+
+        Texts whose pipelines allow it are analysed a batch at a time; other fields of one pipeline share a pass of their words.
+        """
+        bulk: dict[str, tuple[Pipeline, bool]] = {}
         groups: dict[tuple[Pipeline, bool], list[str]] = {}
         for name, config in self.fields.items():
             if only is not None and name not in only:
                 continue
-            groups.setdefault((config.pipeline, config.store_positions), []).append(name)
-        parts = []
+            if name not in listed and batches.fits(config.pipeline):
+                bulk[name] = config.pipeline, config.store_positions
+            else:
+                groups.setdefault((config.pipeline, config.store_positions), []).append(name)
+        parts, counts = [], []
+        if bulk:
+            texts = rows.where(F.col("field").isin(*bulk))
+            parts.append(batches.postings(texts, bulk, sought))
+            counts.append(batches.frequencies(texts, bulk))
         for (pipeline, placed), names in groups.items():
             unplaced = lambda array: F.transform(array, lambda t: F.struct(t.alias("token"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len")))
             of_text = tokens(F.col("text"), pipeline.separator) if placed else unplaced(words(F.col("text"), pipeline.separator))
             found = rows.where(F.col("field").isin(names)).select("field", "doc_id", F.explode(F.coalesce(of_text, unplaced(F.col("given")))).alias("t"))
             found = found.select("field", "doc_id", F.struct("t.start", "t.len").alias("position"), F.col("t.token").alias("term"))
-            parts.append(pipeline.apply(found))
+            found = pipeline.apply(found)
             held = F.array_sort(F.collect_list(F.when(F.col("position.start").isNotNull(), F.col("position")))) if placed else F.array()
-            parts[-1] = parts[-1].groupBy("field", "doc_id", "term").agg(F.count("*").alias("total"), held.cast(f"array<{POSITION}>").alias("positions"))
-        return functools.reduce(DataFrame.unionByName, parts)
+            parts.append(found.groupBy("field", "doc_id", "term").agg(F.count("*").alias("total"), held.cast(f"array<{POSITION}>").alias("positions")))
+            counts.append(_counted(parts[-1]))
+        return functools.reduce(DataFrame.unionByName, parts), functools.reduce(DataFrame.unionByName, counts)
 
     def add_documents(self, docs: DataFrame, unique: bool | None = None) -> Index:
         """Adds what isn't there yet: a document's field is skipped if the index has that field of that id.
@@ -152,11 +166,12 @@ class Index:
         Of rows that share an id the first counts. That takes a shuffle of the texts, which
         ``unique`` (ids don't repeat) saves; if it isn't given, the ids alone are looked at first.
         """
-        index, ref, _ = self._values(docs)
+        index, ref, values = self._values(docs)
+        listed = frozenset(name for name, _, kind in values if isinstance(kind, T.ArrayType))
         if unique is None:
             unique = docs.select(ref.alias("id")).where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
 
-        def build(only: frozenset[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        def build(only: frozenset[str] | None = None, sought: Sought | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
             rows = index._rows(docs, only)
             if not unique:
                 # partitioned by (doc_id, field), so that counting terms needs no further shuffle
@@ -164,9 +179,9 @@ class Index:
                 rows = rows.groupBy("doc_id", "field").agg(F.min_by(F.struct("text", "given"), "__at").alias("v")).select("doc_id", "field", "v.text", "v.given")
             if self.field_docs is not None:
                 rows = rows.join(self.field_docs, ["field", "doc_id"], "left_anti")
-            return index._analysed(rows, only), rows.select("field", "doc_id")
+            return *index._analysed(rows, listed, only, sought), rows.select("field", "doc_id")
 
-        new, ids = build()
+        new, _, ids = build()
         if self.postings is None:
             return replace(index, postings=new, field_docs=ids, stats=None, build=build)
         return replace(index, postings=self.postings.unionByName(new), field_docs=self.field_docs.unionByName(ids), stats=None, build=None)
@@ -189,14 +204,21 @@ class Index:
         ids = ids.select(F.col(f"`{ids.columns[0]}`").alias("doc_id")).where("doc_id is not null").distinct()
         return replace(self, postings=self.postings.join(ids, "doc_id", "left_anti"), field_docs=self.field_docs.join(ids, "doc_id", "left_anti"), stats=None, build=None)
 
-    def parts(self, fields: Iterable[str]) -> tuple[DataFrame, DataFrame]:
-        """(postings, field_docs) of some fields."""
+    def parts(self, fields: Iterable[str], sought: Sought | None = None) -> tuple[DataFrame, DataFrame]:
+        """(postings, field_docs) of some fields; if terms are sought, postings of others may be missing."""
         only = frozenset(fields)
         if self.build is not None:
-            return self.build(only)
+            postings, _, ids = self.build(only, sought)
+            return postings, ids
         own = F.col("field").isin(*sorted(only))
         return self._require().postings.where(own), self.field_docs.where(own)
 
+    def counts(self, fields: Iterable[str] | None = None) -> DataFrame:
+        """(field, term, df) of all fields or of some."""
+        if self.build is not None:
+            return self.build(None if fields is None else frozenset(fields), None)[1]
+        return _counted(self._require().postings if fields is None else self.parts(fields)[0])
+
     def all(self) -> DataFrame:
         """The ids of all documents."""
         return self.parts([self.ref])[1].select("doc_id")
@@ -219,16 +241,15 @@ class Index:
         if self.stats is not None:
             return self.stats if fields is None else self.stats.where(F.col("field").isin(*fields))
         self._require()
-        postings, field_docs = (self.postings, self.field_docs) if fields is None else self.parts(fields)
+        field_docs = self.field_docs if fields is None else self.parts(fields)[1]
         docs = field_docs.groupBy("field").agg(F.count("*").alias("n_docs"))
-        terms = postings.groupBy("field", "term").agg(F.lit(1).alias("one")).groupBy("field").agg(F.count("*").alias("n_terms"))
+        terms = self.counts(fields).groupBy("field").agg(F.count("*").alias("n_terms"))
         n = F.coalesce("n_terms", F.lit(0))
         return docs.join(terms, "field", "left").select("field", "n_docs", n.alias("n_terms"), F.when(n > 0, 1 / F.sqrt(n)).otherwise(F.lit(0.0)).alias("norm"))
 
     def term_stats(self) -> DataFrame:
         """(field, term, df, idf)."""
-        counts = self._require().postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-        return counts.join(F.broadcast(self.field_docs.groupBy("field").agg(F.count("*").alias("n_docs"))), "field").select("field", "term", "df", idf("n_docs", "df").alias("idf"))
+        return self._require().counts().join(F.broadcast(self.field_docs.groupBy("field").agg(F.count("*").alias("n_docs"))), "field").select("field", "term", "df", idf("n_docs", "df").alias("idf"))
 
     # analysis and search
 
@@ -264,6 +285,10 @@ class Index:
         return hits if limit is None else hits.limit(limit)
 
 
+def _counted(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+
+
 def idf(n_docs: str, df: str) -> Column:
     return 1 + F.log10(F.col(n_docs) / (F.col(df) + 1))
 
@@ -280,6 +305,11 @@ class Field:
         self.index._require()
         return self.index.parts([self.name])[0]
 
+    def _of(self, term: str | None) -> DataFrame:
+        """The postings of one term."""
+        self.index._require()
+        return self.index.parts([self.name], Sought((term,) if isinstance(term, str) else ()))[0].where(F.col("term") == term)
+
     def documents(self) -> DataFrame:
         self.index._require()
         return self.index.parts([self.name])[1].select("doc_id")
@@ -289,16 +319,16 @@ class Field:
 
     def term_frequency(self, term: str) -> DataFrame:
         """(doc_id, tf) of the documents that hold the term; no rows if it is unknown."""
-        return self.postings.where(F.col("term") == term).select("doc_id", F.sqrt("total").alias("tf"))
+        return self._of(term).select("doc_id", F.sqrt("total").alias("tf"))
 
     def has_token(self, term: str) -> bool:
-        return not self.postings.where(F.col("term") == term).isEmpty()
+        return not self._of(term).isEmpty()
 
     def length(self, kind: str = "ids", term: str | None = None) -> int:
         """How many ids the field has, or documents hold the term ("term", "tf"), or weights the term has ("idf": 0 or 1)."""
         if kind == "ids":
             return self.documents().count()
-        held = self.postings.where(F.col("term") == term).count()
+        held = self._of(term).count()
         return min(held, 1) if kind == "idf" else held
 
     def tokens(self) -> DataFrame:
@@ -307,7 +337,7 @@ class Field:
 
     def get_token(self, term: str) -> DataFrame:
         """The row of one term; none if it is unknown."""
-        return self._described(self.postings.where(F.col("term") == term))
+        return self._described(self._of(term))
 
     def _described(self, postings: DataFrame) -> DataFrame:
         own = self.index.field_stats([self.name]).select("n_docs", "norm")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analysis import Token
+from ..functions.batches import Sought
 from . import dsl
 
 if TYPE_CHECKING:
@@ -159,6 +160,19 @@ def _texts(node: dsl.Terms) -> list[str] | None:
     return [t.token if isinstance(t, Token) else t if isinstance(t, str) else str(t) for t in node.terms]
 
 
+def _sought(leaves: list[dsl.Terms]) -> Sought | None:
+    """What the leaves' terms begin with or are; None if that can't be said of some."""
+    exact, prefixes = [], []
+    for node in leaves:
+        if (texts := _texts(node)) is not None:
+            exact += texts
+        elif node.expand and not any(isinstance(t, re.Pattern) for t in node.terms):
+            prefixes += [t.token if isinstance(t, Token) else str(t) for t in node.terms]
+        else:
+            return None
+    return Sought(tuple(dict.fromkeys(exact)), tuple(dict.fromkeys(prefixes)))
+
+
 def _matching(node: dsl.Terms) -> tuple[Column, Column, Column]:
     """(whether a posting of the leaf's field matches, how many of its terms it matches, which is the first)."""
     texts = _texts(node)
@@ -181,7 +195,7 @@ def _weighted(index: Index, leaves: list[dsl.Terms]) -> DataFrame:
     for node in leaves:
         index.get_field(node.field)
     fields = list(dict.fromkeys(node.field for node in leaves))
-    postings, field_docs = index.parts(fields)
+    postings, field_docs = index.parts(fields, _sought(leaves))
     by_field: dict[str, list[Column]] = {}
     for node in leaves:
         by_field.setdefault(node.field, []).append(_matching(node)[0])
@@ -196,7 +210,7 @@ def _weighted(index: Index, leaves: list[dsl.Terms]) -> DataFrame:
         own = index.field_stats(fields).select("field", "n_docs", "norm")
     else:
         # one more pass counts the terms that the norm needs, and the documents of the asked ones among them
-        counts = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+        counts = index.counts(fields)
         asked = F.collect_list(F.when(wanted, F.struct("term", "df")))
         terms = counts.groupBy("field").agg(F.count("*").alias("n_terms"), asked.alias("asked"))
         docs = field_docs.groupBy("field").agg(F.count("*").alias("n_docs"))

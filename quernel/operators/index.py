@@ -59,8 +59,8 @@ class Index:
     postings: DataFrame | None = None
     field_docs: DataFrame | None = None
     stats: DataFrame | None = None
-    #: (postings of the terms sought, counts, field_docs) of some fields alone, where the index is still the analysis of one table: one scan for all of them.
-    build: Callable[[frozenset[str] | None, Sought | None], tuple[DataFrame, DataFrame, DataFrame]] | None = field(default=None, compare=False)
+    #: (postings of the terms sought, counts, field_docs, texts unless some are lists) of some fields alone, where the index is still the analysis of one table: one scan for all of them.
+    build: Callable[[frozenset[str] | None, Sought | None], tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]] | None = field(default=None, compare=False)
 
     @classmethod
     def new(cls, name: str | None = None, ref: str = "id", pipeline: Pipeline | None = None) -> Index:
@@ -171,7 +171,7 @@ class Index:
         if unique is None:
             unique = docs.select(ref.alias("id")).where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
 
-        def build(only: frozenset[str] | None = None, sought: Sought | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        def build(only: frozenset[str] | None = None, sought: Sought | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
             rows = index._rows(docs, only)
             if not unique:
                 # partitioned by (doc_id, field), so that counting terms needs no further shuffle
@@ -179,9 +179,9 @@ class Index:
                 rows = rows.groupBy("doc_id", "field").agg(F.min_by(F.struct("text", "given"), "__at").alias("v")).select("doc_id", "field", "v.text", "v.given")
             if self.field_docs is not None:
                 rows = rows.join(self.field_docs, ["field", "doc_id"], "left_anti")
-            return *index._analysed(rows, listed, only, sought), rows.select("field", "doc_id")
+            return *index._analysed(rows, listed, only, sought), rows.select("field", "doc_id"), None if listed and (only is None or only & listed) else rows
 
-        new, _, ids = build()
+        new, _, ids, _ = build()
         if self.postings is None:
             return replace(index, postings=new, field_docs=ids, stats=None, build=build)
         return replace(index, postings=self.postings.unionByName(new), field_docs=self.field_docs.unionByName(ids), stats=None, build=None)
@@ -208,7 +208,7 @@ class Index:
         """(postings, field_docs) of some fields; if terms are sought, postings of others may be missing."""
         only = frozenset(fields)
         if self.build is not None:
-            postings, _, ids = self.build(only, sought)
+            postings, _, ids, _ = self.build(only, sought)
             return postings, ids
         own = F.col("field").isin(*sorted(only))
         return self._require().postings.where(own), self.field_docs.where(own)
@@ -269,6 +269,25 @@ class Index:
             entries = entries.withColumn("held", held).where(F.col("held") >= minimum_should_match)
         return entries.select("doc_id", "term", "tf", "positions", "norm", "idf")
 
+    def match_many(self, field: str, asked: DataFrame, least: int = 1) -> DataFrame:
+        """(item_id, doc_id, score, held): the documents that hold ``least`` of an item's terms or more, of many items at once, with the score of the best of them.
+
+        ``asked`` has (item_id, term), each pair once, with terms as the field's pipeline makes them.
+        """
+        config, wanted = self._require().get_field(field), asked.select("term").distinct().withColumn("asked", F.lit(True))
+        counts = self.counts([field]).join(wanted, "term", "left")
+        # as many terms as the items have
+        terms = counts.agg(F.count("*").alias("n_terms"), F.collect_list(F.when(F.col("asked"), F.struct("term", "df"))).alias("asked"))
+        known = self.parts([field])[1].agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(terms))
+        known = known.where("n_terms > 0").select("n_docs", (1 / F.sqrt("n_terms")).alias("norm"), F.inline("asked")).select("term", F.pow(idf("n_docs", "df"), F.lit(2)).alias("weight"), "norm")
+        pairs = asked.join(known, "term").select("item_id", "term", "weight", "norm")
+        if self.build is not None and batches.fits(config.pipeline):
+            texts = self.build(frozenset([field]), None)[3]
+            if texts is not None:
+                return batches.matched(texts.select("doc_id", "text"), config.pipeline, pairs, least)
+        found = self.parts([field])[0].join(pairs, "term").withColumn("score", F.sqrt("total") * F.col("weight") * F.col("norm"))
+        return found.groupBy("item_id", "doc_id").agg(F.max("score").alias("score"), F.count("*").alias("held")).where(F.col("held") >= least)
+
     def search(self, query: str | dict | None, options: dict | None = None, limit: int | None = None) -> DataFrame:
         """(ref, score, matched, positions), best first and then by id; with ``limit`` only the first ones.
 

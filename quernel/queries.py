@@ -339,13 +339,8 @@ def match_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many match queries at once, as a join: items against all documents with ten common terms or more."""
     index = documents_index(spark, sf_dir)
     asked = Pipeline([TRIMMER]).apply(table(spark, sf_dir, "benchmark").select("item_id", F.explode(words(F.col("text"))).alias("term"))).where("term <> ''").distinct()
-    # scores of the terms asked for alone: the filter goes below the counting of documents
-    own = index.field_stats(["text"]).select("n_docs", "norm")
-    postings = index.parts(["text"])[0].join(asked.select("term").distinct(), "term", "left_semi")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = 1 + F.log10(F.col("n_docs") / (F.col("df") + 1))
-    scored = postings.join(df, "term").crossJoin(F.broadcast(own)).select("doc_id", "term", (F.sqrt("total") * F.pow(idf, F.lit(2)) * F.col("norm")).alias("s"))
-    return scored.join(asked, "term").groupBy("item_id", "doc_id").agg(F.round(F.max("s"), 6).alias("score"), F.count("*").alias("held")).where("held >= 10")
+    found = index.match_many("text", asked, least=10)
+    return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), "held")
 
 
 # documents coming and going: the turns of a conversation are versions of one document

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import DiskProvider, DocumentStore, Index, Manager, Pipeline, default_runners
+from .functions import batches
 from .functions.analysis import STEMMER, STOP_WORD_FILTER, STOP_WORDS, TRIMMER, Runner, tokens, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,7 +101,7 @@ def _search(name: str, query, sql: str, index=documents_index, matched: bool = F
 
 @_query(rf"select doc_id, t as term, count(*)::bigint as n from (select doc_id, unnest(string_split_regex(lower(text), {_SEP})) as t from documents) where t <> '' group by 1, 2")
 def tokenize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return _text_terms(spark, sf_dir, Pipeline())
 
 
 @_query(rf"""
@@ -124,8 +125,12 @@ def tokenize_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_terms(spark: SparkSession, sf_dir: str, pipeline: Pipeline) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("term"))
-    return pipeline.apply(rows).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    """Terms of each document by the library's own runners; rows that share an id count as one document, which takes a shuffle."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("text").alias("field"), "text").where("text is not null")
+    found = batches.postings(docs, {"text": (pipeline, False)}).select("doc_id", "term", F.col("total").alias("n"))
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return found
+    return found.groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
 
 
 _TRIMMED = rf"select doc_id, {_TRIM.format('t')} as term from (select doc_id, unnest(string_split_regex(lower(text), {_SEP})) as t from documents) where t <> ''"
